@@ -12,7 +12,7 @@ best of a coarser one, and Spark cuts to k before each shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -61,29 +61,36 @@ def substring_pairs(keys: DataFrame, key: str, values: DataFrame, value: str) ->
     return filed.join(rarest, "_gram").where(F.col(value).contains(F.col(key))).select(key, value)
 
 
-def widen(rows: DataFrame, wanted: DataFrame, key: str, value: str, others: list[str], k: int) -> DataFrame:
+def keys_by_value(keys: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
+    """Per distinct text the request keys it contains; a text holds few of them."""
+    return substring_pairs(keys, key, values, value).groupBy(value).agg(F.collect_list(key).alias("_keys"))
+
+
+def widen(rows: DataFrame, matches: DataFrame, wanted: DataFrame, key: str, value: str, others: list[str], k: int) -> DataFrame:
     """Replace the text column ``value`` by the request keys it contains, keep the k best.
 
     The empty key stands for "no restriction" and takes every row.
     """
-    asked = wanted.select(key, *others).distinct()
-    pairs = substring_pairs(wanted, key, rows, value)
-    hit = rows.join(pairs, value).drop(value)
-    free = rows.drop(value).withColumn(key, F.lit(""))
-    found = hit.unionByName(free).join(asked, [key, *others], "left_semi")
+    every = F.concat(F.array(F.lit("")), F.coalesce(F.col("_keys"), F.array().cast("array<string>")))
+    found = rows.join(matches, value, "left").withColumn(key, F.explode(every)).drop(value, "_keys")
+    found = found.join(wanted.select(key, *others).distinct(), [key, *others], "left_semi")
     rest = [c for c in found.columns if c.startswith("_t")]
     return first_per(found, [key, *others, *rest], [F.desc(PAY), "id"], k)
 
 
 def best_matches(wanted: DataFrame, jobs: DataFrame, k: int) -> DataFrame:
     """The k best-paid postings for every (keyword, city part, level part)."""
-    rows = jobs.where(F.col(PAY).isNotNull()).select(
-        "id", PAY, F.lower("job_title").alias("_title"), F.lower("city").alias("_town"),
-        F.lower("seniority_level").alias("_tier"))
-    rows = first_per(rows, ["_title", "_town", "_tier"], [F.desc(PAY), "id"], k)
-    rows = widen(rows, wanted, "_kw", "_title", [], k)
-    rows = widen(rows, wanted, "_city", "_town", ["_kw"], k)
-    return widen(rows, wanted, "_level", "_tier", ["_kw", "_city"], k)
+    texts = {"_title": ("_kw", F.lower("job_title")), "_town": ("_city", F.lower("city")),
+             "_tier": ("_level", F.lower("seniority_level"))}
+    paid = jobs.where(F.col(PAY).isNotNull())
+    rows = paid.select(*COMPACT, *[c.alias(name) for name, (_, c) in texts.items()])
+    rows = first_per(rows, list(texts), [F.desc(PAY), "id"], k)
+    others: list[str] = []
+    for value, (key, column) in texts.items():
+        matches = keys_by_value(wanted, key, paid.select(column.alias(value)), value)
+        rows = widen(rows, matches, wanted, key, value, others, k)
+        others = [*others, key]
+    return rows
 
 
 def similar_jobs(requests: DataFrame, jobs: DataFrame, k: int = 5, request_id: str = "request_id") -> DataFrame:
@@ -92,21 +99,24 @@ def similar_jobs(requests: DataFrame, jobs: DataFrame, k: int = 5, request_id: s
         request_id, keyword(F.col("job_title")).alias("_kw"), city_part(F.col("city")).alias("_city"),
         level_part(F.col("seniority_level")).alias("_level"))
     combos = keyed.select("_kw", "_city", "_level").distinct()
-    loose = combos.where(F.col("_kw") != "").select("_kw", F.lit("").alias("_city"), F.lit("").alias("_level"))
-    best = best_matches(combos.unionByName(loose).distinct(), jobs, k)
-
-    found = best.select("_kw", "_city", "_level", F.lit(True).alias("_hit")).distinct()
-    loosened = F.col("_hit").isNull() & (F.col("_kw") != "")
-    routed = combos.join(found, ["_kw", "_city", "_level"], "left").select(
-        "_kw", "_city", "_level",
-        F.when(loosened, F.lit("")).otherwise(F.col("_city")).alias("_use_city"),
-        F.when(loosened, F.lit("")).otherwise(F.col("_level")).alias("_use_level"))
-    answers = routed.join(
-        best.withColumnsRenamed({"_city": "_use_city", "_level": "_use_level"}), ["_kw", "_use_city", "_use_level"])
-    answers = first_per(answers, ["_kw", "_city", "_level"], [F.desc(PAY), "id"], k, rank="position")
-    ids = keyed.join(answers.select("_kw", "_city", "_level", "position", "id"), ["_kw", "_city", "_level"]).select(
-        request_id, "position", "id")
-    return ids.join(jobs.select(*COMPACT), "id")
+    # what a request may be answered from: its own conditions, else the title alone
+    strict = F.struct(F.lit(0).alias("rank"), F.col("_city").alias("city"), F.col("_level").alias("level"))
+    loose = F.when(F.col("_kw") != "", F.struct(F.lit(1).alias("rank"), F.lit("").alias("city"), F.lit("").alias("level")))
+    routes = combos.withColumn("_r", F.explode(F.array_compact(F.array(strict, loose)))).select(
+        "_kw", "_city", "_level", F.col("_r.rank").alias("_rank"), F.col("_r.city").alias("_use_city"),
+        F.col("_r.level").alias("_use_level"))
+    wanted = routes.select("_kw", F.col("_use_city").alias("_city"), F.col("_use_level").alias("_level")).distinct()
+    best = best_matches(wanted, jobs, k).withColumnsRenamed({"_city": "_use_city", "_level": "_use_level"})
+    per_combo = Window.partitionBy("_kw", "_city", "_level")
+    answers = (
+        routes.join(best, ["_kw", "_use_city", "_use_level"])
+        .withColumn("position", F.row_number().over(per_combo.orderBy("_rank", F.desc(PAY), "id")))
+        .where(F.col("position") <= k)
+        .withColumn("_first", F.min("_rank").over(per_combo))
+        .where(F.col("_rank") == F.col("_first"))
+    )
+    return keyed.join(answers.select("_kw", "_city", "_level", "position", *COMPACT), ["_kw", "_city", "_level"]).select(
+        request_id, "position", *COMPACT)
 
 
 def market_reference(requests: DataFrame, jobs: DataFrame, k: int = 50, request_id: str = "request_id") -> DataFrame:
