@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from .salary import strip_pay
-from .text import blank_to_null, contains_any, strip
+from .text import blank_to_null, contains_any, let, strip
 
 
 def lookup(c: Column, table: dict, default=None) -> Column:
@@ -20,7 +20,10 @@ def lookup(c: Column, table: dict, default=None) -> Column:
 
 def experience(text: Column) -> Column:
     """Experience requirement named in a text."""
-    t = F.lower(strip_pay(text))
+    return let(F.lower(strip_pay(text)), _experience)
+
+
+def _experience(t: Column) -> Column:
     low = F.regexp_extract(t, vocab.EXP_RANGE, 1).try_cast("int")
     high = F.regexp_extract(t, vocab.EXP_RANGE, 2).try_cast("int")
     single = F.regexp_extract(t, vocab.EXP_SINGLE, 0)
@@ -38,7 +41,10 @@ def experience(text: Column) -> Column:
 
 def experience_midpoint(required: Column, description: Column) -> Column:
     """Years as a number; the description is read when the field is empty."""
-    t = strip(F.lower(F.coalesce(blank_to_null(required), experience(description))))
+    return let(strip(F.lower(F.coalesce(blank_to_null(required), experience(description)))), _midpoint)
+
+
+def _midpoint(t: Column) -> Column:
     low = F.regexp_extract(t, vocab.EXP_TEXT_RANGE, 1).try_cast("double")
     high = F.regexp_extract(t, vocab.EXP_TEXT_RANGE, 2).try_cast("double")
     plus = F.regexp_extract(t, vocab.EXP_TEXT_PLUS, 1).try_cast("double")
@@ -60,7 +66,10 @@ def bulk_experience(text: Column) -> Column:
 
 def coerce_years(text: Column) -> Column:
     """Free-form years field of a resume -> number, missing words -> 0."""
-    t = strip(F.lower(text))
+    return let(strip(F.lower(text)), _years)
+
+
+def _years(t: Column) -> Column:
     low = F.regexp_extract(t, vocab.YEARS_RANGE, 1).try_cast("double")
     high = F.regexp_extract(t, vocab.YEARS_RANGE, 2).try_cast("double")
     number = F.regexp_extract(t, vocab.YEARS_NUMBER, 1).try_cast("double")

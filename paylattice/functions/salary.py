@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import blank_to_null
+from .text import blank_to_null, let
 
 
 def number_of(token: Column) -> Column:
@@ -41,13 +41,14 @@ def salary_usd(text: Column, rate: Column | float = 1.0) -> Column:
     tokens = F.regexp_extract_all(
         F.regexp_replace(text, vocab.PAY_THOUSAND, "$1000"), F.lit(f"({vocab.PAY_NUMBER})"), F.lit(1)
     )
-    first, second = number_of(F.get(tokens, F.lit(0))), number_of(F.get(tokens, F.lit(1)))
-    middle = (
-        F.when((first > 0) & (second > 0), (first + second) / 2)
-        .when(first > 0, first)
-        .when(second > 0, second)
+    amounts = F.filter(F.transform(F.slice(tokens, 1, 2), number_of), lambda v: v > 0)
+    middle = F.aggregate(
+        amounts, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+        lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), (acc["n"] + 1).alias("n")),
+        lambda acc: acc["sum"] / F.nullif(acc["n"], F.lit(0)),
     )
-    return in_pay_limits(F.when(low.isNotNull(), lakhs).otherwise(annualise(middle, period)) * rate)
+    amount = F.when(low.isNotNull(), lakhs).otherwise(annualise(middle, period)) * rate
+    return let(amount, in_pay_limits)
 
 
 def salary_from_text(text: Column, rate: Column | float = 1.0) -> Column:

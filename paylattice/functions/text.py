@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from .. import vocab
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` computed once, for costly inputs that the body names often.
+
+    A column that is merely repeated would be written out again at every place and
+    let the generated code grow with the product of all repetitions.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

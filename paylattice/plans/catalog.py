@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cleanup, market, scoring  # noqa: F401
+from . import cleanup, flows, market, scoring  # noqa: F401
 from .registry import JOBS, SQL  # noqa: F401
