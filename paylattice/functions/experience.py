@@ -11,11 +11,9 @@ from .text import blank_to_null, contains_any, let, strip
 
 
 def lookup(c: Column, table: dict, default=None) -> Column:
-    """Bounded literal lookup as one CASE."""
-    out = None
-    for key, value in table.items():
-        out = F.when(c == key, F.lit(value)) if out is None else out.when(c == key, F.lit(value))
-    return out if default is None else out.otherwise(F.lit(default))
+    """Bounded lookup in a literal map, which evaluates ``c`` once (a CASE would once per entry)."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def experience(text: Column) -> Column:
@@ -29,9 +27,10 @@ def _experience(t: Column) -> Column:
     single = F.regexp_extract(t, vocab.EXP_SINGLE, 0)
     years = F.regexp_extract(t, vocab.EXP_SINGLE, 1).try_cast("int")
     return (
-        F.when(t.rlike(r"(?U)\bfresher\b"), "Fresher")
-        .when(t.rlike(r"(?U)\bintern\b"), "Internship")
-        .when(t.rlike(r"(?U)\bentry\s+level\b"), "Entry Level")
+        F.when(t.contains("fresher") & t.rlike(r"(?U)\bfresher\b"), "Fresher")
+        .when(t.contains("intern") & t.rlike(r"(?U)\bintern\b"), "Internship")
+        .when(t.contains("entry") & t.rlike(r"(?U)\bentry\s+level\b"), "Entry Level")
+        .when(~t.contains("year"), F.lit(None).cast("string"))
         .when((low < vocab.EXP_LIMIT) & (high < vocab.EXP_LIMIT),
               F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit(" years")))
         .when(years < vocab.EXP_LIMIT,

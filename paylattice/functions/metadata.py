@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import blank_to_null, clean_text, has_match, strip, title_case
+from .text import blank_to_null, clean_text, has_word, strip, title_case
 
 
 def remote_type(text: Column) -> Column:
@@ -45,19 +45,22 @@ def ordered_type(text: Column, words: list[str]) -> Column:
 def footer(text: Column) -> Column:
     """Structured footer of a description as one struct."""
 
-    def field(pattern: str) -> Column:
-        return clean_text(F.regexp_extract(text, f"(?is){pattern}", 1))
+    low = F.lower(text)
 
-    applicants = F.regexp_extract(text, f"(?i){vocab.META_APPLICANTS}", 1)
+    def found(word: str, pattern: str, flags: str = "is") -> Column:
+        """Try the pattern only where its fixed words occur."""
+        return F.when(low.contains(word), F.regexp_extract(text, f"(?{flags}){pattern}", 1))
+
+    applicants = found("applicant", vocab.META_APPLICANTS)
     return F.struct(
-        field(vocab.META_SENIORITY).alias("seniority_raw"),
-        field(vocab.META_EMPLOYMENT).alias("employment_type"),
-        field(vocab.META_INDUSTRY).alias("industry"),
+        clean_text(found("seniority level", vocab.META_SENIORITY)).alias("seniority_raw"),
+        clean_text(found("employment type", vocab.META_EMPLOYMENT)).alias("employment_type"),
+        clean_text(found("industr", vocab.META_INDUSTRY)).alias("industry"),
         remote_type(text).alias("remote_type"),
         education(text).alias("education_required"),
-        flag(has_match(text, vocab.META_EQUITY)).alias("has_equity"),
-        flag(has_match(text, vocab.META_BONUS)).alias("has_bonus"),
-        clean_text(F.regexp_extract(text, f"(?iuU){vocab.META_POSTED}", 1)).alias("date_posted_raw"),
+        flag(has_word(text, vocab.META_EQUITY)).alias("has_equity"),
+        flag(has_word(text, vocab.META_BONUS)).alias("has_bonus"),
+        clean_text(found("posted", vocab.META_POSTED, "iuU")).alias("date_posted_raw"),
         F.replace(applicants, F.lit(","), F.lit("")).try_cast("bigint").alias("applicant_count"),
     )
 
@@ -68,8 +71,8 @@ def simple_metadata(text: Column) -> Column:
         remote_type(text).alias("remote_type"),
         ordered_type(text, vocab.SIMPLE_EMPLOYMENT).alias("employment_type"),
         education(text).alias("education_required"),
-        flag(has_match(text, vocab.META_EQUITY)).alias("has_equity"),
-        flag(has_match(text, vocab.META_BONUS)).alias("has_bonus"),
+        flag(has_word(text, vocab.META_EQUITY)).alias("has_equity"),
+        flag(has_word(text, vocab.META_BONUS)).alias("has_bonus"),
     )
 
 
@@ -80,7 +83,7 @@ def faang_flag(name: Column) -> Column:
 def rescan_flag(current: Column, description: Column, pattern: str) -> Column:
     """Raise an unset flag when the description names the benefit."""
     unset = F.coalesce(current, F.lit(0)) == 0
-    return F.when(unset & has_match(description, pattern), F.lit(1)).otherwise(current)
+    return F.when(unset & has_word(description, pattern), F.lit(1)).otherwise(current)
 
 
 def size_category(size: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import blank_to_null, let
+from .text import blank_to_null, contains_any, let
 
 
 def number_of(token: Column) -> Column:
@@ -52,8 +52,13 @@ def salary_usd(text: Column, rate: Column | float = 1.0) -> Column:
 
 
 def salary_from_text(text: Column, rate: Column | float = 1.0) -> Column:
-    """First snippet pattern whose first match gives an acceptable amount."""
-    snippets = F.array(*[F.regexp_extract(text, f"(?i){p}", 0) for p in vocab.PAY_SNIPPETS])
+    """First snippet pattern whose first match gives an acceptable amount.
+
+    A pattern is only tried on texts that hold one of the words it needs.
+    """
+    snippets = F.array(*[
+        F.when(contains_any(F.lower(text), words), F.regexp_extract(text, f"(?i){p}", 0))
+        for words, p in zip(vocab.PAY_SNIPPET_WORDS, vocab.PAY_SNIPPETS)])
     return F.reduce(
         F.filter(snippets, lambda s: s != ""),
         F.lit(None).cast("double"),
@@ -85,9 +90,13 @@ def range_midpoint(text: Column) -> Column:
 
 
 def strip_pay(text: Column) -> Column:
-    """Blank out pay-looking substrings."""
-    for pattern in vocab.PAY_NOISE:
-        text = F.regexp_replace(text, f"(?i){pattern}", " ")
+    """Blank out pay-looking substrings; a pattern only runs where one of its words occurs."""
+    def blank(words: list[str], pattern: str):
+        return lambda t: F.when(
+            contains_any(F.lower(t), words), F.regexp_replace(t, f"(?i){pattern}", " ")).otherwise(t)
+
+    for words, pattern in zip(vocab.PAY_NOISE_WORDS, vocab.PAY_NOISE):
+        text = let(text, blank(words, pattern))
     return text
 
 

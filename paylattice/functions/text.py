@@ -24,9 +24,14 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+# fixed values: characters that count as white space
+WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+         "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean_text(c: Column) -> Column:
@@ -64,14 +69,19 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
-def has_match(c: Column, pattern: str) -> Column:
-    """Unicode-aware, case-insensitive search."""
-    return c.rlike(f"(?iuU){pattern}")
+def has_word(c: Column, pattern: str) -> Column:
+    r"""Case-insensitive search for ``\b(word|word|...)\b``.
+
+    One of the words must occur as plain text first, which spares most rows the
+    much slower pattern.
+    """
+    low = F.lower(c)
+    words = pattern.removeprefix(r"\b(").removesuffix(r")\b").split("|")
+    return contains_any(low, words) & low.rlike(f"(?U){pattern}")
 
 
 def word_count(c: Column) -> Column:
-    words = F.split(strip(c), r"(?U)\s+")
-    return F.when(c.isNull() | (strip(c) == ""), 0).otherwise(F.size(words))
+    return F.coalesce(F.regexp_count(c, F.lit(r"(?U)\S+")), F.lit(0))
 
 
 def key_of(*parts: Column) -> Column:
@@ -101,15 +111,24 @@ def distinct_skills(c: Column) -> Column:
 def extract_skills(c: Column) -> Column:
     """Known skills named as whole words, in list order, joined by ", ".
 
-    The plain substring test runs first, so the pattern is only tried where the
-    skill's letters occur at all.
+    Skills that are one plain word are found by intersecting the text's words
+    with the list, in one hash pass.  The others (several words, or symbols as in
+    "c++") take a substring test and, only on a hit, the word-boundary pattern.
     """
-    low = F.lower(c)
-    hits = [
-        F.when(low.contains(s.lower()) & low.rlike(rf"(?U)\b{_escape(s.lower())}\b"), F.lit(s))
-        for s in vocab.SKILLS
-    ]
-    return blank_to_null(F.array_join(F.array_compact(F.array(*hits)), ", "))
+    places = {s.lower(): i for i, s in enumerate(vocab.SKILLS)}
+    plain = [s for s in places if s.isalnum()]
+    index = F.create_map(*[F.lit(x) for s in plain for x in (s, places[s])])
+    names = F.array(*[F.lit(s) for s in vocab.SKILLS])
+
+    def find(low: Column) -> Column:
+        words = F.array_intersect(F.split(low, r"(?U)\W+"), F.array(*[F.lit(s) for s in plain]))
+        single = F.transform(words, lambda w: F.try_element_at(index, w))
+        other = F.array_compact(F.array(*[
+            F.when(low.contains(s) & low.rlike(rf"(?U)\b{_escape(s)}\b"), F.lit(i))
+            for s, i in places.items() if not s.isalnum()]))
+        return F.array_join(F.transform(F.sort_array(F.concat(single, other)), lambda i: F.get(names, i)), ", ")
+
+    return blank_to_null(let(F.lower(c), find))
 
 
 def _escape(word: str) -> str:

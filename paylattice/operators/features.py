@@ -11,6 +11,7 @@ from .. import vocab
 from ..functions import experience as E
 from ..functions import metadata as M
 from ..functions import text as X
+from ..session import scratch_path
 from .ranks import linear_percentiles, one_row
 
 PAY = "salary_usd_numeric"
@@ -108,12 +109,6 @@ def rating_mean(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.avg("company_rating"), F.lit(vocab.RATING_DEFAULT)).alias("rating_mean"))
 
 
-def target_means(df: DataFrame, column: str) -> DataFrame:
-    """Mean pay per value; rows without pay do not count."""
-    return (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.avg(PAY).alias("target_mean"))
-            .where(F.col("target_mean").isNotNull()))
-
-
 @dataclass
 class Encoders:
     """Fitted state.  Scalars and the city list are small by definition; the
@@ -159,17 +154,48 @@ def with_role(df: DataFrame) -> DataFrame:
     return df if "role" in df.columns else df.withColumn("role", F.lit(None).cast("string"))
 
 
+def learn_means(df: DataFrame) -> DataFrame:
+    """Mean pay and row count per city, title and role and over all rows, from one scan.
+
+    ``encoder`` names the column, null stands for the row over everything.
+    """
+    names = list(ENCODED)
+    sets = df.groupingSets([[F.col(c)] for c in names] + [[]], *[F.col(c) for c in names])
+    which, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in names:
+        used = F.col(f"_g_{c}") == 0
+        which, value = F.when(used, c).otherwise(which), F.when(used, F.col(c)).otherwise(value)
+    return sets.agg(
+        *[F.grouping(c).alias(f"_g_{c}") for c in names], F.count(F.lit(1)).alias("n"), F.avg(PAY).alias("target_mean"),
+        F.avg(col_or_null(df, "company_rating", "double")).alias("rating"),
+    ).select(which.alias("encoder"), value.alias("value"), "n", "target_mean", "rating")
+
+
 def fit(df: DataFrame) -> Encoders:
-    """Learn encoder state.  Two small results reach the driver: one row of scalars and at most 100 city names."""
+    """Learn encoder state.
+
+    The learned means are written to the scratch folder: every later step reads
+    them instead of going back to the postings.  Two small results reach the
+    driver: one row of scalars and at most 100 city names.
+    """
     df = with_role(df)
-    means = {c: target_means(df, c) for c in ENCODED}
-    rating = rating_mean(df) if "company_rating" in df.columns else df.agg(F.lit(vocab.RATING_DEFAULT).alias("rating_mean"))
+    spark = df.sparkSession
+    path = scratch_path(spark, "encoder-means")
+    learn_means(df).write.partitionBy("encoder").parquet(path)
+    learned = spark.read.schema("value string, n bigint, target_mean double, rating double, encoder string").parquet(path)
+    known = learned.where(F.col("value").isNotNull())
+    overall = learned.where(F.col("encoder").isNull())
     row = one_row(
-        salary_percentiles(df), rating, df.agg(F.avg(PAY).alias("global_mean")),
-        *[means[c].agg(F.avg("target_mean").alias(f"mean_{c}")) for c in ENCODED]).first()
+        salary_percentiles(df),
+        overall.select(F.col("target_mean").alias("global_mean"),
+                       F.coalesce("rating", F.lit(vocab.RATING_DEFAULT)).alias("rating_mean")),
+        known.groupBy().agg(*[F.avg(F.when(F.col("encoder") == c, F.col("target_mean"))).alias(f"mean_{c}") for c in ENCODED]),
+    ).first()
+    cities = known.where("encoder = 'city'").orderBy(F.desc("n"), "value").limit(vocab.TOP_CITY_COUNT)
+    means = {c: known.where((F.col("encoder") == c) & F.col("target_mean").isNotNull())
+             .select(F.col("value").alias(c), "target_mean") for c in ENCODED}
     scalars = {k: row[k] for k in ["rating_mean", "global_mean", *[f"p{p}" for p in PERCENTS]]}
-    return Encoders(scalars, [r["city"] for r in top_cities(df).collect()], means,
-                    {c: row[f"mean_{c}"] for c in ENCODED})
+    return Encoders(scalars, [r["value"] for r in cities.collect()], means, {c: row[f"mean_{c}"] for c in ENCODED})
 
 
 def target_encode(df: DataFrame, encoders: Encoders, fitting: bool = False) -> DataFrame:

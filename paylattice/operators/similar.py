@@ -93,41 +93,51 @@ def best_matches(wanted: DataFrame, jobs: DataFrame, k: int) -> DataFrame:
     return rows
 
 
-def similar_jobs(requests: DataFrame, jobs: DataFrame, k: int = 5, request_id: str = "request_id") -> DataFrame:
-    """Top-k comparable postings per request; without any, the title alone decides."""
-    keyed = requests.select(
+COMBO = ["_kw", "_city", "_level"]
+
+
+def keyed_requests(requests: DataFrame, request_id: str) -> DataFrame:
+    return requests.select(
         request_id, keyword(F.col("job_title")).alias("_kw"), city_part(F.col("city")).alias("_city"),
         level_part(F.col("seniority_level")).alias("_level"))
-    combos = keyed.select("_kw", "_city", "_level").distinct()
-    # what a request may be answered from: its own conditions, else the title alone
+
+
+def answers_per_combination(keyed: DataFrame, jobs: DataFrame, k: int) -> DataFrame:
+    """Top-k postings per distinct (keyword, city part, level part); without any, the title alone decides."""
+    combos = keyed.select(*COMBO).distinct()
+    # what a combination may be answered from: its own conditions, else the title alone
     strict = F.struct(F.lit(0).alias("rank"), F.col("_city").alias("city"), F.col("_level").alias("level"))
     loose = F.when(F.col("_kw") != "", F.struct(F.lit(1).alias("rank"), F.lit("").alias("city"), F.lit("").alias("level")))
     routes = combos.withColumn("_r", F.explode(F.array_compact(F.array(strict, loose)))).select(
-        "_kw", "_city", "_level", F.col("_r.rank").alias("_rank"), F.col("_r.city").alias("_use_city"),
-        F.col("_r.level").alias("_use_level"))
+        *COMBO, F.col("_r.rank").alias("_rank"), F.col("_r.city").alias("_use_city"), F.col("_r.level").alias("_use_level"))
     wanted = routes.select("_kw", F.col("_use_city").alias("_city"), F.col("_use_level").alias("_level")).distinct()
     best = best_matches(wanted, jobs, k).withColumnsRenamed({"_city": "_use_city", "_level": "_use_level"})
-    per_combo = Window.partitionBy("_kw", "_city", "_level")
-    answers = (
+    per_combo = Window.partitionBy(*COMBO)
+    return (
         routes.join(best, ["_kw", "_use_city", "_use_level"])
         .withColumn("position", F.row_number().over(per_combo.orderBy("_rank", F.desc(PAY), "id")))
         .where(F.col("position") <= k)
         .withColumn("_first", F.min("_rank").over(per_combo))
         .where(F.col("_rank") == F.col("_first"))
+        .select(*COMBO, "position", *COMPACT)
     )
-    return keyed.join(answers.select("_kw", "_city", "_level", "position", *COMPACT), ["_kw", "_city", "_level"]).select(
-        request_id, "position", *COMPACT)
+
+
+def similar_jobs(requests: DataFrame, jobs: DataFrame, k: int = 5, request_id: str = "request_id") -> DataFrame:
+    """Top-k comparable postings per request."""
+    keyed = keyed_requests(requests, request_id)
+    return keyed.join(answers_per_combination(keyed, jobs, k), COMBO).select(request_id, "position", *COMPACT)
 
 
 def market_reference(requests: DataFrame, jobs: DataFrame, k: int = 50, request_id: str = "request_id") -> DataFrame:
     """Upper median over the k best-paid comparable postings and how many there are.
 
-    The array holds at most k amounts.
+    Requests that ask the same share one answer; its array holds at most k amounts.
     """
-    found = similar_jobs(requests, jobs, k, request_id).groupBy(request_id).agg(
-        F.sort_array(F.collect_list(PAY)).alias("_pay"))
+    keyed = keyed_requests(requests, request_id)
+    found = answers_per_combination(keyed, jobs, k).groupBy(*COMBO).agg(F.sort_array(F.collect_list(PAY)).alias("_pay"))
     found = found.select(
-        request_id, F.get("_pay", F.floor(F.size("_pay") / 2).cast("int")).cast("bigint").alias("market_salary_usd"),
+        *COMBO, F.get("_pay", F.floor(F.size("_pay") / 2).cast("int")).cast("bigint").alias("market_salary_usd"),
         F.size("_pay").alias("evidence_count"))
-    return requests.select(request_id).join(found, request_id, "left").withColumn(
-        "evidence_count", F.coalesce("evidence_count", F.lit(0)))
+    return keyed.join(found, COMBO, "left").select(
+        request_id, "market_salary_usd", F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"))
