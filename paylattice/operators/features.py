@@ -35,8 +35,14 @@ def city_tier(city: Column, country: Column) -> Column:
     )
 
 
+def with_years(df: DataFrame) -> DataFrame:
+    """Years of experience in a step of their own, because two features use them."""
+    return df.withColumn("_years", E.experience_midpoint(F.col("experience_required"), F.col("job_description")))
+
+
 def numeric_columns(df: DataFrame, rating_default: float = vocab.RATING_DEFAULT) -> dict[str, Column]:
-    years = E.experience_midpoint(F.col("experience_required"), F.col("job_description"))
+    """Expects the column of ``with_years``."""
+    years = F.col("_years")
     score = E.seniority_score(F.col("seniority_level"))
     skills = F.col("skills_required")
     return {
@@ -213,7 +219,7 @@ def target_encode(df: DataFrame, encoders: Encoders, fitting: bool = False) -> D
 
 def transform(df: DataFrame, encoders: Encoders, keep: list[str] | None = None, fitting: bool = False) -> DataFrame:
     """Feature columns in the frozen order, preceded by the columns in ``keep``."""
-    df = target_encode(with_role(df), encoders, fitting)
+    df = with_years(target_encode(with_role(df), encoders, fitting))
     exprs = {
         **numeric_columns(df, encoders.scalars.get("rating_mean") or vocab.RATING_DEFAULT), **binary_columns(df),
         **skill_columns(df), **{n: F.col(n) for n in ENCODED.values()}, **city_columns(df, encoders.cities),

@@ -146,7 +146,8 @@ def with_id(t, exprs):
 
 @query("features_numeric", "jobs", f"SELECT id, {columns(NUMBERS).replace("{rating}", str(V.RATING_DEFAULT))} FROM jobs")
 def _(t):
-    return with_id(t.jobs, FT.numeric_columns(t.jobs))
+    jobs = FT.with_years(t.jobs)
+    return with_id(jobs, FT.numeric_columns(jobs))
 
 
 @query("city_tier", "jobs", f"""{PLACED} SELECT id, {D.city_tier('city', "CASE WHEN id % 2 = 0 THEN 'Canada' ELSE country END")} AS tier FROM placed""")

@@ -38,7 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     local = tempfile.mkdtemp(prefix="paylattice-")
-    spark.conf.set("spark.checkpoint.dir", local)
+    spark.sparkContext.setCheckpointDir(local)
     return local
 
 
