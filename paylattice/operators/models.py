@@ -218,7 +218,12 @@ def log_run(spark: SparkSession, path: str, model: SalaryModel, rows: int) -> Da
 
 def training_job(spark: SparkSession, cleaned: DataFrame, out_dir: str, candidates: dict | None = None,
                  previous_r2: float | None = None, force: bool = False, leaky: bool = False) -> DataFrame:
-    """Gates, training, promotion, storing, run log.  Returns a one-row report."""
+    """Gates, training, promotion, storing, run log.  Returns a one-row report.
+
+    The cleaned table is stored first: gates, encoders and features all read it.
+    """
+    cleaned.write.mode("overwrite").parquet(f"{out_dir}/cleaned")
+    cleaned = spark.read.schema(cleaned.schema).parquet(f"{out_dir}/cleaned")
     gate = min_rows_gate(cleaned).first()
     if gate["status"] == "stop":
         raise ValueError(f"needs at least {vocab.ROWS_STOP} rows with pay")

@@ -17,10 +17,17 @@ BIN_WIDTH = 1000.0
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, width: float = BIN_WIDTH) -> DataFrame:
+    """Row count per (keys, value); rows with a null key or value are left out.
+
+    The not-null conditions are spelled out because a later join would add them
+    to its own side only; with equal sides Spark shuffles the counts once.
+    """
+    known = F.floor(F.col("_v") / width).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
     return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull() & known)
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bin", F.floor(F.col("_v") / width))
     )
 
@@ -108,7 +115,8 @@ def percentile_of(train: DataFrame, train_value: str, scored: DataFrame, value:
     """
     counts = value_counts(train, [], train_value, width)
     asked = (
-        scored.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct()
+        scored.select(F.col(value).alias("_v"))
+        .where(F.col("_v").isNotNull() & F.floor(F.col("_v") / width).isNotNull()).distinct()
         .select("_v", F.lit(0).cast("bigint").alias("_n"), F.floor(F.col("_v") / width).alias("_bin"),
                 F.lit(0).alias("_side"))
     )

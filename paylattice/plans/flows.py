@@ -88,8 +88,7 @@ def _(t):
 @query("export_features", "raw", f"{BEST % 'WHERE length(job_title) >= 3'} SELECT id, dedup_key FROM best")
 def _(t):
     path = scratch_path(t.spark, "export")
-    cleaned = C.clean_jobs(t.raw)
-    io.export_features(cleaned, FT.transform(cleaned, FT.fit(cleaned), keep=["id"], fitting=True), path)
+    io.export_features(C.clean_jobs(t.raw), lambda jobs: FT.fit_transform(jobs, keep=["id"])[1], path)
     features = t.spark.read.parquet(f"{path}/features").select("id")
     return features.join(t.spark.read.parquet(f"{path}/cleaned").select("id", "dedup_key"), "id")
 

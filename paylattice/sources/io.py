@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,13 @@ def append_master(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def export_features(cleaned: DataFrame, features: DataFrame, path: str) -> None:
+def export_features(cleaned: DataFrame, featurize: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Store the cleaned table, then the feature table computed from the stored copy.
+
+    Cleaning shuffles, and features read their input several times, so they start
+    from the written table.  Returns that table.
+    """
     cleaned.write.mode("overwrite").parquet(f"{path}/cleaned")
-    features.write.mode("overwrite").parquet(f"{path}/features")
+    stored = cleaned.sparkSession.read.schema(cleaned.schema).parquet(f"{path}/cleaned")
+    featurize(stored).write.mode("overwrite").parquet(f"{path}/features")
+    return stored
