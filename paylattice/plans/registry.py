@@ -12,13 +12,24 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# queries whose text rules outweigh a shuffle of their input
+HEAVY = {
+    "skills_extract", "salary_from_text", "salary_normalize", "footer_metadata", "simple_metadata", "experience_extract",
+    "experience_midpoint", "strip_salary", "clean_title", "clean_salary", "fix_seniority", "fix_metadata", "fix_equity_bonus",
+    "clean_jobs", "bulk_load_map", "bulk_summary", "bulk_top_roles", "bulk_experience", "union_sources", "dedup_keep_first",
+    "detail_enrich", "page_json_jobs", "page_anchor_jobs", "page_card_jobs", "page_salary_scan", "features_numeric",
+    "features_binary", "features_skills", "features_fit", "features_transform", "export_features", "train_job", "batch_predict",
+    "predict_band", "model_roundtrip", "train_rf", "train_gbt", "grid_search",
+}
+
+
 def query(name: str, views: str = "", sql: str | None = None):
     """Register a job ``Tables -> DataFrame``; ``sql`` may use the named views."""
 
     def add(job: Callable[[Tables], DataFrame]):
         if name in JOBS:
             raise ValueError(f"{name} is registered twice")
-        JOBS[name] = lambda spark, sf_dir: job(Tables(spark, sf_dir))
+        JOBS[name] = lambda spark, sf_dir: job(Tables(spark, sf_dir, heavy=name in HEAVY))
         if sql is not None:
             SQL[name] = with_views(views, sql)
         return job

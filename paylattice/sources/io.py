@@ -22,6 +22,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when it has fewer splits than cores.
+
+    For text rules that cost far more than the shuffle, on inputs of one or a few
+    small files.  A scan with enough splits is returned as it is.  Give a plain
+    scan only: counting its splits must not run anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_jobs(spark: SparkSession, path: str | None = None, table: str | None = None,
               jdbc: dict[str, str] | None = None) -> DataFrame:
     """The whole jobs table from files, the catalog or a database; absent means empty.

@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .io import spread
+
 
 def text(expr: str) -> str:
     return f"CAST(CAST(floor({expr}) AS BIGINT) AS STRING)"
@@ -222,11 +224,12 @@ def project(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 class Tables:
     """Lazy access to the test tables of one folder and the views over them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, heavy: bool = False):
+        self.spark, self.sf_dir, self.heavy = spark, sf_dir, heavy
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(scan) if self.heavy and name in ("orders", "pages") else scan
 
     def stream(self, name: str) -> DataFrame:
         """The same table as an incremental file source."""
