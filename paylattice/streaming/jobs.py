@@ -68,10 +68,15 @@ def current_master(spark: SparkSession, path: str) -> DataFrame:
     return keep_with_salary(spark.read.parquet(path), ["batch"]).drop("batch")
 
 
-def first_seen(listings: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First arrival per key; keys older than the watermark are forgotten, which bounds the state."""
-    stamped = listings.withColumn(time, F.col(time).cast("timestamp"))
-    return stamped.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def first_seen(listings: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 day", salts: int = 16) -> DataFrame:
+    """First arrival per key; keys older than the watermark are forgotten, which bounds the state.
+
+    Two steps: the copies of a hot key are first thinned out over ``salts`` tasks,
+    so that at most that many rows per key meet in the second step.
+    """
+    stamped = listings.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    salted = stamped.withColumn("_salt", F.pmod(F.xxhash64(time), F.lit(salts)))
+    return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).dropDuplicatesWithinWatermark(keys).drop("_salt")
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> None:

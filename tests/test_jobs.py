@@ -216,3 +216,16 @@ def test_stream_equals_batch_over_several_files(spark):
     paid = {r["dedup_key"]: r["salary"] for r in K.keep_with_salary(keyed).collect()}
     master = ST.current_master(spark, f"{out}/b").collect()
     assert {r["dedup_key"]: r["salary"] for r in master} == paid and len(master) == len(paid)
+
+
+def test_first_seen_over_several_batches(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 17}") for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, key string").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1700000000) + F.col("i") * 60))
+    src, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    for lo, hi in ((0, 120), (120, 300)):
+        df.where((F.col("i") >= lo) & (F.col("i") < hi)).coalesce(1).write.mode("append").parquet(src)
+        arriving = spark.readStream.schema(df.schema).parquet(src)
+        ST.append_stream(ST.first_seen(arriving, ["key"], delay="2 days"), f"{out}/t", f"{out}/c")
+    got = [r["key"] for r in spark.read.parquet(f"{out}/t").collect()]
+    assert len(got) == len(set(got)) and set(got) == {k for _, k in rows}
