@@ -29,3 +29,15 @@ def test_entry(spark):
 
 def test_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["similar_jobs", "market_reference", "top_skills", "skill_gap", "company_tier", "market_summary",
+                                  "salary_histogram", "salary_percentile_rank", "insert_if_absent", "clean_jobs"])
+def test_plan_has_no_pairwise_join_and_no_python(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert not [bad for bad in ("NestedLoop", "Cartesian", "EvalPython") if bad in plan]
+
+
+def test_hot_keys_are_cut_before_the_shuffle(spark):
+    plan = QUERIES["dedup_keep_salary"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
