@@ -161,7 +161,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
 #: Bits of a key bitmap: 16 MB, whatever the input.
 BITMAP_BITS = 27
 #: Bits of a key that choose its bucket.
-BUCKET_BITS = 9
+BUCKET_BITS = 12
 PACKED = "bucket int, keys binary"
 
 
@@ -198,7 +198,18 @@ class KeyPacker:
         self.parts, self.held = [], 0
 
 
-def key_bitmap(packed: DataFrame, least: int = 2) -> np.ndarray:
+class KeyBitmap:
+    """Which keys come often, by their leading ``BITMAP_BITS``; with the numbers of all and of distinct keys."""
+
+    def __init__(self, bits: np.ndarray, total: int, different: int):
+        self.bits, self.total, self.different = bits, total, different
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def key_bitmap(packed: DataFrame, least: int = 2) -> KeyBitmap:
     """Bitmap over the leading ``BITMAP_BITS`` of keys that come ``least`` times or more.
 
     ``packed`` has the rows of ``KeyPacker``.  The result has a fixed size (16 MB); a
@@ -212,48 +223,40 @@ def key_bitmap(packed: DataFrame, least: int = 2) -> np.ndarray:
         for batch in batches:
             for b, keys in zip(batch["bucket"].to_pylist(), batch["keys"].to_pylist(), strict=True):
                 held.setdefault(b, []).append(np.frombuffer(keys, np.uint64))
-        for b, parts in held.items():
-            keys = np.sort(np.concatenate(parts))
+        rows = []
+        for b in sorted(held):
+            keys = np.sort(np.concatenate(held.pop(b)))
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             often = keys[first[np.diff(np.append(first, len(keys))) >= least]]
             bits = np.zeros(part * 8, bool)
             bits[((often >> np.uint64(64 - BITMAP_BITS)) & np.uint64((1 << low) - 1)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()),
-                                              "keys": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+            rows.append((b, np.packbits(bits, bitorder="little").tobytes(), len(keys), len(first)))
+        if rows:
+            b, bits, total, different = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(bits), pa.array(total), pa.array(different)],
+                                             ["bucket", "keys", "total", "different"])
 
-    counted = packed.repartition(bucket_tasks(packed), "bucket").mapInArrow(count, PACKED)
-    bitmap = np.zeros(part << BUCKET_BITS, np.uint8)
-    for row in counted.toLocalIterator():
-        bitmap[row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(row["keys"], np.uint8)
-    return bitmap
+    counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, PACKED + ", total long, different long")
+    bits, total, different = np.zeros(part << BUCKET_BITS, np.uint8), 0, 0
+    for row in counted.collect():  # 4 KB for each of 4,096 buckets
+        bits[row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(row["keys"], np.uint8)
+        total, different = total + row.total, different + row.different
+    return KeyBitmap(bits, total, different)
 
 
 def bucket_tasks(df: DataFrame) -> int:
     return min(1 << BUCKET_BITS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32))
 
 
-def is_set(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-
-
-def id_bitmap(keys: DataFrame) -> np.ndarray:
-    """Bitmap of the 64-bit hashes in the column ``key``: a fixed-size filter for a scan."""
-    bits = BITMAP_BITS - 15
+def id_bitmap(keys: DataFrame) -> KeyBitmap:
+    """Bitmap of the 64-bit hashes in the column ``key``: a filter of fixed size for a scan."""
     place = F.shiftrightunsigned(F.col("key"), 64 - BITMAP_BITS)
-    rows = (keys.select(F.shiftright(place, 15).alias("b"), (place.bitwiseAND(F.lit((1 << 15) - 1))).alias("p"))
+    rows = (keys.select(F.shiftright(place, 15).alias("b"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("p"))
             .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")))
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in rows.toLocalIterator():
-        bitmap[row.b * 4096 : (row.b + 1) * 4096] = np.frombuffer(row.m, np.uint8)
-    assert len(bitmap) == 4096 << bits
-    return bitmap
-
-
-def is_member(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """As ``is_set`` for an ``id_bitmap``, whose bytes are filled from the low bit."""
-    at = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for row in rows.collect():  # 4 KB for each of 4,096 parts
+        bits[row.b * 4096 : (row.b + 1) * 4096] = np.frombuffer(row.m, np.uint8)
+    return KeyBitmap(bits, 0, 0)
 
 
 # ---------------------------------------------------------------- components

@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, sharding, toxicity, warc_zstd
+from . import byte_bpe, ngram_join, packing, sharding, toxicity, warc_zstd
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 JOBS: dict[str, Query] = {
     "op2_toxicity": lambda s, d: toxicity.toxic_documents(table(s, d, "documents"), table(s, d, "labels")),
+    "op3_ngram_join": lambda s, d: ngram_join.similar_groups(table(s, d, "documents")),
     "op7_warc": lambda s, d: warc_zstd.page_round_trip(table(s, d, "pages")),
     "op8_packing": lambda s, d: packing.pack_documents(
         table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False),
