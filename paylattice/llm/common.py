@@ -178,11 +178,14 @@ def packed_batches(rows: dict[int, list[bytes]]) -> pa.RecordBatch:
 
 
 class KeyPacker:
-    """Collects keys of many documents and gives packed rows once enough are there."""
+    """Collects keys of many documents and gives packed rows once enough are there.
 
-    def __init__(self, most: int = 2_000_000):
+    More than ``most_alike`` equal keys are not worth sending, as nobody counts further.
+    """
+
+    def __init__(self, most_alike: int, most: int = 2_000_000):
         self.parts: list[np.ndarray] = []
-        self.held, self.most = 0, most
+        self.held, self.most, self.most_alike = 0, most, most_alike
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(keys)
@@ -193,7 +196,10 @@ class KeyPacker:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             rows: dict[int, list[bytes]] = {}
-            pack_keys(np.sort(np.concatenate(self.parts)), rows)
+            keys = np.sort(np.concatenate(self.parts))
+            if len(keys) > self.most_alike:
+                keys = keys[np.append(np.ones(self.most_alike, bool), keys[self.most_alike :] != keys[: -self.most_alike])]
+            pack_keys(keys, rows)
             yield packed_batches(rows)
         self.parts, self.held = [], 0
 

@@ -84,11 +84,11 @@ class Seen(set):
         return True
 
 
-def measured(docs: DataFrame, k: int) -> DataFrame:
+def measured(docs: DataFrame, k: int, most_alike: int = 4096) -> DataFrame:
     """Rows (doc_id, key, n, node) of documents and, apart from them, packed lowest tokens of distinct sets."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = KeyPacker(), Seen()
+        packer, seen = KeyPacker(most_alike), Seen()
 
         def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in found:
