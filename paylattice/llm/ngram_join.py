@@ -329,6 +329,44 @@ def fetch_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> Da
     return store(sets, "sets")
 
 
+def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFrame], fetch, percent: int, small: int = 0,
+            first: int | None = None) -> DataFrame:
+    """(node, component) from links known before, candidate pairs and lists too long for pairs.
+
+    ``heavies`` has a set's list keys, node and size (keys, a, n), ``fetch`` gives the sets
+    of nodes.  Round one compares every set with one leader of its ``first`` lists (all
+    by default), apart by size.  In round two only lists on which more than one
+    component is left are opened, and only sets of different components meet.
+    """
+    band = F.floor(F.log("n") / F.lit(-np.log(percent / 100)))
+    some = heavy_rows(heavies.withColumn("component", F.col("a")), first=first).withColumn("band", band)
+    leader = some.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("l"))
+    near = (some.join(leader, ["token", "band"]).where((F.col("node") != F.col("l.node")) & (F.greatest("n", "l.n") > small))
+            .select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct())
+    near = store(near.unionByName(candidates).distinct() if candidates else near, "candidates")
+    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node")))
+    sets = fetch(nodes.union(heavies.select("a")))
+    links = store(union_all([*links, verified(near, sets, percent)]), "found-links")
+    known = store(components(links), "components")
+
+    placed = (heavies.join(known.withColumnRenamed("node", "a"), "a", "left")
+              .select("keys", "a", "n", F.coalesce("component", "a").alias("component")))
+    placed = store(placed, "heavy-sets")
+    open_lists = (heavy_rows(placed, with_set=False).distinct().groupBy("token").agg(F.count("*").alias("c"))
+                  .where("c > 1").select(F.col("token").alias("key")))
+    open_lists = store(open_lists, "open-lists")
+    if open_lists.isEmpty():
+        return known
+    met = store(heavy_rows(placed, chosen=id_bitmap(open_lists)), "open-postings")
+    other = met.select("token", F.col("component").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
+    across = (met.join(other, "token").where((F.col("component") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+                                             & (F.greatest("n", "n2") > small))
+              .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+              .join(near, ["a", "b"], "left_anti"))
+    more = store(verified(across, sets, percent), "more-links")
+    return known if more.isEmpty() else store(components(links.unionByName(more)), "components")
+
+
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
 
@@ -361,38 +399,37 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     heavies = posted.where(F.col("kind") == HEAVY)
     links = [posted.where(F.col("kind") == LINK).select("a", "b"), light.where("certain").select("a", "b")]
 
-    # heavy lists, round one: every set against the leader of its first lists, by size
-    band = F.floor(F.log("n") / F.lit(-np.log(percent / 100)))
-    some = heavy_rows(heavies.withColumn("component", F.col("a")), first=2).withColumn("band", band)
-    leader = some.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("l"))
-    near = (some.join(leader, ["token", "band"]).where((F.col("node") != F.col("l.node")) & (F.greatest("n", "l.n") > small))
-            .select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct())
-    near = store(near.unionByName(light.where("not certain").select("a", "b")).distinct(), "candidates")
-    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node")))
-    sets = fetch_sets(docs, rows, nodes.union(heavies.select("a")), k)
-    links.append(verified(near, sets, percent))
-    links = store(union_all(links), "found-links")
-    known = store(components(links), "components")
-
-    # round two: lists on which more than one component is left
-    placed = (heavies.join(known.withColumnRenamed("node", "a"), "a", "left")
-              .select("keys", "a", "n", F.coalesce("component", "a").alias("component")))
-    placed = store(placed, "heavy-sets")
-    open_lists = (heavy_rows(placed, with_set=False, first=None).distinct().groupBy("token").agg(F.count("*").alias("c"))
-                  .where("c > 1").select(F.col("token").alias("key")))
-    open_lists = store(open_lists, "open-lists")
-    if not open_lists.isEmpty():
-        met = store(heavy_rows(placed, chosen=id_bitmap(open_lists)), "open-postings")
-        other = met.select("token", F.col("component").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
-        across = (met.join(other, "token").where((F.col("component") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-                                                 & (F.greatest("n", "n2") > small))
-                  .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-                  .join(near, ["a", "b"], "left_anti"))
-        more = store(verified(across, sets, percent), "more-links")
-        if not more.isEmpty():
-            known = store(components(links.unionByName(more)), "components")
-
+    known = resolve(heavies, light.where("not certain").select("a", "b"), links, lambda nodes: fetch_sets(docs, rows, nodes, k),
+                    percent, small, first=2)
     whole = rows.join(known, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = whole.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    least = whole.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(order).alias("kept"))
     return (whole.join(least, "root", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "key",
+                    F.coalesce(F.col("key") == F.col("kept.key"), F.lit(True)).alias("stays")))
+
+
+def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group (smallest doc_id), with all columns.
+
+    Rows without words stay.  Of rows that repeat id and text one stays.  Only rows that
+    may have to go are shuffled.
+    """
+    groups = store(similar_groups(docs, k, percent), "groups")
+    verdict = (groups.groupBy("key").agg(F.min("stays").alias("stays"), F.count("*").alias("times"))
+               .where("not stays or times > 1").select(F.col("key").alias("__row"), "stays"))
+    verdict = store(verdict, "verdicts")
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(verdict.select(F.col("__row").alias("key"))))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+
+    def named(wanted: bool):
+        def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(shared.value.has(b["__row"].to_numpy().view(np.uint64)) == wanted))
+        return job
+
+    untouched = arrow_map(keyed, named(False), fields)
+    touched = arrow_map(keyed, named(True), fields).join(verdict, "__row", "left")
+    once = touched.where("stays").dropDuplicates(["__row"]).select(keyed.columns)
+    return untouched.union(touched.where("stays is null").select(keyed.columns)).union(once).select(docs.columns)

@@ -7,14 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ngram_join, packing, sharding, suffix_dedup, toxicity, warc_zstd
+from . import byte_bpe, ngram_join, packing, paragraph_dedup, sharding, suffix_dedup, toxicity, warc_zstd
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 JOBS: dict[str, Query] = {
+    "op1_paragraph_dedup": lambda s, d: paragraph_dedup.paragraph_report(table(s, d, "documents")),
     "op2_toxicity": lambda s, d: toxicity.toxic_documents(table(s, d, "documents"), table(s, d, "labels")),
-    "op3_ngram_join": lambda s, d: ngram_join.similar_groups(table(s, d, "documents")),
+    "op3_ngram_join": lambda s, d: ngram_join.similar_groups(table(s, d, "documents")).select(
+        "doc_id", "n_shingles", "component_id"),
     "op5_suffix_dedup": lambda s, d: suffix_dedup.dedup(table(s, d, "documents"), ["doc_id"], with_kept=False),
     "op7_warc": lambda s, d: warc_zstd.page_round_trip(table(s, d, "pages")),
     "op8_packing": lambda s, d: packing.pack_documents(

@@ -319,7 +319,9 @@ def cut_out(text: bytes, spans: list[bytes]) -> tuple[bytes, int, int]:
 
 
 def dedup(docs: DataFrame, columns: list[str] | None = None, with_kept: bool = True) -> DataFrame:
-    """``columns`` of every row (default: all but text) with n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` bytes.
+    """``columns`` of every row (default: all but text) with n_bytes, n_removed, n_spans, kept_sha256, ``kept`` and ``kept_text``.
+
+    ``kept`` is what remains as bytes, ``kept_text`` the same without characters that lost some of their bytes.
 
     A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts in a
     row with a smaller doc_id.  Strings are judged on the input.  A null text is empty; a
@@ -330,8 +332,8 @@ def dedup(docs: DataFrame, columns: list[str] | None = None, with_kept: bool = T
     spans = removed_spans(docs)
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(spans))
     fields = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns],
-                        "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept])
-    names = [*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
+                        "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_kept])
+    names = [*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "kept_text"] * with_kept]
     keyed = with_key(docs)
 
     def finished(b: pa.RecordBatch, spans: list[list[bytes] | None]) -> pa.RecordBatch:
@@ -340,7 +342,7 @@ def dedup(docs: DataFrame, columns: list[str] | None = None, with_kept: bool = T
         return pa.RecordBatch.from_arrays(
             [*[b[c] for c in columns], pa.array(list(map(len, texts)), pa.int64()), pa.array([x[1] for x in cut], pa.int64()),
              pa.array([x[2] for x in cut], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in cut], pa.string()),
-             *[pa.array([x[0] for x in cut], pa.binary())] * with_kept], names)
+             *([pa.array([x[0] for x in cut], pa.binary()), pa.array([x[0].decode("utf-8", "ignore") for x in cut], pa.string())] if with_kept else [])], names)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
