@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ngram_join, packing, paragraph_dedup, sharding, suffix_dedup, toxicity, warc_zstd
+from . import ann, byte_bpe, ngram_join, packing, paragraph_dedup, sharding, suffix_dedup, topk, toxicity, warc_zstd
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ JOBS: dict[str, Query] = {
     "op2_toxicity": lambda s, d: toxicity.toxic_documents(table(s, d, "documents"), table(s, d, "labels")),
     "op3_ngram_join": lambda s, d: ngram_join.similar_groups(table(s, d, "documents")).select(
         "doc_id", "n_shingles", "component_id"),
+    "op4_topk": lambda s, d: topk.every_hundredth(table(s, d, "embeddings")),
+    "op6_ann": lambda s, d: ann.every_fiftieth(table(s, d, "embeddings")),
     "op5_suffix_dedup": lambda s, d: suffix_dedup.dedup(table(s, d, "documents"), ["doc_id"], with_kept=False),
     "op7_warc": lambda s, d: warc_zstd.page_round_trip(table(s, d, "pages")),
     "op8_packing": lambda s, d: packing.pack_documents(
@@ -26,4 +28,4 @@ JOBS: dict[str, Query] = {
         table(s, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_topk": topk.SQL}
