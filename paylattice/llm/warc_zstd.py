@@ -88,7 +88,7 @@ class ArchiveWriter:
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
         self.files.create_dir(self.folder, recursive=True)
         self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-        self.out, self.records = self.files.open_output_stream(self.path), 0
+        self.out, self.records = self.files.open_output_stream(self.path, compression=None), 0  # the frames are compressed already
         self.out.write(dictionary_frame(dictionary))
         waiting, self.waiting, self.waiting_bytes = self.waiting, [], 0
         for data in waiting:
@@ -217,7 +217,7 @@ def read_archives(paths: DataFrame, folder: str, with_payload: bool = True) -> D
         for b in batches:
             for path in b["path"].to_pylist():
                 rows, held = [], 0
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     try:
                         for data in frames(stream):
                             try:
