@@ -94,6 +94,18 @@ def dedup_key(existing: Column, company: Column, title: Column, city: Column) ->
     return F.coalesce(blank_to_null(existing), key_of(company, title, city))
 
 
+def identity(existing: Column, company: Column, title: Column, city: Column) -> Column:
+    """What makes two rows the same posting.
+
+    A row's own key, tagged; else the full digest of the lower-case parts with a
+    separator between them.  The twelve digits of ``key_of`` are only a short name: they
+    glue parts together, and different postings may share them.
+    """
+    own = blank_to_null(existing)
+    parts = F.concat_ws("\x1f", *[F.lower(F.coalesce(p, F.lit(""))) for p in (company, title, city)])
+    return F.when(own.isNull() | (own == key_of(company, title, city)), F.sha2(parts, 256)).otherwise(F.concat(F.lit("key:"), own))
+
+
 def source_key(prefix: str, company: Column, title: Column, tail: Column) -> Column:
     """Key of one source: prefix + trimmed company + trimmed title + id or location."""
     return key_of(F.lit(prefix), strip(company), strip(title), tail)

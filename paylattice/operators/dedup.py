@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dedup_key
+from ..functions.text import dedup_key, identity
 
 
 def first_per(df: DataFrame, keys: list, order: list, n: int = 1, rank: str | None = None) -> DataFrame:
@@ -22,13 +22,28 @@ def first_per(df: DataFrame, keys: list, order: list, n: int = 1, rank: str | No
 
 
 def with_key(df: DataFrame) -> DataFrame:
+    """Add ``dedup_key``, the short name, and ``identity``, which decides what is the same posting.
+
+    An identity that a row already has stays, so that later cleaning of its title or
+    company does not make it another posting.
+    """
     existing = F.col("dedup_key") if "dedup_key" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("dedup_key", dedup_key(existing, F.col("company_name"), F.col("job_title"), F.col("city")))
+    parts = [F.col(c) for c in ("company_name", "job_title", "city")]
+    same = identity(existing, *parts)
+    return df.withColumns({
+        "dedup_key": dedup_key(existing, *parts),
+        "identity": F.coalesce(F.col("identity"), same) if "identity" in df.columns else same,
+    })
+
+
+def key_column(*frames: DataFrame) -> str:
+    """``identity`` where all tables have it, else their own ``dedup_key``."""
+    return "identity" if all("identity" in f.columns for f in frames) else "dedup_key"
 
 
-def keep_with_salary(df: DataFrame, order: list | None = None, key: str = "dedup_key") -> DataFrame:
-    """One row per key, rows that name a salary first."""
-    return first_per(df, [key], [F.col("salary").isNull(), *(order or ["id"])])
+def keep_with_salary(df: DataFrame, order: list | None = None, key: str | None = None) -> DataFrame:
+    """One row per posting, rows that name a salary first."""
+    return first_per(df, [key or key_column(df)], [F.col("salary").isNull(), *(order or ["id"])])
 
 
 def keep_first(frames: list[DataFrame], order: list | None = None) -> DataFrame:
@@ -37,7 +52,7 @@ def keep_first(frames: list[DataFrame], order: list | None = None) -> DataFrame:
     for rank, f in enumerate(frames):
         f = with_key(f).withColumn("_source_rank", F.lit(rank))
         merged = f if merged is None else merged.unionByName(f, allowMissingColumns=True)
-    return first_per(merged, ["dedup_key"], ["_source_rank", *(order or ["id"])]).drop("_source_rank")
+    return first_per(merged, ["identity"], ["_source_rank", *(order or ["id"])]).drop("_source_rank")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -54,8 +69,9 @@ def merge_master(master: DataFrame, batch: DataFrame, order: list | None = None)
     return keep_with_salary(merged, ["_new", *(order or ["id"])]).drop("_new")
 
 
-def run_summary(master: DataFrame, batch: DataFrame, key: str = "dedup_key") -> DataFrame:
+def run_summary(master: DataFrame, batch: DataFrame, key: str | None = None) -> DataFrame:
     """Counts of one accumulation run, from keys alone."""
+    key = key or key_column(master, batch)
     tagged = master.select(key, F.lit(0).alias("_new")).unionByName(batch.select(key, F.lit(1).alias("_new")))
     per_key = tagged.groupBy(key).agg(
         F.sum(1 - F.col("_new")).alias("_old"), F.sum("_new").alias("_add"))
@@ -68,22 +84,34 @@ def run_summary(master: DataFrame, batch: DataFrame, key: str = "dedup_key") ->
 
 
 def insert_if_absent(existing: DataFrame, batch: DataFrame, columns: list[str], order: list | None = None,
-                     key: str = "dedup_key", stamp: Column | None = None) -> DataFrame:
+                     key: str | None = None, stamp: Column | None = None) -> DataFrame:
     """Rows of the batch that an insert with do-nothing-on-conflict would add.
 
     Columns the table does not have are dropped.  The first row of a key wins
     inside the batch, keys already stored are skipped, null keys never conflict;
     those rows get a key of their own so that they do not meet in one task.
     """
-    order = order or ["id"]
+    order, key = order or ["id"], key or key_column(existing, batch)
     alone = F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string"))
     first = first_per(batch.withColumn("_key", F.coalesce(F.col(key), alone)), ["_key"], order)
     stored = existing.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"))
+    stored = stored.join(small_side(first.select("_key")), "_key", "left_semi")
     fresh = first.join(stored, "_key", "left_anti")
     kept = [c for c in columns if c in batch.columns and c != "scraped_at"]
     return fresh.select(*kept, (F.current_timestamp() if stamp is None else stamp).alias("scraped_at"))
 
 
+def small_side(keys: DataFrame, bytes_per_row: int = 128) -> DataFrame:
+    """Keys of a batch, marked for broadcast if their counted size allows it.
+
+    History is cut to these keys first; then it is read but not shuffled.  A batch of
+    more keys is joined as Spark sees fit.
+    """
+    spark = keys.sparkSession
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return F.broadcast(keys) if keys.count() * bytes_per_row <= limit else keys
+
+
 def upsert(rows: DataFrame, keys: list[str], newest: list) -> DataFrame:
     """Last write per key."""
     return first_per(rows, keys, newest)

@@ -213,11 +213,10 @@ def chart_remote(comparison: DataFrame) -> DataFrame:
 def salary_histogram(jobs: DataFrame, width: int = 20000) -> DataFrame:
     """Counts per bin from the lowest to the highest occupied one, empty bins included."""
     pay = jobs.where(F.col(PAY) > 0)
-    counts = pay.groupBy((F.floor(F.col(PAY) / width) * width).alias("bin")).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(PAY).alias("_top"))
-    edges = counts.agg(F.min("bin").alias("first"), (F.ceil(F.max("_top") / width) * width - width).alias("last"))
-    bins = edges.where(F.col("last") >= F.col("first")).select(
-        F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(width).cast("bigint"))).alias("bin"))
+    counts = pay.groupBy((F.floor(F.col(PAY) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    first, last = counts.agg(F.min("bin"), F.max("bin")).first()
+    spark = jobs.sparkSession
+    bins = spark.range(first, last + width, width).toDF("bin") if first is not None else spark.range(0).toDF("bin")
     return bins.join(counts, "bin", "left").select(
         "bin", F.concat(F.lit("$"), (F.col("bin") / 1000).cast("bigint").cast("string"), F.lit("k-$"),
                         ((F.col("bin") + width) / 1000).cast("bigint").cast("string"), F.lit("k")).alias("range"),

@@ -19,7 +19,6 @@ from ..schemas import PAGE_PAYLOAD
 # --- fixed values: where pay stands on a page, in order of trust --------------
 PAY_CLASSES = ["salaryInfoAndJobType", "salary-snippet-container", "detailSalary", "salaryEstimate", "css-1bluz6i",
                "jobsearch-JobMetadataHeader-item", "salary-estimate", "compensation__salary"]
-DESCRIPTION_LIMIT = 5000  # stored description length of a card or detail page
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
@@ -145,7 +144,7 @@ def card_jobs(pages: DataFrame) -> DataFrame:
         remote.alias("remote_type"), M.flag(F.lower("_text").contains("bonus")).alias("has_bonus"),
         M.flag(remote.isin("Remote", "Hybrid")).alias("has_remote_benefits"),
         X.extract_skills(description).alias("skills_required"),
-        F.substring(description, 1, DESCRIPTION_LIMIT).alias("job_description"),
+        description.alias("job_description"),
         X.key_of(X.strip(F.coalesce("company_name", F.lit(""))), X.strip(F.col("job_title")), X.strip(F.col("_searched")))
         .alias("dedup_key"),
         M.faang_flag(F.col("company_name")).alias("is_faang"),
@@ -199,7 +198,7 @@ def detail_enrich(rows: DataFrame) -> DataFrame:
         M.flag(remote.isin("Remote", "Hybrid")).alias("has_remote_benefits"),
         X.extract_skills(F.col("_text")).alias("skills_required"), level.alias("seniority_level"),
         F.coalesce(E.experience(F.col("_text")), E.seniority_experience(level)).alias("experience_required"),
-        F.substring("_text", 1, DESCRIPTION_LIMIT).alias("job_description"),
+        F.col("_text").alias("job_description"),
         X.blank_to_null(F.regexp_extract("job_link", "jk=([a-f0-9]+)", 1)).alias("job_id"),
         F.when(X.contains_any(F.lower(date), vocab.DATE_WORDS), date).alias("date_posted_raw"),
         X.key_of(X.strip(F.col("company_name")), X.strip(F.col("job_title")), X.strip(F.col("location"))).alias("dedup_key"),

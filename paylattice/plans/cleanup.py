@@ -118,6 +118,11 @@ def _(t):
 KEY = f"coalesce(nullif(dedup_key, ''), {D.key_of('company_name', 'job_title', 'city')})"
 
 
+PARTS = "concat_ws(chr(31), lower(coalesce(company_name, '')), lower(coalesce(job_title, '')), lower(coalesce(city, '')))"
+IDENTITY = f"""CASE WHEN nullif(dedup_key, '') IS NULL OR dedup_key = {D.key_of('company_name', 'job_title', 'city')}
+    THEN {PARTS} ELSE 'key:' || dedup_key END"""
+
+
 @query("dedup_key", "raw", f"SELECT id, {KEY} AS dedup_key FROM raw")
 def _(t):
     return K.with_key(t.raw).select("id", "dedup_key")
@@ -134,8 +139,8 @@ def _(t):
         X.source_key("", company, title, X.strip(F.col("location"))).alias("bare"))
 
 
-BEST = f"""WITH k AS (SELECT * REPLACE ({KEY} AS dedup_key) FROM raw %s),
-    best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY CASE WHEN salary IS NULL THEN 1 ELSE 0 END, id) = 1)"""
+BEST = f"""WITH k AS (SELECT * REPLACE ({KEY} AS dedup_key), {IDENTITY} AS identity FROM raw %s),
+    best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY identity ORDER BY CASE WHEN salary IS NULL THEN 1 ELSE 0 END, id) = 1)"""
 
 
 @query("dedup_keep_salary", "raw", BEST % "" + " SELECT dedup_key, id, salary FROM best")
@@ -303,13 +308,13 @@ def halves(t):
     return K.keep_with_salary(keyed.where(F.expr(f"scraped_at < {CUT}"))), keyed.where(F.expr(f"scraped_at >= {CUT}"))
 
 
-HALVES = f"""WITH keyed AS (SELECT * REPLACE ({KEY} AS dedup_key) FROM raw), batch AS (SELECT * FROM keyed WHERE scraped_at >= {CUT}),
-    master AS (SELECT * FROM keyed WHERE scraped_at < {CUT} QUALIFY row_number() OVER (PARTITION BY dedup_key
+HALVES = f"""WITH keyed AS (SELECT * REPLACE ({KEY} AS dedup_key), {IDENTITY} AS identity FROM raw), batch AS (SELECT * FROM keyed WHERE scraped_at >= {CUT}),
+    master AS (SELECT * FROM keyed WHERE scraped_at < {CUT} QUALIFY row_number() OVER (PARTITION BY identity
       ORDER BY CASE WHEN salary IS NULL THEN 1 ELSE 0 END, id) = 1)"""
 MERGED = f"""{HALVES}, merged AS (SELECT * FROM (SELECT *, 0 AS fresh FROM master UNION ALL SELECT *, 1 FROM batch)
-    QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY CASE WHEN salary IS NULL THEN 1 ELSE 0 END, fresh, id) = 1)"""
-INSERTED = f"""{HALVES} SELECT dedup_key, id FROM batch WHERE dedup_key NOT IN (SELECT dedup_key FROM master)
-    QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY id) = 1"""
+    QUALIFY row_number() OVER (PARTITION BY identity ORDER BY CASE WHEN salary IS NULL THEN 1 ELSE 0 END, fresh, id) = 1)"""
+INSERTED = f"""{HALVES} SELECT dedup_key, id FROM batch WHERE identity NOT IN (SELECT identity FROM master)
+    QUALIFY row_number() OVER (PARTITION BY identity ORDER BY id) = 1"""
 
 
 @query("insert_if_absent", "raw", INSERTED)
@@ -343,8 +348,8 @@ def _(t):
     return K.union_sources(*sources(t)).select("id", "job_title", "company_name", "role", "industry")
 
 
-@query("dedup_keep_first", "bulk raw", f"""{LOADED}, u AS (SELECT 0 AS src, CAST(job_id AS BIGINT) AS id, dedup_key FROM loaded
-    UNION ALL SELECT 1, id, {KEY} FROM raw) SELECT dedup_key, id FROM u
-    QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY src, id) = 1""")
+@query("dedup_keep_first", "bulk raw", f"""{LOADED}, u AS (SELECT 0 AS src, CAST(job_id AS BIGINT) AS id, dedup_key, {IDENTITY} AS identity FROM loaded
+    UNION ALL SELECT 1, id, {KEY}, {IDENTITY} FROM raw) SELECT dedup_key, id FROM u
+    QUALIFY row_number() OVER (PARTITION BY identity ORDER BY src, id) = 1""")
 def _(t):
     return K.keep_first(list(sources(t))).select("dedup_key", "id")

@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..streaming import jobs as ST
 from . import duck as D
-from .cleanup import BEST, HALVES, INSERTED, halves
+from .cleanup import BEST, HALVES, INSERTED, PARTS, halves
 from .market import HEALTH
 from .registry import query
 from .scoring import requests
@@ -233,7 +233,7 @@ def _(t):
 # --- streams ------------------------------------------------------------------
 
 @query("incremental_merge", "jobs", f"""SELECT {D.key_of('company_name', 'job_title', 'city')} AS dedup_key, id, salary FROM jobs
-    QUALIFY row_number() OVER (PARTITION BY {D.key_of('company_name', 'job_title', 'city')}
+    QUALIFY row_number() OVER (PARTITION BY {PARTS}
       ORDER BY CASE WHEN salary IS NULL THEN 1 ELSE 0 END, id) = 1""")
 def _(t):
     path = scratch_path(t.spark, "accumulate")
@@ -242,7 +242,7 @@ def _(t):
 
 
 @query("stream_insert", "jobs", f"""SELECT {D.key_of('company_name', 'job_title', 'city')} AS dedup_key, id FROM jobs
-    QUALIFY row_number() OVER (PARTITION BY {D.key_of('company_name', 'job_title', 'city')} ORDER BY id) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY {PARTS} ORDER BY id) = 1""")
 def _(t):
     path = scratch_path(t.spark, "insert")
     ST.insert_new(t.jobs_stream(), f"{path}/table", f"{path}/checkpoint", ["id"])
@@ -252,8 +252,7 @@ def _(t):
 @query("stream_dedup", "", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     path = scratch_path(t.spark, "first_seen")
-    seen = ST.first_seen(t.stream("events"), ["user_id", "event_type"], delay="60 days")
-    ST.append_stream(seen, f"{path}/table", f"{path}/checkpoint")
+    ST.store_first_seen(t.stream("events"), ["user_id", "event_type"], f"{path}/table", f"{path}/checkpoint", ["event_id"])
     return t.spark.read.parquet(f"{path}/table").select("user_id", "event_type")
 
 

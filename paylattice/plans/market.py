@@ -142,7 +142,7 @@ def _(t):
 
 
 @query("salary_histogram", "jobs", """WITH p AS (SELECT salary_usd_numeric s FROM jobs WHERE salary_usd_numeric > 0),
-    b AS (SELECT unnest(generate_series(CAST(floor(min(s) / 20000) * 20000 AS BIGINT), CAST(ceil(max(s) / 20000) * 20000 - 1 AS BIGINT), 20000)) AS bin FROM p)
+    b AS (SELECT unnest(generate_series(CAST(floor(min(s) / 20000) * 20000 AS BIGINT), CAST(floor(max(s) / 20000) * 20000 AS BIGINT), 20000)) AS bin FROM p)
     SELECT bin, '$' || (bin // 1000) || 'k-$' || ((bin + 20000) // 1000) || 'k' AS "range", count(s) AS "count"
     FROM b LEFT JOIN p ON s >= bin AND s < bin + 20000 GROUP BY bin""")
 def _(t):

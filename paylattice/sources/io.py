@@ -12,39 +12,61 @@ from pyspark.sql import types as T
 from ..schemas import JOBS, LISTING
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Quoted CSV with a header and line breaks inside fields; the schema is given, never inferred."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("enforceSchema", False).csv(path))
+BAD_ROW = "_bad_row"
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, breaks: bool = False, bad_rows: bool = False) -> DataFrame:
+    """Quoted CSV with a header; the schema is given, never inferred.
+
+    A file is split over many tasks.  ``breaks`` allows line breaks inside quoted fields,
+    for which each file has to be read by one task.  ``bad_rows`` adds ``_bad_row``, the
+    text of a line that does not fit the schema; ``count_bad_rows`` counts them.
+    """
+    if bad_rows:
+        schema = T.StructType([*schema.fields, T.StructField(BAD_ROW, T.StringType())])
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False)
+    reader = reader.option("multiLine", breaks).option("columnNameOfCorruptRecord", BAD_ROW)
+    return reader.csv(path)
+
+
+def count_bad_rows(spark: SparkSession, path: str, schema: T.StructType, breaks: bool = False) -> DataFrame:
+    """One row: lines read and lines that do not fit the schema."""
+    rows = scan_csv(spark, path, schema, breaks, bad_rows=True)
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count(BAD_ROW).alias("bad_rows"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when it has fewer splits than cores.
+def is_absent(error: AnalysisException) -> bool:
+    """Whether nothing is stored there yet; any other failure to read is an error."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
 
-    For text rules that cost far more than the shuffle, on inputs of one or a few
-    small files.  A scan with enough splits is returned as it is.  Give a plain
-    scan only: counting its splits must not run anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scan_jobs(spark: SparkSession, path: str | None = None, table: str | None = None,
-              jdbc: dict[str, str] | None = None) -> DataFrame:
+              jdbc: dict[str, str] | None = None, one_task: bool = False) -> DataFrame:
     """The whole jobs table from files, the catalog or a database; absent means empty.
 
     For a database give ``partitionColumn``, bounds and ``numPartitions`` in
-    ``jdbc``, so that the scan is split over the key.
+    ``jdbc``, so that the scan is split over the key; without them the whole table would
+    come through one task, which takes ``one_task=True``.
     """
+    bounds = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+    if jdbc and not one_task and not bounds <= set(jdbc):
+        raise ValueError(f"give {', '.join(sorted(bounds))} or one_task=True")
     try:
         if jdbc:
             return spark.read.format("jdbc").options(**jdbc).load()
         return spark.read.table(table) if table else spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return spark.createDataFrame([], JOBS)
 
 

@@ -14,7 +14,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import spread
 
 
 def text(expr: str) -> str:
@@ -224,18 +223,19 @@ def project(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 class Tables:
     """Lazy access to the test tables of one folder and the views over them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, heavy: bool = False):
-        self.spark, self.sf_dir, self.heavy = spark, sf_dir, heavy
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(scan) if self.heavy and name in ("orders", "pages") else scan
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
-        """The same table as an incremental file source."""
+        """The same table, one file or a folder of them, as an incremental file source.
+
+        The path is a pattern for the table's own name, which file streams need for a single file.
+        """
         schema = self.table(name).schema
-        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                .parquet(self.sf_dir))
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
     def sold(self, orders: DataFrame | None = None) -> DataFrame:
         """Orders with customer, nation and region; the dimensions are broadcast by size."""

@@ -6,11 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import insert_if_absent, keep_with_salary, with_key
+from ..operators.dedup import first_per, insert_if_absent, keep_with_salary, small_side, with_key
 from ..operators.quality import source_health
+from ..sources.io import delete, is_absent
 
 
-SEEN = "dedup_key string, salary string, batch long"  # what later batches need of stored rows
+SEEN = "identity string, salary string, batch long"  # what later batches need of stored rows
 
 
 def run_available(writer, checkpoint: str) -> None:
@@ -22,7 +23,9 @@ def run_available(writer, checkpoint: str) -> None:
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -56,9 +59,10 @@ def accumulate(listings: DataFrame, path: str, checkpoint: str, order: list[str]
     def store(batch: DataFrame, batch_id: int) -> None:
         best = keep_with_salary(batch, order)
         stored = read_or_empty(batch.sparkSession, path, SEEN).where(F.col("batch") < batch_id)
-        known = stored.groupBy("dedup_key").agg(F.max(F.col("salary").isNotNull()).alias("_paid"))
+        stored = stored.join(small_side(best.select("identity")), "identity", "left_semi")
+        known = stored.groupBy("identity").agg(F.max(F.col("salary").isNotNull()).alias("_paid"))
         better = F.col("_paid").isNull() | (~F.col("_paid") & F.col("salary").isNotNull())
-        changed = best.join(known, "dedup_key", "left").where(better).drop("_paid")
+        changed = best.join(known, "identity", "left").where(better).drop("_paid")
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run_available(keyed.writeStream.foreachBatch(store), checkpoint)
@@ -68,8 +72,54 @@ def current_master(spark: SparkSession, path: str) -> DataFrame:
     return keep_with_salary(spark.read.parquet(path), ["batch"]).drop("batch")
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """Replace the batches of an accumulated table by one that holds its current rows.
+
+    Run it while no stream writes the table.  The new folder is written under a hidden
+    name first; a run that broke off after that is finished by the next one, one that
+    broke off before leaves the batches as they were.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    ready = [n for n in names if n.startswith("_compact-") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    if not ready:
+        last = max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=None)
+        if last is None:
+            return
+        ready = [f"_compact-{last}"]
+        current_master(spark, path).write.mode("overwrite").parquet(f"{path}/{ready[0]}")
+    last = int(ready[0].removeprefix("_compact-"))
+    for n in names:
+        if n.startswith("batch=") and int(n.removeprefix("batch=")) <= last:
+            delete(spark, f"{path}/{n}")
+    files.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/{ready[0]}"), jvm.org.apache.hadoop.fs.Path(f"{path}/batch={last}"))
+
+
+def store_first_seen(rows: DataFrame, keys: list[str], path: str, checkpoint: str, order: list) -> None:
+    """Store the first arrival of every key, for all time, however late it comes.
+
+    As ``insert_new``: each micro-batch owns a folder and looks at earlier ones, of which
+    only rows of its own keys are shuffled.
+    """
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        best = first_per(batch.withColumn("_key", name), ["_key"], order)
+        stored = read_or_empty(batch.sparkSession, path, "_key string, batch long").where(F.col("batch") < batch_id).select("_key")
+        known = stored.join(small_side(best.select("_key")), "_key", "left_semi")
+        best.join(known, "_key", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    run_available(rows.writeStream.foreachBatch(store), checkpoint)
+
+
 def first_seen(listings: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 day", salts: int = 16) -> DataFrame:
-    """First arrival per key; keys older than the watermark are forgotten, which bounds the state.
+    """First arrival per key within a time limit: the form for streams whose keys come back soon or never.
+
+    State is bounded, at a price: a key that arrives later than ``delay`` behind the
+    newest row is dropped, and one that comes again after it is stored twice.  Where
+    that matters, use ``store_first_seen``.
 
     Two steps: the copies of a hot key are first thinned out over ``salts`` tasks,
     so that at most that many rows per key meet in the second step.
@@ -87,6 +137,7 @@ def running_health(events: DataFrame, path: str, checkpoint: str) -> None:
     """Current health per source; each batch replaces the result table."""
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        delete(batch.sparkSession, f"{path}/batch={batch_id - 2}")  # readers may still hold the one before
 
     run_available(source_health(events).writeStream.outputMode("complete").foreachBatch(store), checkpoint)
 
