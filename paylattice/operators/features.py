@@ -212,20 +212,25 @@ def target_encode(df: DataFrame, encoders: Encoders, fitting: bool = False) -> D
     """
     for column, name in ENCODED.items():
         default = encoders.scalars.get("global_mean") if fitting else encoders.mean_of_means.get(column)
-        table = encoders.means[column].select(column, F.col("target_mean").alias(name))
-        df = df.join(table, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(float(default or 0.0))))
+        table = encoders.means[column].select(F.col(column).alias("_encoded"), F.col("target_mean").alias(name))
+        # a missing value matches nothing; keys of their own keep such rows from meeting in one task
+        alone = F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+        df = df.withColumn("_encoded", F.coalesce(F.col(column), alone)).join(table, "_encoded", "left").drop("_encoded").withColumn(name, F.coalesce(F.col(name), F.lit(float(default or 0.0))))
     return df
 
 
 def transform(df: DataFrame, encoders: Encoders, keep: list[str] | None = None, fitting: bool = False) -> DataFrame:
     """Feature columns in the frozen order, preceded by the columns in ``keep``."""
-    df = with_years(target_encode(with_role(df), encoders, fitting))
+    df = with_years(with_role(df))
     exprs = {
         **numeric_columns(df, encoders.scalars.get("rating_mean") or vocab.RATING_DEFAULT), **binary_columns(df),
-        **skill_columns(df), **{n: F.col(n) for n in ENCODED.values()}, **city_columns(df, encoders.cities),
-        **source_columns(df),
+        **skill_columns(df), **city_columns(df, encoders.cities), **source_columns(df),
     }
-    return df.select(*(keep or []), *[exprs[c].alias(c) for c in encoders.feature_columns])
+    # the means join rows that are narrow already, without descriptions
+    plain = [c for c in encoders.feature_columns if c in exprs]
+    narrow = df.select(*(keep or []), *[c for c in ENCODED if c not in (keep or [])], *[exprs[c].alias(c) for c in plain])
+    encoded = target_encode(narrow, encoders, fitting)
+    return encoded.select(*(keep or []), *[F.col(f"`{c}`") for c in encoders.feature_columns])
 
 
 def fit_transform(df: DataFrame, keep: list[str] | None = None, split: Column | None = None) -> tuple[Encoders, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..sources.io import is_absent
 from . import features as FT
 from .quality import min_rows_gate, training_readiness
 from .ranks import percentile_of
@@ -28,7 +30,8 @@ MODEL_VERSION = "1.0.0"
 
 def split_column(key: str = "id", seed: int = SEED) -> Column:
     """True for the 80 % training part; depends on the row's key only, not on partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10)) < 8
+    digits = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(10)) < 8
 
 
 def training_rows(df: DataFrame) -> DataFrame:
@@ -203,10 +206,12 @@ def train(spark: SparkSession, jobs: DataFrame, work_dir: str, candidates: dict
 
 
 def log_run(spark: SparkSession, path: str, model: SalaryModel, rows: int) -> DataFrame:
-    """Append one record to the run table; ids count up."""
+    """Append one record to the run table; ids count up.  A log that cannot be read is an error, an absent one is empty."""
     try:
         last = spark.read.parquet(path).agg(F.max("run_id")).first()[0] or 0
-    except Exception:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         last = 0
     m = model.metrics
     record = [(last + 1, model.name, round(m["rmse"], 2), round(m["mae"], 2), round(m["r2"], 4), rows, len(model.columns))]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import scratch_path
 from .dedup import first_per
 
 PAY = "salary_usd_numeric"
@@ -84,10 +85,14 @@ def best_matches(wanted: DataFrame, jobs: DataFrame, k: int) -> DataFrame:
              "_tier": ("_level", F.lower("seniority_level"))}
     paid = jobs.where(F.col(PAY).isNotNull())
     rows = paid.select(*COMPACT, *[c.alias(name) for name, (_, c) in texts.items()])
-    rows = first_per(rows, list(texts), [F.desc(PAY), "id"], k)
+    # stored once: it holds every distinct text, and all that follows reads it, not the postings
+    best = first_per(rows, list(texts), [F.desc(PAY), "id"], k)
+    path = scratch_path(jobs.sparkSession, "best-paid")
+    best.write.parquet(path)
+    best = rows = jobs.sparkSession.read.schema(best.schema).parquet(path)
     others: list[str] = []
-    for value, (key, column) in texts.items():
-        matches = keys_by_value(wanted, key, paid.select(column.alias(value)), value)
+    for value, (key, _) in texts.items():
+        matches = keys_by_value(wanted, key, best.select(value), value)
         rows = widen(rows, matches, wanted, key, value, others, k)
         others = [*others, key]
     return rows

@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..streaming import jobs as ST
 from . import duck as D
-from .cleanup import BEST, HALVES, INSERTED, PARTS, halves
+from .cleanup import BEST, CLEANED, HALVES, INSERTED, PARTS, halves
 from .market import HEALTH
 from .registry import query
 from .scoring import requests
@@ -301,19 +301,31 @@ def fit_and_score(t, estimator, name):
     return MD.regression_metrics(scored, ["model"])
 
 
-@query("train_test_split")
+TRAINING = f"salary_usd_numeric BETWEEN {V.TRAINING_PAY_RANGE[0]} AND {V.TRAINING_PAY_RANGE[1]}"
+IS_TRAIN = f"CAST('0x' || substr(md5(id || ':{MD.SEED}'), 1, 8) AS BIGINT) % 10 < 8"
+
+
+@query("train_test_split", "jobs", f"SELECT id, {IS_TRAIN} AS is_train FROM jobs WHERE {TRAINING}")
 def _(t):
     return MD.training_rows(t.jobs).select("id", MD.split_column().alias("is_train"))
 
 
-@query("train_rf")
+TEST_ROWS = f"SELECT 'NAME' AS model, count(*) AS \"rows\", TRUE AS mae_within_rmse FROM jobs WHERE {TRAINING} AND NOT ({IS_TRAIN})"
+
+
+def checked_fit(t, name):
+    scores = fit_and_score(t, SMALL[name](), name)
+    return scores.select("model", "rows", (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"))
+
+
+@query("train_rf", "jobs", TEST_ROWS.replace("NAME", "random_forest"))
 def _(t):
-    return fit_and_score(t, SMALL["random_forest"](), "random_forest")
+    return checked_fit(t, "random_forest")
 
 
-@query("train_gbt")
+@query("train_gbt", "jobs", TEST_ROWS.replace("NAME", "boosted_trees"))
 def _(t):
-    return fit_and_score(t, SMALL["boosted_trees"](), "boosted_trees")
+    return checked_fit(t, "boosted_trees")
 
 
 @query("grid_search")
@@ -329,36 +341,64 @@ def _(t):
     return MD.feature_importance(t.spark, m.model, m.columns)
 
 
-@query("batch_predict")
+@query("batch_predict", "jobs", "SELECT id, TRUE AS is_amount FROM jobs")
 def _(t):
-    return model(t).predict(t.jobs, ["id"])
+    return model(t).predict(t.jobs, ["id"]).select("id", F.coalesce(F.col("prediction") >= 0, F.lit(False)).alias("is_amount"))
 
 
-@query("predict_band")
+@query("predict_band", "jobs", "SELECT id, TRUE AS in_order, TRUE AS is_percentile FROM jobs")
 def _(t):
-    return model(t).predict_band(t.jobs, ["id"])
+    band = model(t).predict_band(t.jobs, ["id"])
+    value = F.col("predicted_salary_usd")
+    return band.select("id", ((F.col("confidence_low") <= value) & (value <= F.col("confidence_high"))).alias("in_order"),
+                       F.col("percentile").between(1, 99).alias("is_percentile"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "jobs", "SELECT id, TRUE AS same FROM jobs")
 def _(t):
     path = scratch_path(t.spark, "model")
     model(t).save(t.spark, path)
-    return MD.SalaryModel.load(t.spark, path).predict(t.jobs, ["id"])
+    fresh = model(t).predict(t.jobs, ["id"]).withColumnRenamed("prediction", "fresh")
+    stored = MD.SalaryModel.load(t.spark, path).predict(t.jobs, ["id"])
+    return fresh.join(stored, "id").select("id", (F.abs(F.col("fresh") - F.col("prediction")) < 0.01).alias("same"))
 
 
-@query("run_log")
+@query("run_log", "jobs", f"""SELECT CAST(run_id AS INTEGER) AS run_id, n AS "rows" FROM
+    (SELECT count(*) AS n FROM jobs WHERE {TRAINING}), (SELECT unnest([1, 2]) AS run_id)""")
 def _(t):
     path = scratch_path(t.spark, "runs")
     m = model(t)
     rows = MD.training_rows(t.jobs).count()
     MD.log_run(t.spark, path, m, rows)
-    return MD.log_run(t.spark, path, m, rows)
+    return MD.log_run(t.spark, path, m, rows).select("run_id", "rows")
+
+
+def run_training(t, previous_r2):
+    """Report of the whole job, with how many models and runs it stored."""
+    path = scratch_path(t.spark, "training")
+    report = MD.training_job(t.spark, C.clean_jobs(t.raw), path, SMALL, previous_r2=previous_r2)
+    stored = report.first()["promoted"]
+    runs = t.spark.read.parquet(f"{path}/runs").count() if stored else 0
+    if stored:
+        MD.SalaryModel.load(t.spark, f"{path}/model")
+    return report.select("promoted", "salary_rows").withColumn("runs", F.lit(runs).cast("bigint"))
+
+
+def outcome(promoted, runs):
+    return f"{CLEANED} SELECT {promoted} AS promoted, count(salary_usd_numeric) AS salary_rows, CAST({runs} AS BIGINT) AS runs FROM clean"
+
+
+
+@query("train_job", "raw", outcome("TRUE", 1))
+def _(t):
+    """Nothing to compare with: the new model is promoted, stored and logged."""
+    return run_training(t, None)
 
 
-@query("train_job")
+@query("train_job_blocked", "raw", outcome("FALSE", 0))
 def _(t):
-    return MD.training_job(t.spark, C.clean_jobs(t.raw), scratch_path(t.spark, "training"),
-                           {"random_forest": SMALL["random_forest"]}, previous_r2=0.9)
+    """A stored model that is better blocks the new one."""
+    return run_training(t, 0.999)
 
 
 @query("boosted_salary")
