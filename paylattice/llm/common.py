@@ -169,7 +169,9 @@ def pack_keys(keys: np.ndarray, rows: dict[int, list[bytes]]) -> None:
     """Add sorted distinct 64-bit keys to the buckets of their leading bits."""
     bounds = np.searchsorted(keys >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(bounds)):
-        rows.setdefault(int(b), []).append(keys[bounds[b] : bounds[b + 1]].tobytes())
+        # the bits behind those of the bucket: 44 bits name a key, which is plenty for a filter
+        own = (keys[bounds[b] : bounds[b + 1]] << np.uint64(BUCKET_BITS)) >> np.uint64(32)
+        rows.setdefault(int(b), []).append(own.astype("<u4").tobytes())
 
 
 def packed_batches(rows: dict[int, list[bytes]]) -> pa.RecordBatch:
@@ -205,22 +207,32 @@ class KeyPacker:
 
 
 class KeyBitmap:
-    """Which keys come often, by their leading ``BITMAP_BITS``; with the numbers of all and of distinct keys."""
+    """Which keys come often, by two bits for each; with the numbers of all and of distinct keys.
 
-    def __init__(self, bits: np.ndarray, total: int, different: int):
-        self.bits, self.total, self.different = bits, total, different
+    The first bit is that of the leading ``BITMAP_BITS``, the second lies in the same
+    bucket and is named by the bits behind them.
+    """
+
+    def __init__(self, bits: np.ndarray, second: np.ndarray | None = None, total: int = 0, different: int = 0):
+        self.bits, self.second, self.total, self.different = bits, second, total, different
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        found = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        if self.second is not None and found.any():
+            keys, at, low = keys[found], at[found], BITMAP_BITS - BUCKET_BITS
+            other = (keys >> np.uint64(64 - BITMAP_BITS - low)).astype(np.int64) & ((1 << low) - 1)
+            at = (at >> low << low) | other
+            found[found] = (self.second[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return found
 
 
 def key_bitmap(packed: DataFrame, least: int = 2) -> KeyBitmap:
-    """Bitmap over the leading ``BITMAP_BITS`` of keys that come ``least`` times or more.
+    """Bitmap of the keys that come ``least`` times or more.
 
-    ``packed`` has the rows of ``KeyPacker``.  The result has a fixed size (16 MB); a
-    bit may also be set for another key with the same leading bits, so it serves as a
-    filter or as a rank in an order, never as a decision.
+    ``packed`` has the rows of ``KeyPacker``.  The result has a fixed size (twice 16 MB);
+    bits may also be set for another key, so it serves as a filter or as a rank in an
+    order, never as a decision.
     """
     low, part = BITMAP_BITS - BUCKET_BITS, 1 << (BITMAP_BITS - BUCKET_BITS - 3)
 
@@ -228,26 +240,27 @@ def key_bitmap(packed: DataFrame, least: int = 2) -> KeyBitmap:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for b, keys in zip(batch["bucket"].to_pylist(), batch["keys"].to_pylist(), strict=True):
-                held.setdefault(b, []).append(np.frombuffer(keys, np.uint64))
+                held.setdefault(b, []).append(np.frombuffer(keys, "<u4"))
         rows = []
         for b in sorted(held):
             keys = np.sort(np.concatenate(held.pop(b)))
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             often = keys[first[np.diff(np.append(first, len(keys))) >= least]]
-            bits = np.zeros(part * 8, bool)
-            bits[((often >> np.uint64(64 - BITMAP_BITS)) & np.uint64((1 << low) - 1)).astype(np.int64)] = True
-            rows.append((b, np.packbits(bits, bitorder="little").tobytes(), len(keys), len(first)))
+            bits = np.zeros((2, part * 8), bool)
+            bits[0, often >> np.uint32(32 - low)] = True
+            bits[1, (often >> np.uint32(32 - 2 * low)) & np.uint32((1 << low) - 1)] = True
+            rows.append((b, np.packbits(bits, axis=1, bitorder="little").tobytes(), len(keys), len(first)))
         if rows:
             b, bits, total, different = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(bits), pa.array(total), pa.array(different)],
                                              ["bucket", "keys", "total", "different"])
 
     counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, PACKED + ", total long, different long")
-    bits, total, different = np.zeros(part << BUCKET_BITS, np.uint8), 0, 0
-    for row in counted.collect():  # 4 KB for each of 4,096 buckets
-        bits[row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(row["keys"], np.uint8)
+    bits, total, different = np.zeros((2, part << BUCKET_BITS), np.uint8), 0, 0
+    for row in counted.collect():  # 8 KB for each of 4,096 buckets
+        bits[:, row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(row["keys"], np.uint8).reshape(2, part)
         total, different = total + row.total, different + row.different
-    return KeyBitmap(bits, total, different)
+    return KeyBitmap(bits[0], bits[1], total, different)
 
 
 def bucket_tasks(df: DataFrame) -> int:
@@ -262,7 +275,7 @@ def id_bitmap(keys: DataFrame) -> KeyBitmap:
     bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for row in rows.collect():  # 4 KB for each of 4,096 parts
         bits[row.b * 4096 : (row.b + 1) * 4096] = np.frombuffer(row.m, np.uint8)
-    return KeyBitmap(bits, 0, 0)
+    return KeyBitmap(bits)
 
 
 # ---------------------------------------------------------------- components

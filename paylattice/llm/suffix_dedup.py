@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BUCKET_BITS, KeyBitmap, KeyPacker, Prefix, arrow_map, bucket_tasks, flat_bytes, id_bitmap, key_bitmap, slices, store,
+    BUCKET_BITS, KeyBitmap, KeyPacker, Prefix, arrow_map, bucket_tasks, flat_bytes, id_bitmap, key_bitmap, mix, slices, store,
 )
 
 #: Length of the strings that count, and of the grams whose least hash files a string.
@@ -20,7 +20,7 @@ LENGTH, GRAM = 50, 24
 #: A run of strings filed under one gram is cut after so many.
 LONGEST_RUN = 64
 LATE = np.iinfo(np.int64).max
-RUN = np.dtype([("file", "<u8"), ("content", "<u8"), ("rank", "<i8"), ("key", "<i8"), ("start", "<i4"), ("count", "<i4")])
+RUN = np.dtype([("file", "<u4"), ("content", "<u8"), ("rank", "<i8"), ("key", "<i8"), ("start", "<i4"), ("count", "u1")])
 SPAN = np.dtype([("start", "<i4"), ("stop", "<i4")])
 PARTS = "bucket int, key long, keys binary, data binary"
 NAMES = ["bucket", "key", "keys", "data"]
@@ -104,9 +104,9 @@ def batch_of(bucket, key, keys: list[bytes], data: list[bytes] | None = None) ->
          pa.array(keys, pa.binary()), pa.array(data, pa.binary()) if data else pa.nulls(len(keys), pa.binary())], NAMES)
 
 
-def by_bucket(rows: np.ndarray, data: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def by_bucket(file: np.ndarray, rows: np.ndarray, data: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Packed rows for the buckets of the file keys; ``data`` adds the bytes of each run, one after another."""
-    bucket = (rows["file"] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    bucket = (file >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, int)
@@ -117,30 +117,40 @@ def by_bucket(rows: np.ndarray, data: np.ndarray | None = None) -> Iterator[pa.R
         yield batch_of(bucket[cut], None, blobs, texts)
 
 
-def sent_runs(docs: DataFrame, wanted: KeyBitmap, with_bytes: bool) -> DataFrame:
+def place_of(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of a document's key and a place in it."""
+    return mix(key.view(np.uint64) + (start.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sent_runs(docs: DataFrame, wanted: KeyBitmap, places: KeyBitmap | None = None) -> DataFrame:
     """Packed runs whose file key is wanted, and spans that the task could already settle.
 
+    With ``places`` only runs at those places, together with their bytes.
+
     Of equal runs in a task only those of the smallest document go on; the others hold
     nothing that this document doesn't, so they are removed.  A run of many documents
     thus reaches the next task once per task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, places))
+    with_bytes = places is not None
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        files_wanted, places_wanted = shared.value
         best: dict[tuple[int, int], int] = {}
-        held, texts, size = [], [], 0
+        held, files, texts, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, texts, size
+            nonlocal held, files, texts, size
             if held:
-                yield from by_bucket(np.concatenate(held), np.array(texts, object) if with_bytes else None)
-            held, texts, size = [], [], 0
+                yield from by_bucket(np.concatenate(files), np.concatenate(held), np.array(texts, object) if with_bytes else None)
+            held, files, texts, size = [], [], [], 0
 
         for b in slices(batches):
             data, offsets = flat_bytes(b["text"])
             file, start, count, doc = runs(data, offsets)
-            keep = bitmap.has(file)
+            keep = files_wanted.has(file)
+            if places_wanted:
+                keep[keep] = places_wanted.has(place_of(b["key"].to_numpy()[doc[keep]], (start - offsets[doc])[keep]))
             file, start, count, doc = file[keep], start[keep], count[keep], doc[keep]
             if not len(file):
                 continue
@@ -165,7 +175,9 @@ def sent_runs(docs: DataFrame, wanted: KeyBitmap, with_bytes: bool) -> DataFrame
             yield from packed_spans(key[gone], at[gone], at[gone] + count[gone] - 1 + LENGTH)
             rest = np.flatnonzero(~gone)
             rows = np.zeros(len(rest), RUN)
-            for name, values in (("file", file), ("content", content), ("rank", rank), ("key", key), ("start", at), ("count", count)):
+            files.append(file[rest])
+            rows["file"] = (files[-1] << np.uint64(BUCKET_BITS)) >> np.uint64(32)  # the bits behind those of the bucket
+            for name, values in (("content", content), ("rank", rank), ("key", key), ("start", at), ("count", count)):
                 rows[name] = values[rest]
             held.append(rows)
             size += len(rows)
@@ -201,30 +213,34 @@ def dealt(parts: DataFrame) -> DataFrame:
 
 
 def settle_equal_runs(sent: DataFrame) -> DataFrame:
-    """Spans of runs that equal a whole run of a smaller document, and file keys under which runs differ.
+    """Spans of runs that equal a whole run of a smaller document, and packed places of runs that are left to compare.
 
-    Under a key with one content only, nothing else is to be found.
+    Those are the runs of the smallest document of each content, under file keys with
+    several contents.  Under a key with one content nothing else is to be found.
     """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found, asked = [], KeyPacker(most_alike=1)
         for got in gathered(batches):
             if isinstance(got, pa.RecordBatch):
                 yield got
                 continue
-            bucket, rows, _ = got
+            _, rows, _ = got
             rows = rows[np.lexsort((rows["rank"], rows["content"], rows["file"]))]
             file = np.append(True, rows["file"][1:] != rows["file"][:-1])
             fresh = file | np.append(True, rows["content"][1:] != rows["content"][:-1])
             sizes = np.diff(np.append(np.flatnonzero(fresh), len(rows)))
             found.append(rows[np.repeat(rows["rank"][fresh], sizes) < rows["rank"]])
+            lowest = rows["rank"] == np.repeat(rows["rank"][fresh], sizes)
             contents = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(file))
-            several = rows["file"][file][contents > 1]
-            if len(several):
-                yield batch_of([bucket], None, [several.tobytes()])
+            several = np.repeat(contents > 1, np.diff(np.append(np.flatnonzero(file), len(rows))))
+            for packed in asked.add(place_of(rows["key"], rows["start"])[lowest & several]):
+                yield batch_of(packed["bucket"], None, packed["keys"])
+        for packed in asked.flush():
+            yield batch_of(packed["bucket"], None, packed["keys"])
         if found:
             rows = np.concatenate(found)
-            yield from packed_spans(rows["key"], rows["start"], rows["start"] + rows["count"] - 1 + LENGTH)
+            yield from packed_spans(rows["key"], rows["start"], rows["start"] + rows["count"].astype(np.int64) - 1 + LENGTH)
 
     return arrow_map(dealt(sent), job, PARTS)
 
@@ -292,9 +308,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(key, spans): byte spans to remove, as packed arrays in a list, of the documents that have any."""
     plain = with_key(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("key"), "text")
     repeated = key_bitmap(file_keys(plain), 2)
-    first = store(settle_equal_runs(sent_runs(plain, repeated, with_bytes=False)), "equal-runs")
-    several = key_bitmap(first.where("bucket >= 0").select("bucket", "keys"), 1)
-    second = store(settle_by_refinement(sent_runs(plain, several, with_bytes=True)), "refined")
+    first = store(settle_equal_runs(sent_runs(plain, repeated)), "equal-runs")
+    places = key_bitmap(first.where("bucket >= 0").select("bucket", "keys"), 1)
+    second = store(settle_by_refinement(sent_runs(plain, repeated, places)), "refined")
     spans = first.where("bucket = -1").select("key", "keys").union(second.where("bucket = -1").select("key", "keys"))
     return store(spans.groupBy("key").agg(F.collect_list("keys").alias("spans")), "spans")
 
@@ -319,22 +335,17 @@ def cut_out(text: bytes, spans: list[bytes]) -> tuple[bytes, int, int]:
 
 
 def dedup(docs: DataFrame, columns: list[str] | None = None, with_kept: bool = True) -> DataFrame:
-    """``columns`` of every row (default: all but text) with n_bytes, n_removed, n_spans, kept_sha256, ``kept`` and ``kept_text``.
-
-    ``kept`` is what remains as bytes, ``kept_text`` the same without characters that lost some of their bytes.
+    """``columns`` of every row (default: all but text) with n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes that remain.
 
     A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts in a
     row with a smaller doc_id.  Strings are judged on the input.  A null text is empty; a
     null doc_id is larger than any other; rows of the same doc_id remove nothing from
-    each other.
+    each other.  A column of ``docs`` named like a result is replaced.
     """
-    columns = [c for c in docs.columns if c != "text"] if columns is None else columns
-    spans = removed_spans(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(spans))
-    fields = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns],
-                        "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_kept])
-    names = [*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "kept_text"] * with_kept]
-    keyed = with_key(docs)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("text", *results)]
+    kinds = dict(zip(results, ("long", "long", "long", "string", "binary"), strict=False))
+    fields = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns], *[f"{c} {t}" for c, t in kinds.items()]])
 
     def finished(b: pa.RecordBatch, spans: list[list[bytes] | None]) -> pa.RecordBatch:
         texts = [(x or "").encode() for x in b["text"].to_pylist()]
@@ -342,22 +353,45 @@ def dedup(docs: DataFrame, columns: list[str] | None = None, with_kept: bool = T
         return pa.RecordBatch.from_arrays(
             [*[b[c] for c in columns], pa.array(list(map(len, texts)), pa.int64()), pa.array([x[1] for x in cut], pa.int64()),
              pa.array([x[2] for x in cut], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in cut], pa.string()),
-             *([pa.array([x[0] for x in cut], pa.binary()), pa.array([x[0].decode("utf-8", "ignore") for x in cut], pa.string())] if with_kept else [])], names)
+             *[pa.array([x[0] for x in cut], pa.binary())] * with_kept], [*columns, *results])
+
+    return apply_spans(docs, columns, finished, fields)
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with what ``dedup`` leaves of each text; a row of which nothing is left goes.
+
+    Characters that lost some of their bytes are left out.  An untouched text, null too, stays as it is.
+    """
+    names = docs.columns
+
+    def finished(b: pa.RecordBatch, spans: list[list[bytes] | None]) -> pa.RecordBatch:
+        texts = [cut_out(t.encode(), s)[0].decode("utf-8", "ignore") if s else t for t, s in zip(b["text"].to_pylist(), spans, strict=True)]
+        out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b[c] for c in names], names)
+        return out.filter(pa.array([bool(t) or not s for t, s in zip(texts, spans, strict=True)]))
+
+    return apply_spans(docs, docs.columns, finished, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
+def apply_spans(docs: DataFrame, columns: list[str], finished, fields: str) -> DataFrame:
+    """``finished`` for all rows and their spans; only rows that may have spans are shuffled."""
+    spans = removed_spans(docs)
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(spans))
+    needed = with_key(docs).select(*dict.fromkeys([*columns, "text", "__key"]))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            b = b.filter(pa.array(~shared.value.has(b["__key"].to_numpy().view(np.uint64))))
+            b = b.filter(pa.array(~bitmap.value.has(b["__key"].to_numpy().view(np.uint64))))
             yield finished(b, [None] * b.num_rows)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(shared.value.has(b["__key"].to_numpy().view(np.uint64))))
+            yield b.filter(pa.array(bitmap.value.has(b["__key"].to_numpy().view(np.uint64))))
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield finished(b, b["__spans"].to_pylist())
 
-    needed = keyed.select(*dict.fromkeys([*columns, "text", "__key"]))
     some = arrow_map(needed, touched, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema))
     some = some.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
     return arrow_map(needed, untouched, fields).union(arrow_map(some, applied, fields))
