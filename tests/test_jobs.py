@@ -229,3 +229,82 @@ def test_first_seen_over_several_batches(spark):
         ST.append_stream(ST.first_seen(arriving, ["key"], delay="2 days"), f"{out}/t", f"{out}/c")
     got = [r["key"] for r in spark.read.parquet(f"{out}/t").collect()]
     assert len(got) == len(set(got)) and set(got) == {k for _, k in rows}
+
+
+def test_identity_keeps_glued_postings_apart(spark):
+    schema = "id int, company_name string, job_title string, city string, salary string, dedup_key string"
+    rows = [(1, "Data", "Engineer II", "x", None, None), (2, "DataE", "ngineer II", "x", None, None), (3, "DATA", "engineer ii", "X", "$9", ""),
+            (4, "Data", "Engineer II", "x", None, "own")]
+    df = spark.createDataFrame(rows, schema)
+    keyed = K.with_key(df)
+    short = {r["id"]: r["dedup_key"] for r in keyed.collect()}
+    assert short[1] == short[2] == short[3]  # the short name cannot tell them apart
+    assert sorted(r["id"] for r in K.keep_with_salary(keyed).collect()) == [2, 3, 4]
+    stored = K.with_key(df.where("id = 1"))
+    again = K.with_key(stored.withColumn("company_name", F.lit("cleaned")))
+    assert again.first()["identity"] == stored.first()["identity"]
+    assert sorted(r["id"] for r in K.insert_if_absent(stored, keyed, keyed.columns).collect()) == [2, 4]
+
+
+def test_histogram_counts_the_top_value(spark):
+    jobs = spark.createDataFrame([(20000.0,), (45000.0,), (100000.0,), (None,), (0.0,)], "salary_usd_numeric double")
+    out = [(r["bin"], r["count"]) for r in I.salary_histogram(jobs).collect()]
+    assert out == [(20000, 1), (40000, 1), (60000, 0), (80000, 0), (100000, 1)]
+    assert I.salary_histogram(jobs.where("false")).count() == 0
+
+
+def test_late_and_repeated_keys_are_stored_once(spark):
+    src, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    for day, key in ((20, "a"), (11, "b"), (31, "a"), (30, None)):
+        rows = spark.createDataFrame([(day, key), (day, None)], "day int, key string")
+        rows.withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("day") * 86400)).coalesce(1).write.mode("append").parquet(src)
+        arriving = spark.readStream.schema("day int, key string, ts timestamp").parquet(src)
+        ST.store_first_seen(arriving, ["key"], f"{out}/t", f"{out}/c", ["day"])
+    assert sorted((r["key"] or "", r["day"]) for r in spark.read.parquet(f"{out}/t").collect()) == [("", 20), ("a", 20), ("b", 11)]
+
+
+def test_compaction_keeps_the_master(spark):
+    rows = [(i, f"t{i % 7}", "c", "x", None if i % 3 else "$9", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, job_title string, company_name string, city string, salary string, dedup_key string")
+    src, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    for lo in (0, 20, 40):
+        df.where((F.col("id") >= lo) & (F.col("id") < lo + 20)).coalesce(1).write.mode("append").parquet(src)
+        ST.accumulate(spark.readStream.schema(df.schema).parquet(src), f"{out}/t", f"{out}/c", ["id"])
+        if lo == 20:
+            before = sorted((r["identity"], r["id"]) for r in ST.current_master(spark, f"{out}/t").collect())
+            ST.compact(spark, f"{out}/t")
+            ST.compact(spark, f"{out}/t")
+            assert sorted((r["identity"], r["id"]) for r in ST.current_master(spark, f"{out}/t").collect()) == before
+            assert spark.read.parquet(f"{out}/t").select("batch").distinct().count() == 1
+    want = {r["identity"]: r["salary"] for r in K.keep_with_salary(K.with_key(df)).collect()}
+    assert {r["identity"]: r["salary"] for r in ST.current_master(spark, f"{out}/t").collect()} == want
+
+
+def test_foldered_tables_stream_their_rows(spark):
+    from paylattice.sources.views import Tables
+    base = scratch_path(spark, "tables")
+    spark.range(30).repartition(3).write.parquet(f"{base}/orders.parquet")
+    path = scratch_path(spark, "copy")
+    ST.append_stream(Tables(spark, base).stream("orders"), f"{path}/t", f"{path}/c")
+    assert spark.read.parquet(f"{path}/t").count() == 30
+
+
+def test_broken_reads_are_errors_and_csv_splits(spark):
+    path = scratch_path(spark, "csv")
+    spark.range(2000).selectExpr("CAST(id AS INT) AS id", "repeat('x', 50) AS t").coalesce(1).write.option("header", True).csv(path)
+    schema = "id int, t string"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = io.scan_csv(spark, path, spark.createDataFrame([], schema).schema)
+        assert rows.select(F.spark_partition_id()).distinct().count() > 3 and rows.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.createDataFrame([("id,t",), ("x,b",), ("3,c",)], "value string").coalesce(1).write.text(f"{path}/bad")
+    counted = io.count_bad_rows(spark, f"{path}/bad", spark.createDataFrame([], schema).schema).first()
+    assert tuple(counted)[:2] == (2, 1)
+    with pytest.raises(ValueError):
+        io.scan_jobs(spark, jdbc={"url": "jdbc:none"})
+    (spark.createDataFrame([("broken",)], "value string").write.text(f"{path}/text"))
+    with pytest.raises(Exception):
+        io.scan_jobs(spark, f"{path}/text").count()
