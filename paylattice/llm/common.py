@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,6 +217,15 @@ class KeyBitmap:
     def __init__(self, bits: np.ndarray, second: np.ndarray | None = None, total: int = 0, different: int = 0):
         self.bits, self.second, self.total, self.different = bits, second, total, different
 
+    def __getstate__(self) -> dict:
+        """Packed, as most bits are mostly unset and every executor keeps a copy on disk."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return self.__dict__ | {k: None if v is None else pack(v.tobytes()) for k, v in (("bits", self.bits), ("second", self.second))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {k: None if state[k] is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(state[k]), np.uint8)
+                                 for k in ("bits", "second")}
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
         found = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
