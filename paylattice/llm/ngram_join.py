@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BUCKET_BITS, LOWER, KeyBitmap, KeyPacker, Prefix, arrow_map, bucket_tasks, components, discard, distinct, flat_bytes, id_bitmap,
+    BITMAP_BITS, BUCKET_BITS, LOWER, KeyBitmap, KeyPacker, Prefix, arrow_map, bucket_tasks, components, distinct, flat_bytes, id_bitmap,
     key_bitmap, mix, shingles, slices, store, union_all, words,
 )
 
-#: A token in so many sets is heavy, or in more, so that heavy ones fill an eighth of the bitmap at most.
-LEAST_HEAVY = 16
-#: Share of a set, its lowest hashes, whose tokens are counted.  The order only needs to be the same everywhere.
-COUNTED = 4
+#: A token in so many sets is heavy, or in more on larger inputs, so that heavy ones never outnumber the bitmap's bits.
+#: At 2 a light token is in one set alone and is not even posted.
+LEAST_HEAVY = 2
 #: Cost of fetching and comparing one candidate, in postings.
 CANDIDATE_COST = 50
 LARGEST_SMALL = 20
@@ -84,38 +83,39 @@ class Seen(set):
         return True
 
 
-def measured(docs: DataFrame, k: int, most_alike: int = 4096) -> DataFrame:
-    """Rows (doc_id, key, n, node) of documents and, apart from them, packed lowest tokens of distinct sets."""
+def measured(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (doc_id, key, n, node) of documents."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = KeyPacker(most_alike), Seen()
+        for b in slices(batches):
+            sets = [(len(tokens), node_of(tokens) if len(tokens) else None) for tokens in sets_of(b, k)]
+            sizes, nodes = zip(*sets, strict=True)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
+                                             ["doc_id", "key", "n", "node"])
+
+    return arrow_map(docs, job, "doc_id long, key long, n long, node long")
 
-        def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in found:
-                none = pa.nulls(b.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, b["bucket"], b["keys"]], names)
 
+def packed_tokens(docs: DataFrame, k: int, most_alike: int) -> DataFrame:
+    """Packed tokens of the sets, each set once in a task."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = KeyPacker(most_alike), Seen()
         for b in slices(batches):
-            sizes, nodes = [], []
             for tokens in sets_of(b, k):
-                sizes.append(len(tokens))
-                nodes.append(node_of(tokens) if len(tokens) else None)
-                if len(tokens) and seen.new(nodes[-1]):
-                    yield from packed(packer.add(tokens[: len(tokens) // COUNTED + 1]))
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["key"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
-        yield from packed(packer.flush())
+                if len(tokens) and seen.new(node_of(tokens)):
+                    yield from packer.add(tokens)
+        yield from packer.flush()
 
-    names = ["doc_id", "key", "n", "node", "bucket", "keys"]
-    return arrow_map(docs, job, "doc_id long, key long, n long, node long, bucket int, keys binary")
+    return arrow_map(docs.select("text"), job, "bucket int, keys binary")
 
 
-def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int, with_light: bool) -> DataFrame:
     """What distinct sets post: packed light postings, rows of heavy tokens by set, and links found on the way.
 
     The order of tokens is: light ones by hash, then heavy ones by hash.  A set posts the
-    prefix of which a partner must share a token.  Sets up to ``small`` instead post the
+    prefix of which a partner must share a token; ``with_light`` off leaves out its light
+    tokens, which is right when no other set has them.  Sets up to ``small`` instead post the
     subsets of the size that a partner of each size must share; a subset met before in
     the task links its sets at once.
     """
@@ -180,9 +180,10 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
                     often = bitmap.has(tokens)
                     prefix = n - -(-percent * n // 100) + 1
                     rare = tokens[~often][:prefix]
-                    post(rare, node, n)
+                    if with_light:
+                        post(rare, node, n)
                     if len(rare) < prefix:
-                        others.append((HEAVY, None, tokens[often][: prefix - len(rare)].tobytes(), node, None, n))
+                        others.append((HEAVY, None, tokens[often][: prefix - len(rare)].tobytes(), node, n - len(rare), n))
                 if held > 1_000_000 or len(others) > 50_000:
                     yield from flush()
         yield from flush()
@@ -263,26 +264,26 @@ def light_pairs(posted: DataFrame, small: int, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("certain").alias("certain"))
 
 
-def heavy_rows(rows: DataFrame, chosen: KeyBitmap | None = None, first: int | None = None, with_set: bool = True) -> DataFrame:
-    """(token, band, component[, node, n]) of heavy tokens, each once in a task.
+def heavy_rows(rows: DataFrame, chosen: KeyBitmap | None = None, with_set: bool = True) -> DataFrame:
+    """(token, component[, node, n, rest]) of heavy tokens, (token, component) once in a task.
 
-    ``first`` takes a set's first tokens only, ``chosen`` those of a bitmap.  Sets whose
-    sizes allow a link lie in the same band or in neighbouring ones.
+    ``chosen`` takes the tokens of a bitmap only.  ``rest`` is how many tokens of the set
+    come at this one or later in the common order.
     """
     shared = rows.sparkSession.sparkContext.broadcast(chosen) if chosen else None
-    columns = ["token", "component"] + (["node", "n"] if with_set else [])
+    columns = ["token", "component"] + (["node", "n", "rest"] if with_set else [])
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value if shared else None
         seen: set = set()
         for b in batches:
             out: list[tuple] = []
-            for keys, node, n, c in zip(b["keys"].to_pylist(), b["a"].to_pylist(), b["n"].to_pylist(), b["component"].to_pylist(), strict=True):
-                tokens = np.frombuffer(keys, np.uint64)
-                tokens = tokens[bitmap.has(tokens)] if bitmap else tokens[:first]
-                for t in tokens.view(np.int64).tolist():
+            for keys, node, n, rest, c in zip(*[b[x].to_pylist() for x in ("keys", "a", "n", "rest", "component")], strict=True):
+                tokens = np.frombuffer(keys, np.int64)
+                at = np.flatnonzero(bitmap.has(tokens.view(np.uint64))) if bitmap else np.arange(len(tokens))
+                for t, r in zip(tokens[at].tolist(), (rest - at).tolist(), strict=True):
                     if with_set:
-                        out.append((t, c, node, n))
+                        out.append((t, c, node, n, r))
                     elif (t, c) not in seen:
                         seen.add((t, c))
                         out.append((t, c))
@@ -291,7 +292,7 @@ def heavy_rows(rows: DataFrame, chosen: KeyBitmap | None = None, first: int | No
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], columns)
 
-    return arrow_map(rows.select("keys", "a", "n", "component"), job, ", ".join(f"{c} long" for c in columns))
+    return arrow_map(rows.select("keys", "a", "n", "rest", "component"), job, ", ".join(f"{c} long" for c in columns))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,40 +331,76 @@ def fetch_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> Da
 
 
 def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFrame], fetch, percent: int, small: int = 0,
-            first: int | None = None) -> DataFrame:
+            ordered: bool = True) -> DataFrame:
     """(node, component) from links known before, candidate pairs and lists too long for pairs.
 
-    ``heavies`` has a set's list keys, node and size (keys, a, n), ``fetch`` gives the sets
-    of nodes.  Round one compares every set with one leader of its ``first`` lists (all
-    by default), apart by size.  In round two only lists on which more than one
-    component is left are opened, and only sets of different components meet.
+    ``heavies`` has a set's list keys in the common order, node, size and how many tokens
+    come from the first key on (keys, a, n, rest); ``fetch`` gives the sets of nodes.
+    Round one compares every set with one leader of each of its lists, apart by size.
+    Then only lists on which more than one component is left are opened.  As long as it
+    merges some, one set of each component meets one leader of the list; at last the sets
+    of different components meet.  ``ordered``: the keys are a set's first tokens in the
+    common order.  Then two sets whose first common token comes so late that too few are
+    left cannot be similar, and neither can two that share too few of those first tokens:
+    what the set that ends first shares beyond them is at most the rest of it.
     """
+    needed = F.ceil((F.col("n") + F.col("n2")) * F.lit(percent) / F.lit(100 + percent))
+    reach = (F.least("rest", "rest2") >= needed) & (F.greatest("n", "n2") > small)
     band = F.floor(F.log("n") / F.lit(-np.log(percent / 100)))
-    some = heavy_rows(heavies.withColumn("component", F.col("a")), first=first).withColumn("band", band)
-    leader = some.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("l"))
-    near = (some.join(leader, ["token", "band"]).where((F.col("node") != F.col("l.node")) & (F.greatest("n", "l.n") > small))
-            .select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct())
+    some = heavy_rows(heavies.withColumn("component", F.col("a"))).withColumn("band", band)
+    leader = (some.groupBy("token", "band").agg(F.min(F.struct("node", "n", "rest")).alias("l"))
+              .select("token", "band", F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.rest").alias("rest2")))
+    near = (some.join(leader, ["token", "band"]).where((F.col("node") != F.col("node2")) & reach)
+            .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
     near = store(near.unionByName(candidates).distinct() if candidates else near, "candidates")
-    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node")))
-    sets = fetch(nodes.union(heavies.select("a")))
-    links = store(union_all([*links, verified(near, sets, percent)]), "found-links")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    links = store(union_all([*links, verified(near, fetch(ends(near)), percent)]), "found-links")
     known = store(components(links), "components")
 
-    placed = (heavies.join(known.withColumnRenamed("node", "a"), "a", "left")
-              .select("keys", "a", "n", F.coalesce("component", "a").alias("component")))
-    placed = store(placed, "heavy-sets")
-    open_lists = (heavy_rows(placed, with_set=False).distinct().groupBy("token").agg(F.count("*").alias("c"))
-                  .where("c > 1").select(F.col("token").alias("key")))
-    open_lists = store(open_lists, "open-lists")
-    if open_lists.isEmpty():
+    def opened(known: DataFrame) -> DataFrame | None:
+        """Postings of the lists with several components."""
+        placed = (heavies.join(known.withColumnRenamed("node", "a"), "a", "left")
+                  .select("keys", "a", "n", "rest", F.coalesce("component", "a").alias("component")))
+        placed = store(placed, "heavy-sets")
+        several = (heavy_rows(placed, with_set=False).distinct().groupBy("token").agg(F.count("*").alias("c"))
+                   .where("c > 1").select(F.col("token").alias("key")))
+        several = store(several, "open-lists")
+        return None if several.isEmpty() else store(heavy_rows(placed, chosen=id_bitmap(several)), "open-postings")
+
+    tested = near
+    met = opened(known)
+    while met:
+        one = met.groupBy("token", "component").agg(F.min(F.struct("node", "n", "rest")).alias("r"))
+        one = store(one.select("token", "component", "r.node", "r.n", "r.rest"), "representatives")
+        head = one.groupBy("token").agg(F.min(F.struct("component", "node", "n", "rest")).alias("l")).select(
+            "token", F.col("l.component").alias("c2"), F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.rest").alias("rest2"))
+        some = (one.join(head, "token").where((F.col("component") != F.col("c2")) & reach)
+                .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+                .join(tested, ["a", "b"], "left_anti"))
+        some = store(some, "candidates")
+        if some.isEmpty():
+            break
+        tested = tested.unionByName(some)
+        more = store(verified(some, fetch(ends(some)), percent), "more-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        known = store(components(links), "components")
+        met = opened(known)
+    if not met:
         return known
-    met = store(heavy_rows(placed, chosen=id_bitmap(open_lists)), "open-postings")
     other = met.select("token", F.col("component").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
-    across = (met.join(other, "token").where((F.col("component") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-                                             & (F.greatest("n", "n2") > small))
-              .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-              .join(near, ["a", "b"], "left_anti"))
-    more = store(verified(across, sets, percent), "more-links")
+    sized = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.greatest("n", "n2") > small)
+    across = (met.join(other, "token").where((F.col("component") < F.col("c2")) & sized)
+              .groupBy("node", "n", "node2", "n2").agg(F.count("*").alias("shared")))
+    if ordered:
+        across = across.where(F.col("shared") + F.ceil(F.greatest("n", "n2") * F.lit(percent) / F.lit(100)) - 1 >= needed)
+    across = (across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+              .join(tested, ["a", "b"], "left_anti"))
+    across = store(across, "candidates")
+    if across.isEmpty():
+        return known
+    more = store(verified(across, fetch(ends(across)), percent), "more-links")
     return known if more.isEmpty() else store(components(links.unionByName(more)), "components")
 
 
@@ -386,21 +423,19 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
-    first = store(measured(docs, k), "measured")
-    rows = store(first.where("bucket is null").select("doc_id", "key", "n", "node"), "set-sizes")
-    packed = first.where("bucket is not null").select("bucket", "keys")
-    counted = rows.select(F.sum(F.floor(F.col("n") / COUNTED) + 1)).first()[0] or 0
-    heavy = key_bitmap(packed, max(LEAST_HEAVY, 8 * counted >> 27))
-    discard(first)
+    rows = store(measured(docs, k), "set-sizes")
+    counted = rows.select(F.sum("n")).first()[0] or 0
+    least = max(LEAST_HEAVY, counted >> BITMAP_BITS)
+    heavy = key_bitmap(packed_tokens(docs, k, least), least)
     small = boundary((heavy.total - heavy.different) / max(heavy.different, 1), percent)
 
-    posted = store(postings(docs, heavy, small, k, percent), "postings")
+    posted = store(postings(docs, heavy, small, k, percent, with_light=least > 2), "postings")
     light = store(light_pairs(posted, small, percent), "light-pairs")
-    heavies = posted.where(F.col("kind") == HEAVY)
+    heavies = posted.where(F.col("kind") == HEAVY).select("keys", "a", "n", F.col("b").alias("rest"))
     links = [posted.where(F.col("kind") == LINK).select("a", "b"), light.where("certain").select("a", "b")]
 
     known = resolve(heavies, light.where("not certain").select("a", "b"), links, lambda nodes: fetch_sets(docs, rows, nodes, k),
-                    percent, small, first=2)
+                    percent, small)
     whole = rows.join(known, "node", "left").withColumn("root", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     least = whole.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(order).alias("kept"))
@@ -417,7 +452,7 @@ def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     groups = store(similar_groups(docs, k, percent), "groups")
     verdict = (groups.groupBy("key").agg(F.min("stays").alias("stays"), F.count("*").alias("times"))
-               .where("not stays or times > 1").select(F.col("key").alias("__row"), "stays"))
+               .where("not stays or times > 1").select(F.col("key").alias("__row"), F.col("stays").alias("__stays")))
     verdict = store(verdict, "verdicts")
     keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(verdict.select(F.col("__row").alias("key"))))
@@ -431,5 +466,5 @@ def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     untouched = arrow_map(keyed, named(False), fields)
     touched = arrow_map(keyed, named(True), fields).join(verdict, "__row", "left")
-    once = touched.where("stays").dropDuplicates(["__row"]).select(keyed.columns)
-    return untouched.union(touched.where("stays is null").select(keyed.columns)).union(once).select(docs.columns)
+    once = touched.where("__stays").dropDuplicates(["__row"]).select(keyed.columns)
+    return untouched.union(touched.where("__stays is null").select(keyed.columns)).union(once).select(docs.columns)

@@ -40,7 +40,8 @@ def paragraphs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
     for row in range(batch.num_rows):
         own, line = hashes[first[row] : first[row + 1]], breaks[first[row] : first[row + 1]]
         cut = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(own) else np.zeros(0, int)
-        for number, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(own)), strict=True)):
+        ends = np.append(cut[1:], len(own)) if len(own) else cut
+        for number, (a, b) in enumerate(zip(cut, ends, strict=True)):
             yield row, number, np.unique(shingles(own[a:b], SHINGLE)) if b - a >= SHINGLE else own[:0]
 
 
@@ -193,7 +194,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99
     hits = store(colliding(docs, repeated, number, rows).dropDuplicates(["a"]), "colliding")
     hits = store(still_colliding(hits, key_bitmap(packed_again(hits), 2)), "colliding")
     none = docs.sparkSession.createDataFrame([], "a long, b long")
-    known = resolve(hits, None, [none], lambda nodes: fetch_sets(docs, nodes), percent)
+    known = resolve(hits.withColumn("rest", F.col("n") + number), None, [none], lambda nodes: fetch_sets(docs, nodes), percent, ordered=False)
 
     own = first.where("bucket is null").select("doc_id", "key", "n", "numbers", "nodes")
     each = own.select("doc_id", "key", F.explode(F.arrays_zip("numbers", "nodes")).alias("p")).select("doc_id", "key", "p.numbers", "p.nodes")
@@ -225,10 +226,12 @@ def clean(docs: DataFrame, percent: int = 80) -> DataFrame:
     keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("removed").alias("__removed")), "__key", "left")
 
+    names = docs.columns
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = [without_paragraphs(t, r or []) for t, r in zip(b["text"].to_pylist(), b["__removed"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b[c] for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b[c] for c in names], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return arrow_map(joined.select(*docs.columns, "__removed"), job, fields)
