@@ -25,6 +25,8 @@ CANDIDATE_COST = 50
 LARGEST_SMALL = 20
 POSTING = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4")])
 LIGHT, HEAVY, LINK = 0, 1, 2
+#: In place of a size, in postings of subsets: any two sets of the key link, or only one of SURE with one of LARGER.
+SURE, LARGER = 1 << 31, (1 << 31) + 1
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -117,7 +119,8 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
     prefix of which a partner must share a token; ``with_light`` off leaves out its light
     tokens, which is right when no other set has them.  Sets up to ``small`` instead post the
     subsets of the size that a partner of each size must share; a subset met before in
-    the task links its sets at once.
+    the task links its sets at once.  What a smaller partner must share may be too little
+    for two sets of the larger size; those are posted apart and never link each other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
     names = ["kind", "bucket", "keys", "a", "b", "n"]
@@ -165,15 +168,17 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
                         groups = np.array(list(combinations(tokens, c)), np.uint64)
                         pair = np.uint64(min(n, m) * 64 + max(n, m))
                         keys = mix(shingle_sum(groups) + pair)
+                        sure = c >= overlap_needed(n, n, percent)
                         fresh = []
                         for key in keys.tolist():
                             if key in subsets:
                                 others.append((LINK, None, None, node, subsets[key], None))
                             else:
-                                subsets[key] = node
+                                if sure:
+                                    subsets[key] = node
                                 fresh.append(key)
                         if fresh:
-                            post(np.array(fresh, np.uint64), node, 0)
+                            post(np.array(fresh, np.uint64), node, SURE if sure else LARGER)
                     if len(subsets) > 300_000:
                         subsets.clear()
                 if 100 * n >= percent * (small + 1):
@@ -200,15 +205,15 @@ def shingle_sum(groups: np.ndarray) -> np.ndarray:
 
 
 def pairs_of_lists(rows: np.ndarray, small: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From one bucket's postings: (a, b, certain).  Sets of a subset key are linked to its first; lists give pairs."""
+    """From one bucket's postings: (a, b, certain).  Sets of a subset key are linked to its first, if that is SURE; lists give pairs."""
     rows = rows[np.lexsort((rows["node"], rows["n"], rows["token"]))]
     same = (rows["token"][1:] == rows["token"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
     rows = rows[np.append(True, ~same)]
     start = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
     length = np.diff(np.append(start, len(rows)))
-    sub = rows["n"][start] == 0
-    stars = start[sub & (length > 1)]
-    sizes = length[sub & (length > 1)]
+    sub = rows["n"][start] >= SURE
+    star = (rows["n"][start] == SURE) & (length > 1)
+    stars, sizes = start[star], length[star]
     if len(stars):
         at = np.repeat(stars, sizes - 1)
         step = np.arange(len(at)) - np.repeat(np.append(0, np.cumsum(sizes - 1)[:-1]), sizes - 1) + 1

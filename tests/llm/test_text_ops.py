@@ -86,6 +86,26 @@ def test_ngram_join_equals_brute_force(docs, rows, small, monkeypatch):
     assert Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_ngram_join_subsets_of_a_smaller_partner_link_no_equal_sizes(spark, tasks, monkeypatch):
+    monkeypatch.setattr(ngram_join, "boundary", lambda *_: 20)
+    texts = []
+    for name, n in (("a", 10), ("b", 17), ("c", 10), ("d", 17)):  # 7 and 14 shingles
+        w = [f"{name}{i}" for i in range(n)]
+        cut = 1 if n == 10 else 2  # two sets that differ in the last words share 6 and 12 shingles
+        texts += [" ".join([*w[:-cut], *[f"{name}{x}{i}" for i in range(cut)]]) for x in "xyz"]
+        if name in "cd":  # here a smaller set joins them
+            texts.append(" ".join(w[:-1] if n == 10 else w[:-2]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(tasks)
+    sets = [shingle_set(t, 4) for t in texts]
+    assert {len(s) for s in sets} == {6, 7, 12, 14}
+    root = groups(sets, lambda i, u: 100 * i >= 85 * u)
+    least = {g: min(i for i, x in enumerate(root) if x == g) for g in set(root)}
+    got = ngram_join.similar_groups(docs).select("doc_id", "component_id").collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: least[g] for i, g in enumerate(root)}
+    assert [least[g] for g in root[:6]] == list(range(6)) and len(set(root[6:10])) == len(set(root[10:])) == 1
+
+
 def test_light_lists_find_the_same_groups(docs, rows, monkeypatch):
     want = Counter(map(tuple, ngram_join.similar_groups(docs).select("doc_id", "component_id").collect()))
     monkeypatch.setattr(ngram_join, "LEAST_HEAVY", 5)
