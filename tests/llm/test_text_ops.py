@@ -134,6 +134,21 @@ def test_one_of_each_group_stays(docs, rows):
     assert ids == Counter(want)
 
 
+def test_pipeline_stage_takes_five_words_at_four_fifths(spark, docs):
+    import corpus_pipeline
+    w = [f"w{i}" for i in range(49)]
+    between = [(201, " ".join(w)), (202, " ".join([*w[:24], "changed", *w[25:]]))]
+    mixed = docs.unionByName(spark.createDataFrame([(*r, "k", 1, "n", "c", "s", "x") for r in between], SCHEMA))
+    texts = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in mixed.select("doc_id", "text").collect()})
+    sets = [shingle_set(t, 5) for *_, t in texts]
+    root = groups(sets, lambda i, u: 100 * i >= 80 * u)
+    first = {g: texts[i][:2] for i, g in reversed(list(enumerate(root)))}
+    want = Counter(first[g] for g in first)
+    got = corpus_pipeline.ngram_join_stage(spark, mixed, "").collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == want
+    assert [r.doc_id for r in got if r.doc_id in (201, 202)] == [201]
+
+
 def test_suffix_dedup_equals_brute_force(docs, rows):
     order = lambda d: 10**9 if d is None else d
     first: dict[bytes, int] = {}
