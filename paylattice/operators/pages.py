@@ -20,20 +20,64 @@ from ..schemas import PAGE_PAYLOAD
 PAY_CLASSES = ["salaryInfoAndJobType", "salary-snippet-container", "detailSalary", "salaryEstimate", "css-1bluz6i",
                "jobsearch-JobMetadataHeader-item", "salary-estimate", "compensation__salary"]
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# --- fixed values: parts of a page that hold no elements, and tags that hold nothing ---
+HIDDEN = r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->"
+EMPTY_TAG = (r"(?is)^<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b"
+             r"|^<\w+(?:[^>]*[\s\"'])?/>")
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: scripts, styles, comments and tags out, common entities decoded."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(html, HIDDEN, " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     for entity, char in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(char))
     return X.clean_text(t)
 
 
+def elements(html: Column, opening: str) -> Column:
+    """What stands inside the elements whose opening tag matches, in page order, each up to its own closing tag.
+
+    An element inside another one counts if both have the same class.  One that is never
+    closed ends with the text.
+    """
+    def numbered(pieces: Column) -> Column:
+        return F.transform(pieces, lambda p, i: F.struct(
+            i.alias("at"), F.lower(F.regexp_extract(p, r"^</?([A-Za-z]\w*)", 1)).alias("tag"),
+            F.when(p.startswith("</"), -1).when(p.rlike(EMPTY_TAG), 0).otherwise(1).alias("step"),
+            p.rlike(rf"(?is)^{opening}").alias("marked"),
+            F.regexp_extract(p, r'(?is)^<[^>]*?\sclass="([^"]*)"', 1).alias("kind")))
+
+    def counted(tags: Column) -> Column:
+        """Tags by which a marked element can open or close."""
+        names = F.array_distinct(F.transform(F.filter(tags, lambda t: t["marked"]), lambda t: t["tag"]))
+        return X.let(names, lambda n: F.filter(tags, lambda t: F.array_contains(n, t["tag"])))
+
+    def step(state: Column, t: Column) -> Column:
+        moved = F.transform(state["open"], lambda o: o.withField("depth", F.when(
+            o["tag"] == t["tag"], o["depth"] + t["step"]).otherwise(o["depth"])))
+        left = F.filter(moved, lambda o: o["depth"] > 0)
+        opens = t["marked"] & (t["step"] == 1) & ((F.size(left) == 0) | (F.get(left, F.lit(0))["kind"] == t["kind"]))
+        opened = F.struct(t["at"].alias("first"), t["tag"].alias("tag"), t["kind"].alias("kind"), F.lit(1).alias("depth"))
+        ended = F.transform(F.filter(moved, lambda o: o["depth"] == 0), lambda o: F.struct(o["first"], t["at"].alias("end")))
+        return F.when((F.size(state["open"]) == 0) & ~t["marked"], state).otherwise(F.struct(
+            F.when(opens, F.concat(left, F.array(opened))).otherwise(left).alias("open"),
+            F.when(F.size(ended) > 0, F.concat(state["found"], ended)).otherwise(state["found"]).alias("found")))
+
+    def inside(pieces: Column) -> Column:
+        start = F.struct(F.array().cast("array<struct<first:int,tag:string,kind:string,depth:int>>").alias("open"),
+                         F.array().cast("array<struct<first:int,end:int>>").alias("found"))
+        spans = X.let(numbered(pieces), lambda tags: F.reduce(counted(tags), start, step, lambda state: F.array_sort(F.concat(
+            state["found"], F.transform(state["open"], lambda o: F.struct(o["first"], F.size(pieces).alias("end")))))))
+        return F.transform(spans, lambda s: F.regexp_replace(
+            F.array_join(F.slice(pieces, s["first"] + 1, s["end"] - s["first"]), ""), r"^<[^>]*>", ""))
+
+    return X.let(F.split(F.regexp_replace(html, HIDDEN, " "), "(?=<)"), inside)
+
+
 def element(html: Column, tag: str, marker: str) -> Column:
     """Text of the first element of that tag whose attributes contain the marker."""
-    return plain_text(F.regexp_extract(html, rf"(?is)<({tag})\b[^>]*{marker}[^>]*>(.*?)</\1>", 2))
+    return plain_text(F.get(elements(html, rf"<({tag})\b[^>]*{marker}[^>]*>"), F.lit(0)))
 
 
 
@@ -94,12 +138,16 @@ def anchor_jobs(pages: DataFrame) -> DataFrame:
         X.strip(F.substring_index(k["text"], "Avg.", 1)).alias("company"), k["href"].alias("href"),
         S.number_of(F.regexp_extract(k["text"], r"Avg\.\s*Salary:\s*\$([\d,]+)", 1)).alias("pay")))
     links = F.filter(links, lambda k: (k["company"] != "") & k["pay"].isNotNull())
-    median = S.salary_usd(element(F.col("html"), "span", "paycharts__value"), F.col("usd_rate"))
+    median = X.let(element(F.col("html"), "span", "paycharts__value"), lambda text: S.salary_usd(text, F.col("usd_rate")))
     rows = pages.withColumn("_links", links).withColumn("_names", F.transform("_links", lambda k: k["company"]))
-    fallback = F.array(F.struct(F.lit(None).cast("string").alias("company"), F.col("url").alias("href"), median.alias("pay")))
+
+    def fallback(pay: Column) -> Column:
+        one = F.array(F.struct(F.lit(None).cast("string").alias("company"), F.col("url").alias("href"), pay.alias("pay")))
+        return F.when(pay.isNotNull(), one)
+
     first = F.filter("_links", lambda k, i: F.array_position(F.col("_names"), k["company"]) == i + 1)
     rows = rows.select("page_id", "keyword", "location", F.explode(
-        F.when(F.size("_links") > 0, first).when(median.isNotNull(), fallback)).alias("_k"))
+        F.when(F.size("_links") > 0, first).otherwise(X.let(median, fallback))).alias("_k"))
     company, keyword = F.col("_k.company"), F.col("keyword")
     key = F.when(company.isNotNull(), X.source_key("payscale", company, keyword, X.strip(F.col("location")))).otherwise(
         X.key_of(F.lit("payscale"), keyword, F.col("location")))
@@ -116,16 +164,14 @@ def anchor_jobs(pages: DataFrame) -> DataFrame:
 
 def page_salary_range(pages: DataFrame) -> DataFrame:
     """First pay range among the page's table values."""
-    cells = F.transform(
-        F.regexp_extract_all("html", F.lit(r'(?is)<div\b[^>]*class="[^"]*tablerow__value[^"]*"[^>]*>(.*?)</div>'), F.lit(1)),
-        plain_text)
+    cells = F.transform(elements(F.col("html"), r'<div\b[^>]*class="[^"]*tablerow__value[^"]*"[^>]*>'), plain_text)
     cell = F.get(F.filter(cells, lambda c: c.rlike(vocab.PAGE_PAY_RANGE)), F.lit(0))
     return pages.select("page_id", S.page_pay_range(cell).alias("_r")).select("page_id", "_r.range_min", "_r.range_max")
 
 
 def card_jobs(pages: DataFrame) -> DataFrame:
     """Listings from result cards, enriched from the card text."""
-    cards = F.regexp_extract_all("html", F.lit(r'(?is)<div\b[^>]*class="[^"]*job_card[^"]*"[^>]*>(.*?)</div>'), F.lit(1))
+    cards = elements(F.col("html"), r'<div\b[^>]*class="[^"]*job_card[^"]*"[^>]*>')
     rows = pages.select("page_id", "location", "usd_rate", F.explode(cards).alias("_card"))
     rows = rows.select(
         "page_id", F.col("location").alias("_searched"), "usd_rate", plain_text(F.col("_card")).alias("_text"),
@@ -154,12 +200,11 @@ def card_jobs(pages: DataFrame) -> DataFrame:
 
 def page_salary_scan(pages: DataFrame) -> DataFrame:
     """Pay named on a page: marked elements in order of trust, then spans about money, then the whole text."""
+    html = F.col("html")
     marked = F.concat(*[
-        F.regexp_extract_all("html", F.lit(rf'(?is)<(\w+)\b[^>]*["\s]{c}["\s][^>]*>(.*?)</\1>'), F.lit(2))
-        for c in PAY_CLASSES])
-    spans = F.filter(
-        F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), F.lit(1)), plain_text),
-        lambda t: t.rlike(f"(?i){vocab.PAY_MENTION}"))
+        F.when(F.lower(html).contains(c.lower()), elements(html, rf'<\w+\b[^>]*["\s]{c}["\s][^>]*>'))
+        .otherwise(F.array().cast("array<string>")) for c in PAY_CLASSES])
+    spans = F.filter(F.transform(elements(html, r"<span\b[^>]*>"), plain_text), lambda t: t.rlike(f"(?i){vocab.PAY_MENTION}"))
 
     def first_pay(texts: Column) -> Column:
         return F.reduce(texts, F.lit(None).cast("double"),

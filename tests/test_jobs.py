@@ -308,3 +308,37 @@ def test_broken_reads_are_errors_and_csv_splits(spark):
     (spark.createDataFrame([("broken",)], "value string").write.text(f"{path}/text"))
     with pytest.raises(Exception):
         io.scan_jobs(spark, f"{path}/text").count()
+
+
+# --- pages with nested elements -------------------------------------------------
+
+def page(spark, html):
+    return spark.createDataFrame([(1, "u", html, "data engineer", "Berlin, Germany", 1.0)],
+                                 "page_id long, url string, html string, keyword string, location string, usd_rate double")
+
+
+def test_cards_end_at_their_own_closing_tag(spark):
+    from paylattice.operators import pages as P
+
+    def card(name, title):
+        return (f'<div class="job_card"><div class="job_card_head"><h2>{title}</h2><br/><img src="a"></div><!-- </div> -->'
+                f'<div class="box"><span class="company"><span>{name}</span> Ltd</span></div><div><DIV class="location">Oslo</DIV></div>'
+                '<div class="snippet"><div>5+ years of Python</div><div>$100k - $140k plus bonus</div></div></div>')
+
+    html = f'<div id="list">{card("Acme", "Data Engineer")}<div>ad</div>{card("Bolt", "Data Analyst")}</div><div>foot</div>'
+    rows = P.card_jobs(page(spark, html)).orderBy("job_title").collect()
+    assert [(r.job_title, r.company_name, r.location, r.experience_required, r.has_bonus) for r in rows] == [
+        ("Data Analyst", "Bolt Ltd", "Oslo", "5+ years", 1), ("Data Engineer", "Acme Ltd", "Oslo", "5+ years", 1)]
+    assert all(r.job_description == "5+ years of Python $100k - $140k plus bonus" and r.salary for r in rows)
+    # an inner element that is never closed loses no later card
+    broken = html.replace('<div class="box">', "", 1).replace('<div id="list">', '<div id="list"><div class="job_card"><div><h3>Odd</h3></div>', 1)
+    assert {r.job_title for r in P.card_jobs(page(spark, broken)).collect()} == {"Odd", "Data Engineer", "Data Analyst"}
+
+
+def test_pay_cells_and_marked_elements_are_read_whole(spark):
+    from paylattice.operators import pages as P
+    cell = '<div class="tablerow__value"><div>Base Salary:</div> <b>$70k</b><div> - $120k</div></div>'
+    assert P.page_salary_range(page(spark, cell)).first()[1:] == (70000, 120000)
+    for html in ('<p>$20 per hour</p><div class="salary-estimate"><div>Est.</div><div>$50 per hour</div></div>',
+                 '<p>$20 per hour</p><span>Compensation <span>(est.)</span> $50 per hour</span>'):
+        assert P.page_salary_scan(page(spark, html)).first()["salary_usd"] == 104000.0
