@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, ngram_join, packing, paragraph_dedup, sharding, suffix_dedup, topk, toxicity, warc_zstd
+from . import ann, byte_bpe, cap_filters, code_compression, importance, ngram_join, packing, paragraph_dedup, sharding, suffix_dedup, topk, toxicity, warc_zstd
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,9 @@ JOBS: dict[str, Query] = {
     "op9_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents"), [1.0] * 40),
     "op10_byte_bpe": lambda s, d: byte_bpe.round_trip(
         table(s, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+    "op11_code_compression": lambda s, d: code_compression.code_report(table(s, d, "embeddings")),
+    "op12_cap_filters": lambda s, d: cap_filters.near_vectors(table(s, d, "embeddings")),
+    "op13_importance": lambda s, d: importance.resample(table(s, d, "documents"), table(s, d, "benchmark")),
 }
 
-SQL: dict[str, str] = {"op4_topk": topk.SQL}
+SQL: dict[str, str] = {"op4_topk": topk.SQL, "op11_code_compression": code_compression.SQL, "op12_cap_filters": cap_filters.SQL}
