@@ -94,6 +94,11 @@ def dedup_key(existing: Column, company: Column, title: Column, city: Column) ->
     return F.coalesce(blank_to_null(existing), key_of(company, title, city))
 
 
+def identity_of(*parts: Column) -> Column:
+    """Full digest of the lower-case parts with a separator between them."""
+    return F.sha2(F.concat_ws("\x1f", *[F.lower(F.coalesce(p, F.lit(""))) for p in parts]), 256)
+
+
 def identity(existing: Column, company: Column, title: Column, city: Column) -> Column:
     """What makes two rows the same posting.
 
@@ -102,8 +107,7 @@ def identity(existing: Column, company: Column, title: Column, city: Column) ->
     glue parts together, and different postings may share them.
     """
     own = blank_to_null(existing)
-    parts = F.concat_ws("\x1f", *[F.lower(F.coalesce(p, F.lit(""))) for p in (company, title, city)])
-    return F.when(own.isNull() | (own == key_of(company, title, city)), F.sha2(parts, 256)).otherwise(F.concat(F.lit("key:"), own))
+    return F.when(own.isNull() | (own == key_of(company, title, city)), identity_of(company, title, city)).otherwise(F.concat(F.lit("key:"), own))
 
 
 def source_key(prefix: str, company: Column, title: Column, tail: Column) -> Column:

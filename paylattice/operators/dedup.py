@@ -37,8 +37,15 @@ def with_key(df: DataFrame) -> DataFrame:
 
 
 def key_column(*frames: DataFrame) -> str:
-    """``identity`` where all tables have it, else their own ``dedup_key``."""
-    return "identity" if all("identity" in f.columns for f in frames) else "dedup_key"
+    """``identity``; the short ``dedup_key`` only where no table knows more than that.
+
+    A table without identities beside one that has them is an error, as the short key
+    alone would merge different postings.
+    """
+    known = ["identity" in f.columns for f in frames]
+    if any(known) and not all(known):
+        raise ValueError("some tables have no identity: add it with with_key(), or name the key column")
+    return "identity" if any(known) else "dedup_key"
 
 
 def keep_with_salary(df: DataFrame, order: list | None = None, key: str | None = None) -> DataFrame:

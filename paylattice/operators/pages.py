@@ -1,7 +1,8 @@
 """Listings from crawled pages.
 
 A page is one row; everything found on it is collected in arrays inside that row
-and exploded once, so none of these jobs shuffles.
+and exploded once, so none of these jobs shuffles.  The tags of a page are read once and
+every part of it is then looked up among their intervals.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import experience as E
+from ..functions import markup as K
 from ..functions import metadata as M
 from ..functions import salary as S
 from ..functions import text as X
@@ -20,67 +22,27 @@ from ..schemas import PAGE_PAYLOAD
 PAY_CLASSES = ["salaryInfoAndJobType", "salary-snippet-container", "detailSalary", "salaryEstimate", "css-1bluz6i",
                "jobsearch-JobMetadataHeader-item", "salary-estimate", "compensation__salary"]
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-# --- fixed values: parts of a page that hold no elements, and tags that hold nothing ---
-HIDDEN = r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->"
-EMPTY_TAG = (r"(?is)^<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b"
-             r"|^<\w+(?:[^>]*[\s\"'])?/>")
+# --- fixed values: cards of a result page, in order of trust; only the first kind found counts ---
+CARDS = [K.part("class", "job_result", "article"), K.part("class", "job_result", "div"), K.part("class", "JobCard", "article"),
+         K.part("class", "job-listing", "div"), K.part("class", "job-listing", "li"), K.part("data-testid", "job", "div"),
+         K.part("class", "job_card", "div")]
+CARD_PARTS = {
+    "title": [K.part("class", "title", "h2"), K.part("class", "job_link", "a"), K.part("class", "job_title"), K.part("data-testid", "title"), K.tag("h2", "h3")],
+    "company": [K.part("class", "company"), K.part("class", "employer"), K.part("data-testid", "company"), K.part("class", "name", "span")],
+    "location": [K.part("class", "location"), K.part("data-testid", "location")],
+    "snippet": [K.part("class", "snippet"), K.part("class", "description"), K.tag("p")],
+}
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: scripts, styles, comments and tags out, common entities decoded."""
-    t = F.regexp_replace(html, HIDDEN, " ")
+    t = F.regexp_replace(html, K.HIDDEN, " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     for entity, char in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(char))
     return X.clean_text(t)
 
 
-def elements(html: Column, opening: str) -> Column:
-    """What stands inside the elements whose opening tag matches, in page order, each up to its own closing tag.
-
-    An element inside another one counts if both have the same class.  One that is never
-    closed ends with the text.
-    """
-    def numbered(pieces: Column) -> Column:
-        return F.transform(pieces, lambda p, i: F.struct(
-            i.alias("at"), F.lower(F.regexp_extract(p, r"^</?([A-Za-z]\w*)", 1)).alias("tag"),
-            F.when(p.startswith("</"), -1).when(p.rlike(EMPTY_TAG), 0).otherwise(1).alias("step"),
-            p.rlike(rf"(?is)^{opening}").alias("marked"),
-            F.regexp_extract(p, r'(?is)^<[^>]*?\sclass="([^"]*)"', 1).alias("kind")))
-
-    def counted(tags: Column) -> Column:
-        """Tags by which a marked element can open or close."""
-        names = F.array_distinct(F.transform(F.filter(tags, lambda t: t["marked"]), lambda t: t["tag"]))
-        return X.let(names, lambda n: F.filter(tags, lambda t: F.array_contains(n, t["tag"])))
-
-    def step(state: Column, t: Column) -> Column:
-        moved = F.transform(state["open"], lambda o: o.withField("depth", F.when(
-            o["tag"] == t["tag"], o["depth"] + t["step"]).otherwise(o["depth"])))
-        left = F.filter(moved, lambda o: o["depth"] > 0)
-        opens = t["marked"] & (t["step"] == 1) & ((F.size(left) == 0) | (F.get(left, F.lit(0))["kind"] == t["kind"]))
-        opened = F.struct(t["at"].alias("first"), t["tag"].alias("tag"), t["kind"].alias("kind"), F.lit(1).alias("depth"))
-        ended = F.transform(F.filter(moved, lambda o: o["depth"] == 0), lambda o: F.struct(o["first"], t["at"].alias("end")))
-        return F.when((F.size(state["open"]) == 0) & ~t["marked"], state).otherwise(F.struct(
-            F.when(opens, F.concat(left, F.array(opened))).otherwise(left).alias("open"),
-            F.when(F.size(ended) > 0, F.concat(state["found"], ended)).otherwise(state["found"]).alias("found")))
-
-    def inside(pieces: Column) -> Column:
-        start = F.struct(F.array().cast("array<struct<first:int,tag:string,kind:string,depth:int>>").alias("open"),
-                         F.array().cast("array<struct<first:int,end:int>>").alias("found"))
-        spans = X.let(numbered(pieces), lambda tags: F.reduce(counted(tags), start, step, lambda state: F.array_sort(F.concat(
-            state["found"], F.transform(state["open"], lambda o: F.struct(o["first"], F.size(pieces).alias("end")))))))
-        return F.transform(spans, lambda s: F.regexp_replace(
-            F.array_join(F.slice(pieces, s["first"] + 1, s["end"] - s["first"]), ""), r"^<[^>]*>", ""))
-
-    return X.let(F.split(F.regexp_replace(html, HIDDEN, " "), "(?=<)"), inside)
-
-
-def element(html: Column, tag: str, marker: str) -> Column:
-    """Text of the first element of that tag whose attributes contain the marker."""
-    return plain_text(F.get(elements(html, rf"<({tag})\b[^>]*{marker}[^>]*>"), F.lit(0)))
-
-
-
 def embedded_jobs(pages: DataFrame) -> DataFrame:
     """Listings from the JSON payload that a page carries in its script element."""
     payload = F.regexp_extract(F.col("html"), r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
@@ -117,6 +79,8 @@ def embedded_jobs(pages: DataFrame) -> DataFrame:
         .alias("job_description"),
         F.coalesce("_job.applicationUrl", F.lit("")).alias("job_link"), F.coalesce("_job.id", F.lit("")).alias("job_id"),
         X.source_key("levelsfyi", F.col("company_name"), title, F.coalesce("_job.id", F.lit(""))).alias("dedup_key"),
+        X.identity_of(F.lit("levelsfyi"), X.strip(F.col("company_name")), X.strip(title), F.coalesce("_job.id", F.lit(""))).alias("identity"),
+        F.lit("Levels.fyi").alias("source_website"),
         M.faang_flag(F.col("company_name")).alias("is_faang"),
         E.lookup(F.col("location"), vocab.CITY_COST, vocab.CITY_COST_DEFAULT).alias("cost_of_living_index"),
         F.col("_job.postingDate").alias("date_posted_raw"),
@@ -138,8 +102,11 @@ def anchor_jobs(pages: DataFrame) -> DataFrame:
         X.strip(F.substring_index(k["text"], "Avg.", 1)).alias("company"), k["href"].alias("href"),
         S.number_of(F.regexp_extract(k["text"], r"Avg\.\s*Salary:\s*\$([\d,]+)", 1)).alias("pay")))
     links = F.filter(links, lambda k: (k["company"] != "") & k["pay"].isNotNull())
-    median = X.let(element(F.col("html"), "span", "paycharts__value"), lambda text: S.salary_usd(text, F.col("usd_rate")))
-    rows = pages.withColumn("_links", links).withColumn("_names", F.transform("_links", lambda k: k["company"]))
+    chart = K.first(F.col("_nodes"), K.has_class("paycharts__value", "span"))
+    median = X.let(plain_text(K.inner_html(F.col("html"), chart)), lambda text: S.salary_usd(text, F.col("usd_rate")))
+    # only pages without links need their elements
+    bare = F.when(F.size(links) == 0, F.col("html"))
+    rows = pages.withColumn("_nodes", K.elements(bare)).withColumn("_links", links).withColumn("_names", F.transform("_links", lambda k: k["company"]))
 
     def fallback(pay: Column) -> Column:
         one = F.array(F.struct(F.lit(None).cast("string").alias("company"), F.col("url").alias("href"), pay.alias("pay")))
@@ -157,42 +124,60 @@ def anchor_jobs(pages: DataFrame) -> DataFrame:
         S.salary_label(F.col("_k.pay")).alias("salary"), E.infer_seniority(keyword).alias("seniority_level"),
         F.lit("Full-time").alias("employment_type"), F.lit("On-site").alias("remote_type"),
         F.when(company.isNotNull() & href.startswith("/"), F.concat(F.lit("https://www.payscale.com"), href)).otherwise(href)
-        .alias("job_link"), key.alias("dedup_key"), M.faang_flag(company).alias("is_faang"),
+        .alias("job_link"), key.alias("dedup_key"),
+        X.identity_of(F.lit("payscale"), X.strip(company), X.strip(keyword), X.strip(F.col("location"))).alias("identity"),
+        F.lit("PayScale").alias("source_website"), M.faang_flag(company).alias("is_faang"),
         E.lookup(F.col("location"), vocab.CITY_COST, vocab.CITY_COST_DEFAULT).alias("cost_of_living_index"),
     )
 
 
 def page_salary_range(pages: DataFrame) -> DataFrame:
     """First pay range among the page's table values."""
-    cells = F.transform(elements(F.col("html"), r'<div\b[^>]*class="[^"]*tablerow__value[^"]*"[^>]*>'), plain_text)
+    nodes = K.every(F.col("_nodes"), K.has_class("tablerow__value", "div"))
+    cells = F.transform(nodes, lambda n: plain_text(K.inner_html(F.col("html"), n)))
     cell = F.get(F.filter(cells, lambda c: c.rlike(vocab.PAGE_PAY_RANGE)), F.lit(0))
-    return pages.select("page_id", S.page_pay_range(cell).alias("_r")).select("page_id", "_r.range_min", "_r.range_max")
+    return pages.withColumn("_nodes", K.elements(F.col("html"))).select("page_id", S.page_pay_range(cell).alias("_r")).select("page_id", "_r.range_min", "_r.range_max")
+
+
+def card_jobs(pages: DataFrame, source: str = "ZipRecruiter", base: str = "https://www.ziprecruiter.com", currency: str = "USD") -> DataFrame:
+    """Listings from result cards, enriched from the card text.
+
+    Cards are those of the first selector that finds any on the page; one that stands inside
+    another card of a different class is a part of that.  Relative links start at ``base``.
+    """
+    html, nodes = F.col("html"), F.col("_nodes")
+    kinds = F.filter(F.array(*[K.every(nodes, kind) for kind in CARDS]), lambda found: F.size(found) > 0)
+
+    def content(own: Column, *selectors) -> Column:
+        return X.let(K.first(own, *selectors), lambda n: K.inner_html(html, n))
 
+    def parts(card: Column) -> Column:
+        return X.let(K.within(nodes, card), lambda own: F.struct(
+            K.inner_html(html, card).alias("card"), K.first(own, K.link)["href"].alias("href"),
+            *[content(own, *selectors).alias(name) for name, selectors in CARD_PARTS.items()]))
 
-def card_jobs(pages: DataFrame) -> DataFrame:
-    """Listings from result cards, enriched from the card text."""
-    cards = elements(F.col("html"), r'<div\b[^>]*class="[^"]*job_card[^"]*"[^>]*>')
-    rows = pages.select("page_id", "location", "usd_rate", F.explode(cards).alias("_card"))
+    rows = pages.withColumn("_nodes", K.elements(html)).withColumn("_cards", K.outermost(F.get(kinds, F.lit(0))))
+    rows = rows.select("page_id", "location", "usd_rate", F.explode(F.transform("_cards", parts)).alias("_c"))
     rows = rows.select(
-        "page_id", F.col("location").alias("_searched"), "usd_rate", plain_text(F.col("_card")).alias("_text"),
-        plain_text(F.regexp_extract("_card", r"(?is)<(h[23])\b[^>]*>(.*?)</\1>", 2)).alias("job_title"),
-        element(F.col("_card"), "span|div|a|p", "(?:company|employer)").alias("company_name"),
-        F.coalesce(element(F.col("_card"), "span|div|a|p", "location"), F.col("location")).alias("location"),
-        element(F.col("_card"), "p|div|span", "(?:snippet|description)").alias("_snippet"),
+        "page_id", F.col("location").alias("_searched"), "usd_rate", plain_text(F.col("_c.card")).alias("_text"), F.col("_c.href").alias("_href"),
+        plain_text(F.col("_c.title")).alias("job_title"), plain_text(F.col("_c.company")).alias("company_name"),
+        F.coalesce(plain_text(F.col("_c.location")), F.col("location")).alias("location"), plain_text(F.col("_c.snippet")).alias("_snippet"),
     ).where(F.col("job_title").isNotNull())
     description = F.coalesce("_snippet", "_text")
     remote = M.remote_type_remote_first(F.col("_text"))
+    own = [X.strip(F.coalesce("company_name", F.lit(""))), X.strip(F.col("job_title")), X.strip(F.col("_searched"))]
     return rows.select(
         "page_id", "job_title", "company_name", "location",
-        S.salary_label(S.salary_from_text(F.col("_text"), F.col("usd_rate"))).alias("salary"),
+        S.salary_label(S.salary_from_text(F.col("_text"), F.col("usd_rate"))).alias("salary"), F.lit(currency).alias("salary_currency"),
         E.infer_seniority(F.col("job_title")).alias("seniority_level"),
         E.experience(description).alias("experience_required"), F.lit("Full-time").alias("employment_type"),
-        remote.alias("remote_type"), M.flag(F.lower("_text").contains("bonus")).alias("has_bonus"),
+        remote.alias("remote_type"), F.lit(0).alias("has_equity"), M.flag(F.lower("_text").contains("bonus")).alias("has_bonus"),
         M.flag(remote.isin("Remote", "Hybrid")).alias("has_remote_benefits"),
         X.extract_skills(description).alias("skills_required"),
         description.alias("job_description"),
-        X.key_of(X.strip(F.coalesce("company_name", F.lit(""))), X.strip(F.col("job_title")), X.strip(F.col("_searched")))
-        .alias("dedup_key"),
+        F.when(F.col("_href").startswith("http"), F.col("_href")).otherwise(F.concat(F.lit(base), F.col("_href"))).alias("job_link"),
+        X.key_of(*own).alias("job_id"), F.lit(source).alias("source_website"), X.key_of(*own).alias("dedup_key"),
+        X.identity_of(*own).alias("identity"), F.lit(currency).alias("currency"),
         M.faang_flag(F.col("company_name")).alias("is_faang"),
         E.lookup(F.col("_searched"), vocab.CITY_COST, vocab.CITY_COST_DEFAULT).alias("cost_of_living_index"),
     )
@@ -200,20 +185,19 @@ def card_jobs(pages: DataFrame) -> DataFrame:
 
 def page_salary_scan(pages: DataFrame) -> DataFrame:
     """Pay named on a page: marked elements in order of trust, then spans about money, then the whole text."""
-    html = F.col("html")
-    marked = F.concat(*[
-        F.when(F.lower(html).contains(c.lower()), elements(html, rf'<\w+\b[^>]*["\s]{c}["\s][^>]*>'))
-        .otherwise(F.array().cast("array<string>")) for c in PAY_CLASSES])
-    spans = F.filter(F.transform(elements(html, r"<span\b[^>]*>"), plain_text), lambda t: t.rlike(f"(?i){vocab.PAY_MENTION}"))
+    html, nodes = F.col("html"), F.col("_nodes")
+    marked = F.concat(*[K.every(nodes, K.named(c)) for c in PAY_CLASSES])
+    spans = F.filter(F.transform(K.every(nodes, K.tag("span")), lambda n: plain_text(K.inner_html(html, n))),
+                     lambda t: t.rlike(f"(?i){vocab.PAY_MENTION}"))
 
     def first_pay(texts: Column) -> Column:
         return F.reduce(texts, F.lit(None).cast("double"),
                         lambda found, t: F.coalesce(found, S.salary_from_text(t, F.col("usd_rate"))))
 
     amount = F.coalesce(
-        first_pay(F.transform(marked, plain_text)), first_pay(spans),
-        S.salary_from_text(plain_text(F.col("html")), F.col("usd_rate")))
-    return pages.select("page_id", amount.alias("salary_usd")).withColumn("salary", S.salary_label(F.col("salary_usd")))
+        first_pay(F.transform(marked, lambda n: plain_text(K.inner_html(html, n)))), first_pay(spans),
+        S.salary_from_text(plain_text(html), F.col("usd_rate")))
+    return pages.withColumn("_nodes", K.elements(html)).select("page_id", amount.alias("salary_usd")).withColumn("salary", S.salary_label(F.col("salary_usd")))
 
 
 def detail_enrich(rows: DataFrame) -> DataFrame:
@@ -247,4 +231,5 @@ def detail_enrich(rows: DataFrame) -> DataFrame:
         X.blank_to_null(F.regexp_extract("job_link", "jk=([a-f0-9]+)", 1)).alias("job_id"),
         F.when(X.contains_any(F.lower(date), vocab.DATE_WORDS), date).alias("date_posted_raw"),
         X.key_of(X.strip(F.col("company_name")), X.strip(F.col("job_title")), X.strip(F.col("location"))).alias("dedup_key"),
+        X.identity_of(X.strip(F.col("company_name")), X.strip(F.col("job_title")), X.strip(F.col("location"))).alias("identity"),
     )

@@ -10,27 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import JOBS, LISTING
-
+from . import quoted_csv
 
 BAD_ROW = "_bad_row"
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType, breaks: bool = False, bad_rows: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, breaks: bool = True, bad_rows: bool = False) -> DataFrame:
     """Quoted CSV with a header; the schema is given, never inferred.
 
-    A file is split over many tasks.  ``breaks`` allows line breaks inside quoted fields,
-    for which each file has to be read by one task.  ``bad_rows`` adds ``_bad_row``, the
-    text of a line that does not fit the schema; ``count_bad_rows`` counts them.
+    Files are split over many tasks and records keep line breaks inside quoted fields,
+    for which lines are read twice.  ``breaks=False`` is the plain reader, for files
+    known to have none: there every line is a record.  ``bad_rows`` adds ``_bad_row``,
+    the text of a record that does not fit the schema; ``count_bad_rows`` counts them.
     """
+    names = schema.names
     if bad_rows:
         schema = T.StructType([*schema.fields, T.StructField(BAD_ROW, T.StringType())])
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False)
-    reader = reader.option("multiLine", breaks).option("columnNameOfCorruptRecord", BAD_ROW)
-    return reader.csv(path)
+    options = {"escape": '"', "columnNameOfCorruptRecord": BAD_ROW}
+    if breaks:
+        return quoted_csv.parse(quoted_csv.records(spark, path, names), schema, options | {"multiLine": "true"})
+    return spark.read.schema(schema).options(header=True, enforceSchema=False, **options).csv(path)
 
 
-def count_bad_rows(spark: SparkSession, path: str, schema: T.StructType, breaks: bool = False) -> DataFrame:
-    """One row: lines read, lines that do not fit the schema, and a checksum of the fields."""
+def count_bad_rows(spark: SparkSession, path: str, schema: T.StructType, breaks: bool = True) -> DataFrame:
+    """One row: records read, records that do not fit the schema, and a checksum of the fields."""
     rows = scan_csv(spark, path, schema, breaks, bad_rows=True)
     # the checksum needs every field; else the parser would skip them and find nothing wrong
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count(BAD_ROW).alias("bad_rows"),
@@ -38,7 +41,8 @@ def count_bad_rows(spark: SparkSession, path: str, schema: T.StructType, breaks:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Quoted CSV with a header; spaces and line breaks at the ends of texts stay."""
+    df.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def is_absent(error: AnalysisException) -> bool:
