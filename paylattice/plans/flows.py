@@ -72,9 +72,10 @@ def _(t):
 @query("append_master", "raw", f"{HALVES} SELECT dedup_key, id FROM master UNION ALL SELECT dedup_key, id FROM batch")
 def _(t):
     path = scratch_path(t.spark, "master")
-    for part in halves(t):
-        io.append_master(part, path)
-    return t.spark.read.parquet(path).select("dedup_key", "id")
+    for run, part in enumerate(halves(t)):
+        for _ in range(2):  # a repeated run is stored once
+            io.append_master(part, path, f"run-{run}")
+    return io.read_master(t.spark, path).select("dedup_key", "id")
 
 
 @query("bulk_load", "raw", INSERTED)
@@ -246,13 +247,20 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "insert")
     ST.insert_new(t.jobs_stream(), f"{path}/table", f"{path}/checkpoint", ["id"])
-    return t.spark.read.parquet(f"{path}/table").select("dedup_key", "id")
+    return ST.read_table(t.spark, f"{path}/table").select("dedup_key", "id")
 
 
 @query("stream_dedup", "", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     path = scratch_path(t.spark, "first_seen")
     ST.store_first_seen(t.stream("events"), ["user_id", "event_type"], f"{path}/table", f"{path}/checkpoint", ["event_id"])
+    return ST.read_table(t.spark, f"{path}/table", "_key").select("user_id", "event_type")
+
+
+@query("stream_dedup_state", "", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    path = scratch_path(t.spark, "first_seen_state")
+    ST.first_seen_by_state(t.stream("events"), ["user_id", "event_type"], f"{path}/table", f"{path}/checkpoint")
     return t.spark.read.parquet(f"{path}/table").select("user_id", "event_type")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..schemas import JOBS, LISTING
 from . import quoted_csv
+from .published import BUCKET, Published
 
 BAD_ROW = "_bad_row"
 
@@ -100,8 +102,22 @@ def snapshot_export(df: DataFrame, path: str, stamp: str) -> dict[str, str]:
     return paths
 
 
-def append_master(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_master(df: DataFrame, path: str, run: str | None = None) -> bool:
+    """Append one run's rows; readers see all of them or none.
+
+    A ``run`` that is stored already is left alone (False), so a job can be repeated after
+    a failure; without a name every call is a run of its own.  Postings with an
+    ``identity`` are stored by buckets of it.
+    """
+    key = "identity" if "identity" in df.columns else None
+    return Published(df.sparkSession, path, key, label="run").add(df, run or uuid.uuid4().hex)
+
+
+def read_master(spark: SparkSession, path: str, among: DataFrame | None = None) -> DataFrame | None:
+    """Rows of all appended runs, or None; ``among`` opens only the buckets of its identities."""
+    key = None if among is None else "identity"
+    rows = Published(spark, path, key, label="run").read(among=among)
+    return None if rows is None else rows.drop("run", BUCKET)
 
 
 def export_features(cleaned: DataFrame, featurize: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import first_per, insert_if_absent, keep_with_salary, small_side, with_key
 from ..operators.quality import source_health
-from ..sources.io import delete, is_absent
+from ..sources.io import delete
+from ..sources.published import BUCKET, Published
 
 
-SEEN = "identity string, salary string, batch long"  # what later batches need of stored rows
+SEEN = f"identity string, salary string, batch long, {BUCKET} int"  # what later batches need of stored rows
 
 
 def run_available(writer, checkpoint: str) -> None:
@@ -20,29 +22,46 @@ def run_available(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+@contextmanager
+def held(batch: DataFrame):
+    """A batch that several steps read: computed once, and again only where an executor is lost."""
+    batch.persist()
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if not is_absent(error):
-            raise
-        return spark.createDataFrame([], schema)
+        yield batch
+    finally:
+        batch.unpersist()
+
+
+def stored_before(table: Published, batch_id: int, schema: str, batch: DataFrame) -> DataFrame:
+    """Published rows of earlier batches that lie in the buckets of this batch's keys."""
+    earlier = [n for n in table.names() if int(n) < batch_id]  # compacted ones have negative names
+    rows = table.read(schema, among=batch, names=earlier)
+    return table.spark.createDataFrame([], schema) if rows is None else rows
+
+
+def read_table(spark: SparkSession, path: str, key: str = "identity") -> DataFrame:
+    """The published rows of a table that one of these streams stores."""
+    rows = Published(spark, path, key).read()
+    if rows is None:
+        raise ValueError(f"nothing is published below {path}")
+    return rows.drop("batch", BUCKET)
 
 
 def insert_new(listings: DataFrame, path: str, checkpoint: str, order: list[str]) -> None:
     """Store arriving listings whose key is not stored yet, for all time.
 
-    Every micro-batch owns the folder ``batch=<id>`` and overwrites it when it is
-    replayed, and it looks only at earlier batches for stored keys, so a retry
-    after a lost executor or driver stores the same rows once.
+    Every micro-batch is published once under its number, and it looks only at earlier
+    batches for stored keys, so a retry after a lost executor or driver stores the same
+    rows once.  Of the stored table only the buckets of the batch's keys are read.
     """
     keyed = with_key(listings)
     arrived = F.col("scraped_at") if "scraped_at" in keyed.columns else F.current_timestamp()
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stored = read_or_empty(batch.sparkSession, path, SEEN).where(F.col("batch") < batch_id)
-        fresh = insert_if_absent(stored, batch, keyed.columns, order, stamp=arrived)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table = Published(batch.sparkSession, path)
+        with held(batch):
+            stored = stored_before(table, batch_id, SEEN, batch)
+            table.add(insert_if_absent(stored, batch, keyed.columns, order, stamp=arrived), str(batch_id))
 
     run_available(keyed.writeStream.foreachBatch(store), checkpoint)
 
@@ -57,44 +76,41 @@ def accumulate(listings: DataFrame, path: str, checkpoint: str, order: list[str]
     keyed = with_key(listings)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        best = keep_with_salary(batch, order)
-        stored = read_or_empty(batch.sparkSession, path, SEEN).where(F.col("batch") < batch_id)
-        stored = stored.join(small_side(best.select("identity")), "identity", "left_semi")
-        known = stored.groupBy("identity").agg(F.max(F.col("salary").isNotNull()).alias("_paid"))
-        better = F.col("_paid").isNull() | (~F.col("_paid") & F.col("salary").isNotNull())
-        changed = best.join(known, "identity", "left").where(better).drop("_paid")
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table = Published(batch.sparkSession, path)
+        with held(keep_with_salary(batch, order)) as best:
+            stored = stored_before(table, batch_id, SEEN, best)
+            stored = stored.join(small_side(best.select("identity")), "identity", "left_semi")
+            known = stored.groupBy("identity").agg(F.max(F.col("salary").isNotNull()).alias("_paid"))
+            better = F.col("_paid").isNull() | (~F.col("_paid") & F.col("salary").isNotNull())
+            table.add(best.join(known, "identity", "left").where(better).drop("_paid"), str(batch_id))
 
     run_available(keyed.writeStream.foreachBatch(store), checkpoint)
 
 
 def current_master(spark: SparkSession, path: str) -> DataFrame:
-    return keep_with_salary(spark.read.parquet(path), ["batch"]).drop("batch")
+    rows = Published(spark, path).read()
+    if rows is None:
+        raise ValueError(f"nothing is published below {path}")
+    return keep_with_salary(rows, ["batch"]).drop("batch", BUCKET)
 
 
 def compact(spark: SparkSession, path: str) -> None:
     """Replace the batches of an accumulated table by one that holds its current rows.
 
-    Run it while no stream writes the table.  The new folder is written under a hidden
-    name first; a run that broke off after that is finished by the next one, one that
-    broke off before leaves the batches as they were.
+    The new folder is published in one step; readers see all batches or the compacted
+    one, wherever a run breaks off.  If a stream publishes a batch meanwhile, this run gives up
+    with a Conflict and changes nothing.  Folders out of use go with the compaction after.
     """
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.listStatus(root)]
-    ready = [n for n in names if n.startswith("_compact-") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    if not ready:
-        last = max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=None)
-        if last is None:
-            return
-        ready = [f"_compact-{last}"]
-        current_master(spark, path).write.mode("overwrite").parquet(f"{path}/{ready[0]}")
-    last = int(ready[0].removeprefix("_compact-"))
-    for n in names:
-        if n.startswith("batch=") and int(n.removeprefix("batch=")) <= last:
-            delete(spark, f"{path}/{n}")
-    files.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/{ready[0]}"), jvm.org.apache.hadoop.fs.Path(f"{path}/batch={last}"))
+    table = Published(spark, path)
+    names = table.names()
+    if len(names) < 2:
+        table.pointer.remove_unlisted("batch=")
+        return
+    lowest = min(int(n.removeprefix("batch=")) for n in table.pointer.entries() if n.startswith("batch="))
+    table.replace(current_master(spark, path), str(min(lowest, 0) - 1))
+    number = table.pointer.number()
+    for name in set(table.pointer.read(number - 1)) - set(table.pointer.read(number)):
+        delete(spark, f"{path}/{name}")
 
 
 def store_first_seen(rows: DataFrame, keys: list[str], path: str, checkpoint: str, order: list) -> None:
@@ -106,10 +122,11 @@ def store_first_seen(rows: DataFrame, keys: list[str], path: str, checkpoint: st
     name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        best = first_per(batch.withColumn("_key", name), ["_key"], order)
-        stored = read_or_empty(batch.sparkSession, path, "_key string, batch long").where(F.col("batch") < batch_id).select("_key")
-        known = stored.join(small_side(best.select("_key")), "_key", "left_semi")
-        best.join(known, "_key", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table = Published(batch.sparkSession, path, key="_key")
+        with held(first_per(batch.withColumn("_key", name), ["_key"], order)) as best:
+            stored = stored_before(table, batch_id, f"_key string, batch long, {BUCKET} int", best).select("_key")
+            known = stored.join(small_side(best.select("_key")), "_key", "left_semi")
+            table.add(best.join(known, "_key", "left_anti"), str(batch_id))
 
     run_available(rows.writeStream.foreachBatch(store), checkpoint)
 
@@ -129,6 +146,26 @@ def first_seen(listings: DataFrame, keys: list[str], time: str = "ts", delay: st
     return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).dropDuplicatesWithinWatermark(keys).drop("_salt")
 
 
+def first_seen_by_state(listings: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
+    """Store the first arrival of every key from keyed state alone, without reading what is stored.
+
+    The state holds each key once, for all time, in RocksDB on the executors' disks; each
+    batch adds its changes to the checkpoint, so a restart or a lost executor goes on from there.
+    Right for many small batches; state grows with the number of keys.
+    """
+    conf = listings.sparkSession.conf
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        conf.set(k, v)
+    try:
+        append_stream(listings.dropDuplicates(keys), path, checkpoint)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> None:
     run_available(rows.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
 
