@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
@@ -18,10 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..sources.io import is_absent
+from ..sources.published import Conflict, Pointer, Published
 from . import features as FT
+from .bulk import load_bulk
+from .cleaning import clean_jobs
+from .dedup import keep_first
 from .quality import min_rows_gate, training_readiness
-from .ranks import percentile_of
+from .ranks import linear_percentiles, percentile_of
 
 PAY = "salary_usd_numeric"
 SEED = 42
@@ -55,12 +60,17 @@ def boosted_trees(rounds: int = 100, depth: int = 6, step: float = 0.05, sample:
 
 
 def grid_search(train: DataFrame, rounds=(500, 800), depths=(10, 12), steps=(0.03, 0.05), samples=(0.8, 0.9),
-                folds: int = 3, parallelism: int = 4):
-    """Cross-validated grid over boosted trees, scored by mean squared error."""
+                folds: int = 3, parallelism: int = 4, key: str = "id"):
+    """Cross-validated grid over boosted trees, scored by mean squared error.
+
+    A row's fold follows from its key, so scores do not depend on the order or partitioning of rows.
+    """
+    digits = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":fold:{SEED}"))), 1, 8)
+    train = train.withColumn("_fold", F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(folds)).cast("int"))
     model = boosted_trees()
     grid = (ParamGridBuilder().addGrid(model.maxIter, list(rounds)).addGrid(model.maxDepth, list(depths))
             .addGrid(model.stepSize, list(steps)).addGrid(model.subsamplingRate, list(samples)).build())
-    search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, parallelism=parallelism, seed=SEED,
+    search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="_fold", parallelism=parallelism, seed=SEED,
                             evaluator=RegressionEvaluator(labelCol=PAY, metricName="mse"))
     return search.fit(train)
 
@@ -127,6 +137,7 @@ class SalaryModel:
     residual_std: float
     metrics: dict = field(default_factory=dict)
     train_pay: DataFrame | None = None
+    facts: dict = field(default_factory=dict)  # rows, pay statistics and percentiles, date, source, readiness
 
     def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """Batch prediction; negative output counts as zero."""
@@ -149,21 +160,50 @@ class SalaryModel:
             F.lit(self.name).alias("model_name"), F.lit(MODEL_VERSION).alias("model_version"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        self.encoders.save(spark, f"{path}/encoders")
-        row = [(self.name, MODEL_VERSION, float(self.residual_std), self.columns,
-                {k: float(v) for k, v in self.metrics.items() if v is not None})]
-        spark.createDataFrame(row, "name string, version string, residual_std double, columns array<string>, "
-                              "metrics map<string,double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+        """Store a new version; readers see it once all of it is there, and the one before until then."""
+        pointer, version = Pointer(spark, path), f"version={uuid.uuid4().hex}"
+        number, out = pointer.number(), f"{path}/{version}"
+        self.model.write().overwrite().save(f"{out}/model")
+        self.encoders.save(spark, f"{out}/encoders")
+        row = [(self.name, MODEL_VERSION, float(self.residual_std), self.columns, len(self.columns),
+                {k: float(v) for k, v in self.metrics.items() if v is not None}, *(self.facts.get(k) for k in FACTS))]
+        spark.createDataFrame(row, "name string, version string, residual_std double, columns array<string>, features int, "
+                              "metrics map<string,double>, " + ", ".join(f"{k} {v}" for k, v in FACTS.items())
+                              ).coalesce(1).write.mode("overwrite").parquet(f"{out}/metadata")
         if self.train_pay is not None:
-            self.train_pay.select(PAY).write.mode("overwrite").parquet(f"{path}/train_pay")
+            self.train_pay.select(PAY).write.mode("overwrite").parquet(f"{out}/train_pay")
+        while True:
+            try:
+                pointer.swap([version], number)
+                break
+            except Conflict:  # another training run published; the later one is current
+                number = pointer.number()
+        pointer.remove_unlisted("version=")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SalaryModel":
+        found = Pointer(spark, path).read()
+        if not found:
+            raise ValueError(f"no model is published below {path}")
+        path = f"{path}/{found[0]}"
         meta = spark.read.parquet(f"{path}/metadata").first()
         kind = RandomForestRegressionModel if meta["name"].startswith("random_forest") else GBTRegressionModel
         return cls(kind.load(f"{path}/model"), FT.Encoders.load(spark, f"{path}/encoders"), list(meta["columns"]),
-                   meta["name"], meta["residual_std"], dict(meta["metrics"]), spark.read.parquet(f"{path}/train_pay"))
+                   meta["name"], meta["residual_std"], dict(meta["metrics"]), spark.read.parquet(f"{path}/train_pay"),
+                   {k: meta[k] for k in FACTS})
+
+
+#: What is stored with a model besides its quality.
+FACTS = {"trained_at": "string", "training_rows": "bigint", "salary_min": "double", "salary_max": "double", "salary_mean": "double",
+         "percentiles": "map<string,double>", "source": "string", "readiness": "string"}
+
+
+def training_facts(fit_rows: DataFrame) -> dict:
+    """Rows, pay statistics and percentiles of what a model is fitted on."""
+    stats = salary_stats(fit_rows).join(fit_rows.agg(F.count(F.lit(1)).alias("training_rows"))).first()
+    points = linear_percentiles(fit_rows, [], PAY, FT.PERCENTS).first().asDict()
+    return {"trained_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), **stats.asDict(),
+            "percentiles": {k: float(v) for k, v in points.items() if v is not None}}
 
 
 DEFAULT_CANDIDATES = {
@@ -202,44 +242,64 @@ def train(spark: SparkSession, jobs: DataFrame, work_dir: str, candidates: dict
     return SalaryModel(
         fitted[best["model"]], encoders, columns, best["model"], best["residual_std"],
         {"rmse": best["rmse"], "mae": best["mae"], "r2": best["r2"], "rows": best["rows"]},
-        fit_rows.select(PAY))
+        fit_rows.select(PAY), training_facts(fit_rows))
 
 
 def log_run(spark: SparkSession, path: str, model: SalaryModel, rows: int) -> DataFrame:
-    """Append one record to the run table; ids count up.  A log that cannot be read is an error, an absent one is empty."""
-    try:
-        last = spark.read.parquet(path).agg(F.max("run_id")).first()[0] or 0
-    except AnalysisException as error:
-        if not is_absent(error):
-            raise
-        last = 0
-    m = model.metrics
-    record = [(last + 1, model.name, round(m["rmse"], 2), round(m["mae"], 2), round(m["r2"], 4), rows, len(model.columns))]
-    frame = spark.createDataFrame(
-        record, "run_id int, model_name string, rmse double, mae double, r2 double, rows bigint, features int")
-    frame.coalesce(1).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """Append one record to the run table; ids count up, also when several runs end at once."""
+    table, m = Published(spark, path, key=None, label="run"), model.metrics
+    run = len(table.names())
+    while True:
+        run += 1
+        record = [(run, model.name, round(m["rmse"], 2), round(m["mae"], 2), round(m["r2"], 4), rows, len(model.columns))]
+        frame = spark.createDataFrame(
+            record, "run_id int, model_name string, rmse double, mae double, r2 double, rows bigint, features int").coalesce(1)
+        if table.add_next(frame, str(run)):
+            return read_runs(spark, path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return Published(spark, path, key=None, label="run").read().drop("run")
+
+
+def load_training_rows(bulk: DataFrame | None, collected: DataFrame | None) -> DataFrame:
+    """Bulk rows before collected ones, the first of each posting kept, in the columns of collected listings."""
+    frames = [] if bulk is None else [load_bulk(bulk).withColumn("id", F.col("job_id").try_cast("bigint"))]
+    frames += [] if collected is None else [collected]
+    if not frames:
+        raise ValueError("nothing to train on")
+    return keep_first(frames, [F.asc_nulls_last("id"), "identity"])
+
+
+def train_from_sources(spark: SparkSession, bulk: DataFrame | None, collected: DataFrame | None, out_dir: str, **options) -> DataFrame:
+    """The whole run: load and merge, clean, gates, training, promotion, storing; one-row report."""
+    source = "+".join(n for n, f in (("bulk", bulk), ("collected", collected)) if f is not None)
+    return training_job(spark, clean_jobs(load_training_rows(bulk, collected)), out_dir, source=source, **options)
 
 
 def training_job(spark: SparkSession, cleaned: DataFrame, out_dir: str, candidates: dict | None = None,
-                 previous_r2: float | None = None, force: bool = False, leaky: bool = False) -> DataFrame:
+                 previous_r2: float | None = None, force: bool = False, leaky: bool = False, source: str = "cleaned") -> DataFrame:
     """Gates, training, promotion, storing, run log.  Returns a one-row report.
 
-    The cleaned table is stored first: gates, encoders and features all read it.
+    The cleaned table is stored first: gates, encoders and features all read it.  With a promoted
+    model its feature table, readiness report, pay statistics and run record are stored.
     """
     cleaned.write.mode("overwrite").parquet(f"{out_dir}/cleaned")
     cleaned = spark.read.schema(cleaned.schema).parquet(f"{out_dir}/cleaned")
     gate = min_rows_gate(cleaned).first()
     if gate["status"] == "stop":
         raise ValueError(f"needs at least {vocab.ROWS_STOP} rows with pay")
-    ready = training_readiness(cleaned).first()
+    ready = training_readiness(cleaned)
+    said = ready.select("ready", F.to_json(F.struct("*")).alias("text")).first()
     model = train(spark, cleaned, f"{out_dir}/work", candidates, leaky=leaky)
+    model.facts |= {"source": source, "readiness": said["text"]}
     report = promotion_gate(spark.createDataFrame(
-        [(model.name, model.metrics["r2"], previous_r2, ready["ready"], gate["status"], gate["salary_rows"])],
+        [(model.name, model.metrics["r2"], previous_r2, said["ready"], gate["status"], gate["salary_rows"])],
         "model_name string, new_r2 double, old_r2 double, ready boolean, rows_status string, salary_rows bigint"),
         force=force)
     if report.first()["promoted"]:
         model.save(spark, f"{out_dir}/model")
+        FT.transform(cleaned, model.encoders, ["id"]).write.mode("overwrite").parquet(f"{out_dir}/features")
         log_run(spark, f"{out_dir}/runs", model, gate["salary_rows"])
     return report
 

@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..streaming import jobs as ST
 from . import duck as D
-from .cleanup import BEST, CLEANED, HALVES, INSERTED, PARTS, halves
+from .cleanup import BEST, CLEANED, HALVES, IDENTITY, INSERTED, LOADED, PARTS, halves
 from .market import HEALTH
 from .registry import query
 from .scoring import requests
@@ -386,7 +386,7 @@ def run_training(t, previous_r2):
     path = scratch_path(t.spark, "training")
     report = MD.training_job(t.spark, C.clean_jobs(t.raw), path, SMALL, previous_r2=previous_r2)
     stored = report.first()["promoted"]
-    runs = t.spark.read.parquet(f"{path}/runs").count() if stored else 0
+    runs = MD.read_runs(t.spark, f"{path}/runs").count() if stored else 0
     if stored:
         MD.SalaryModel.load(t.spark, f"{path}/model")
     return report.select("promoted", "salary_rows").withColumn("runs", F.lit(runs).cast("bigint"))
@@ -403,6 +403,32 @@ def _(t):
     return run_training(t, None)
 
 
+@query("train_job_sources", "bulk raw", f"""{LOADED}, u AS (SELECT 0 AS src, {IDENTITY} AS identity FROM loaded
+    UNION ALL SELECT 1, {IDENTITY} FROM raw)
+    SELECT 'bulk+collected' AS source, TRUE AS promoted, TRUE AS features_stored, count(DISTINCT identity) AS merged_rows FROM u""")
+def _(t):
+    """From bulk and collected rows to a stored model, feature table, statistics and run record."""
+    path = scratch_path(t.spark, "training")
+    report = MD.train_from_sources(t.spark, t.bulk, t.raw, path, candidates=SMALL)
+    stored = MD.SalaryModel.load(t.spark, f"{path}/model")
+    features = t.spark.read.parquet(f"{path}/features").count() == t.spark.read.parquet(f"{path}/cleaned").count()
+    merged = MD.load_training_rows(t.bulk, t.raw).agg(F.count(F.lit(1)).alias("merged_rows"))
+    return merged.select(F.lit(stored.facts["source"]).alias("source"), F.lit(report.first()["promoted"]).alias("promoted"),
+                         F.lit(features).alias("features_stored"), "merged_rows")
+
+
+@query("model_facts", "jobs", f"""SELECT count(*) AS training_rows, min(salary_usd_numeric) AS salary_min, max(salary_usd_numeric) AS salary_max,
+    {D.money('avg(salary_usd_numeric)')} AS salary_mean, round(quantile_cont(salary_usd_numeric, 0.1), 4) AS p10,
+    round(quantile_cont(salary_usd_numeric, 0.9), 4) AS p90 FROM jobs WHERE {TRAINING} AND {IS_TRAIN}""")
+def _(t):
+    """Statistics of the training pay as they are stored with the model."""
+    path = scratch_path(t.spark, "model")
+    model(t).save(t.spark, path)
+    back = t.spark.read.parquet(f"{path}/version=*/metadata")
+    return back.select("training_rows", "salary_min", "salary_max", F.round(F.col("salary_mean").cast("decimal(28,8)"), 2).cast("double").alias("salary_mean"),
+                       *[F.round(F.element_at("percentiles", p), 4).alias(p) for p in ("p10", "p90")])
+
+
 @query("train_job_blocked", "raw", outcome("FALSE", 0))
 def _(t):
     """A stored model that is better blocks the new one."""

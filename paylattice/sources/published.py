@@ -123,6 +123,20 @@ class Published:
             except Conflict:
                 continue  # another name was added meanwhile
 
+    def add_next(self, rows: DataFrame, name: str) -> bool:
+        """Store rows under a name that must be new; False if another writer was first with any name."""
+        number = self.pointer.number()
+        folders, folder = self.pointer.read(number), f"{self.label}={name}"
+        if any(f.partition(".")[0] == folder for f in folders):
+            return False
+        own = f"{folder}.{uuid.uuid4().hex}"  # another writer may be writing the same name
+        self._write(rows, own)
+        try:
+            self.pointer.swap([*folders, own], number)
+            return True
+        except Conflict:
+            return False
+
     def replace(self, rows: DataFrame, name: str) -> None:
         """Make these rows the whole table, under a new name; a Conflict if the table has changed since it was read."""
         number = self.pointer.number()
