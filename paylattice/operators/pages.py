@@ -17,6 +17,8 @@ from ..functions import metadata as M
 from ..functions import salary as S
 from ..functions import text as X
 from ..schemas import PAGE_PAYLOAD
+from ..sources.io import append_master, conform, read_master
+from .dedup import insert_if_absent, keep_with_salary, union_sources, with_key
 
 # --- fixed values: where pay stands on a page, in order of trust --------------
 PAY_CLASSES = ["salaryInfoAndJobType", "salary-snippet-container", "detailSalary", "salaryEstimate", "css-1bluz6i",
@@ -183,6 +185,22 @@ def card_jobs(pages: DataFrame, source: str = "ZipRecruiter", base: str = "https
     )
 
 
+def collect_listings(pages: DataFrame) -> DataFrame:
+    """All listings of the pages in the canonical schema, one row per posting; rows that name pay win, then earlier pages."""
+    found = [conform(job(pages)) for job in (embedded_jobs, anchor_jobs, card_jobs)]
+    return keep_with_salary(with_key(union_sources(*found)), ["page_id", "job_title"])
+
+
+def store_listings(pages: DataFrame, path: str, run: str) -> bool:
+    """Append the listings of these pages that are not stored below ``path`` yet, as one run; False for a run stored before."""
+    spark = pages.sparkSession
+    fresh = collect_listings(pages)
+    stored = read_master(spark, path, among=fresh)
+    if stored is not None:
+        fresh = insert_if_absent(stored, fresh, fresh.columns, ["page_id"])
+    return append_master(fresh, path, run)
+
+
 def page_salary_scan(pages: DataFrame) -> DataFrame:
     """Pay named on a page: marked elements in order of trust, then spans about money, then the whole text."""
     html, nodes = F.col("html"), F.col("_nodes")

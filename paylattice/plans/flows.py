@@ -162,27 +162,33 @@ ARRANGED = "CASE page_id % 3 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Hybrid' ELSE 'On-
 PLACE_COST = D.case("place", V.CITY_COST, V.CITY_COST_DEFAULT)
 
 
-@query("page_json_jobs", "crawl", f"""WITH j AS (
+PAGE_JSON = f"""WITH j AS (
     SELECT page_id, 'Senior Engineer ' || (page_id % 7) AS job_title, 'Austin' AS location, 120000 + page_id AS pay, {V.SENIORITY_TITLE_WORDS[2][0]!r} AS seniority_level,
       {ARRANGED} AS remote_type, 'j' || page_id || '-1' AS job_id, location AS place FROM crawl WHERE page_id % 5 <> 4
     UNION ALL SELECT page_id, 'Data Analyst', location, 85000 + page_id, {V.MID!r}, 'On-site', 'j' || page_id || '-2', location
       FROM crawl WHERE page_id % 5 <> 4 AND page_id % 9 <> 0)
     SELECT page_id, job_title, 'Company ' || (page_id % 50) AS company_name, location, {D.salary_label('pay')} AS salary, seniority_level,
       remote_type, job_id, {D.key_of("'levelsfyi'", "'Company ' || (page_id % 50)", 'job_title', 'job_id')} AS dedup_key,
-      {PLACE_COST} AS cost_of_living_index FROM j""")
+      {PLACE_COST} AS cost_of_living_index FROM j"""
+
+
+@query("page_json_jobs", "crawl", PAGE_JSON)
 def _(t):
     out = P.embedded_jobs(t.pages).withColumn("_place", F.col("location"))
     return out.select("page_id", "job_title", "company_name", "location", "salary", "seniority_level", "remote_type", "job_id",
                       "dedup_key", "cost_of_living_index")
 
 
-@query("page_anchor_jobs", "crawl", f"""WITH a AS (
+PAGE_ANCHOR = f"""WITH a AS (
     SELECT page_id, keyword, location, 'Acme ' || (page_id % 20) || ' Inc' AS company_name, (90000 + page_id * 10)::DOUBLE AS pay FROM crawl WHERE page_id % 4 <> 3
     UNION ALL SELECT page_id, keyword, location, 'Acme ' || (page_id % 20 + 100) || ' Inc', 101000 + page_id FROM crawl WHERE page_id % 4 <> 3
     UNION ALL SELECT page_id, keyword, location, NULL, round_even((80000 + page_id) * usd_rate, 0) FROM crawl WHERE page_id % 4 = 3)
     SELECT page_id, {D.title_case('keyword')} AS job_title, company_name, location, {D.salary_label('pay')} AS salary,
       {D.infer_seniority('keyword')} AS seniority_level,
-      {D.key_of("'payscale'", 'company_name', 'keyword', 'location')} AS dedup_key FROM a""")
+      {D.key_of("'payscale'", 'company_name', 'keyword', 'location')} AS dedup_key FROM a"""
+
+
+@query("page_anchor_jobs", "crawl", PAGE_ANCHOR)
 def _(t):
     return P.anchor_jobs(t.pages).select("page_id", "job_title", "company_name", "location", "salary", "seniority_level", "dedup_key")
 
@@ -192,14 +198,38 @@ def _(t):
     return P.page_salary_range(t.pages)
 
 
-@query("page_card_jobs", "crawl", f"""SELECT page_id, 'Senior Data Engineer ' || (page_id % 6) AS job_title, 'Acme ' || (page_id % 30) AS company_name,
+PAGE_CARD = f"""SELECT page_id, 'Senior Data Engineer ' || (page_id % 6) AS job_title, 'Acme ' || (page_id % 30) AS company_name,
     'Town ' || (page_id % 8) AS location, {D.salary_label("(85 + page_id % 50) * 1000 * usd_rate")} AS salary,
     (page_id % 6 + 2) || '+ years' AS experience_required, CASE WHEN page_id % 2 = 0 THEN 'Remote' ELSE 'On-site' END AS remote_type,
     CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS has_bonus, 'Python, Spark' AS skills_required,
-    {D.key_of("'Acme ' || (page_id % 30)", "'Senior Data Engineer ' || (page_id % 6)", 'location')} AS dedup_key FROM crawl""")
+    {D.key_of("'Acme ' || (page_id % 30)", "'Senior Data Engineer ' || (page_id % 6)", 'location')} AS dedup_key FROM crawl"""
+
+
+@query("page_card_jobs", "crawl", f"""SELECT *, dedup_key AS job_id, 'ZipRecruiter' AS source_website, 'USD' AS salary_currency,
+    CASE WHEN page_id % 2 = 0 THEN 'http://example.org' ELSE 'https://www.ziprecruiter.com' END || '/view/' || page_id AS job_link FROM ({PAGE_CARD})""")
 def _(t):
     return P.card_jobs(t.pages).select("page_id", "job_title", "company_name", "location", "salary", "experience_required",
-                                       "remote_type", "has_bonus", "skills_required", "dedup_key")
+                                       "remote_type", "has_bonus", "skills_required", "dedup_key", "job_id", "source_website",
+                                       "salary_currency", "job_link")
+
+
+# identities from the fields themselves; a card is searched for by the page's place
+COLLECTED = f"""WITH u AS (
+    SELECT page_id, job_title, company_name, salary, 'Levels.fyi' AS source_website, ('levelsfyi', company_name, job_title, job_id) AS ident FROM ({PAGE_JSON})
+    UNION ALL SELECT page_id, job_title, company_name, salary, 'PayScale', ('payscale', coalesce(company_name, ''), job_title, location) FROM ({PAGE_ANCHOR})
+    UNION ALL SELECT page_id, job_title, company_name, salary, 'ZipRecruiter', ('', company_name, job_title, place)
+      FROM ({PAGE_CARD}) JOIN (SELECT page_id, location AS place FROM crawl) USING (page_id))
+    SELECT page_id, job_title, company_name, salary, source_website FROM u
+    QUALIFY row_number() OVER (PARTITION BY lower(ident::VARCHAR) ORDER BY CASE WHEN salary IS NULL THEN 1 ELSE 0 END, page_id, job_title) = 1"""
+
+
+@query("page_store", "crawl", COLLECTED)
+def _(t):
+    """Pages to conformed, deduplicated, stored listings; the second and the repeated run add nothing."""
+    path = scratch_path(t.spark, "listings")
+    for run in ("first", "first", "second"):
+        P.store_listings(t.pages, path, run)
+    return io.read_master(t.spark, path).select("page_id", "job_title", "company_name", "salary", "source_website")
 
 
 @query("page_salary_scan", "crawl", """SELECT page_id, round_even(CASE WHEN page_id % 6 = 1 THEN (30 + page_id % 20) * 2080

@@ -193,7 +193,7 @@ PAGES = [
      " || '<span class=\"paycharts__value\">$' || CAST(80000 + page_id AS STRING) || '</span>'"
      " || '<div class=\"tablerow__value\">Base Salary: $' || CAST(60 + page_id % 40 AS STRING) || 'k - $' || CAST(110 + page_id % 40 AS STRING) || 'k</div>'"
      " || '<div class=\"job_card\"><h2 class=\"title\">Senior  Data Engineer ' || CAST(page_id % 6 AS STRING) || '</h2><span class=\"company\">Acme '"
-     " || CAST(page_id % 30 AS STRING) || '</span><span class=\"location\">Town ' || CAST(page_id % 8 AS STRING) || '</span><p class=\"snippet\">'"
+     " || CAST(page_id % 30 AS STRING) || '</span><span class=\"location\">Town ' || CAST(page_id % 8 AS STRING) || '</span><a class=\"go\" href=\"' || CASE WHEN page_id % 2 = 0 THEN 'http://example.org' ELSE '' END || '/view/' || CAST(page_id AS STRING) || '\"></a><p class=\"snippet\">'"
      " || CASE WHEN page_id % 2 = 0 THEN 'Remote or hybrid, ' ELSE '' END || CAST(page_id % 6 + 2 AS STRING) || '+ years of Python and Spark, $' || CAST(50 + page_id % 50 AS STRING)"
      " || 'k - $' || CAST(120 + page_id % 50 AS STRING) || 'k' || CASE WHEN page_id % 3 = 0 THEN ' plus bonus' ELSE '' END || '</p></div>'"
      " || CASE WHEN page_id % 6 = 1 THEN '<div class=\"salary-estimate\">Est. $' || CAST(30 + page_id % 20 AS STRING) || ' per hour</div>' ELSE '' END"),
