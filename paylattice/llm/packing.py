@@ -15,10 +15,10 @@ from tokenizers import Tokenizer
 
 from .common import LOWER, SPACE, Prefix, arrow_map, flat_bytes, mix, slices, words
 
-#: Slots for remembered pieces of words, and token ids they may hold together.
-SLOTS, POOL = 1 << 21, 8_000_000
-#: Documents whose remainders are packed together.
-WINDOW = 8192
+#: Slots for remembered pieces of words, and token ids and bytes they may hold together.
+SLOTS, POOL, RAW = 1 << 21, 8_000_000, 24_000_000
+#: Documents, and tokens of documents, whose remainders are packed together at most.
+WINDOW, WINDOW_TOKENS = 8192, 8_000_000
 
 APART, LETTER_KIND, SYMBOL_KIND = 0, 1, 2
 KIND = np.full(256, LETTER_KIND, np.uint8)
@@ -77,23 +77,40 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return low, begins, ends, letters
 
 
+def same_bytes(left: np.ndarray, at: np.ndarray, right: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``sizes[i]`` (1 or more) bytes of ``left`` from ``at[i]`` equal those of ``right`` from ``other[i]``."""
+    out = np.zeros(len(sizes), bool)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    a = 0
+    while a < len(sizes):  # about a million bytes at once
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + 1_000_000)))
+        n = sizes[a:b].astype(np.int32)
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum()), dtype=np.int32)
+        same = left[np.repeat((at[a:b] - first).astype(np.int32), n) + step] == right[np.repeat((other[a:b] - first).astype(np.int32), n) + step]
+        out[a:b] = np.logical_and.reduceat(same, first)
+        a = b
+    return out
+
+
 class PieceIds:
-    """Token ids of pieces, remembered in a table of fixed size by a 64-bit hash.
+    """Token ids of pieces, remembered in a table of fixed size; found by a 64-bit hash, accepted by their bytes.
 
-    A new piece takes the slot of an older one; when the pool of ids is full, all are
+    A new piece takes the slot of an older one; when the pool of ids or bytes is full, all are
     forgotten.  So memory is bounded and a forgotten piece is only encoded again.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.letters = tokenizer, byte_letters()
         (self.mark,) = tokenizer.encode(_NEVER, add_special_tokens=False).ids
-        self.pool = np.zeros(POOL, np.uint32)
+        self.pool, self.raw = np.zeros(POOL, np.uint32), np.zeros(RAW, np.uint8)
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(SLOTS, np.uint64)
         self.at, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.used = 0
+        self.raw_at, self.raw_size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.used = self.raw_used = 0
 
     def encode(self, pieces: list[bytes], letters: list[bool]) -> list[list[int]]:
         """Letters go straight to the merges; other pieces through the whole tokenizer, many in one text."""
@@ -131,26 +148,47 @@ class PieceIds:
         keys = mix(Prefix(low).ranges(start, end) + (end - start).astype(np.uint64) * np.uint64(2) + letters) | np.uint64(1)
         slot = (keys >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
         at, size = self.at[slot], self.size[slot]
-        missing = np.flatnonzero(self.keys[slot] != keys)
+        length = end - start
+        met = np.flatnonzero((self.keys[slot] == keys) & (self.raw_size[slot] == length))
+        met = met[same_bytes(low, start[met], self.raw, self.raw_at[slot[met]], length[met])]
+        unknown = np.ones(len(keys), bool)
+        unknown[met] = False
+        missing = np.flatnonzero(unknown)
         pool = self.pool
         if len(missing):
             new, first, same = np.unique(keys[missing], return_index=True, return_inverse=True)
             first = missing[first]
             raw = low.tobytes()
+            stand = first[same]  # the piece that stands for each missing one; one of other bytes stands for itself
+            alike = length[stand] == length[missing]
+            alike[alike] = same_bytes(low, start[missing[alike]], low, start[stand[alike]], length[missing[alike]])
+            if not alike.all():
+                own = missing[~alike]
+                same[~alike] = len(first) + np.arange(len(own))
+                first = np.append(first, own)
+                new = np.append(new, np.zeros(len(own), np.uint64))  # not remembered
             got = self.encode([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], letters[first].tolist())
             sizes = np.array([len(x) for x in got], np.int32)
             flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-            if self.used + len(flat) > POOL:  # what this slice found is in `pool`, what it learns fits anew or not at all
+            bytes_of = length[first]
+            if self.used + len(flat) > POOL or self.raw_used + int(bytes_of.sum()) > RAW:  # what this slice found is in `pool`, what it learns fits anew or not at all
                 pool = np.concatenate([self.pool[: self.used], flat])
                 places = self.used + np.append(0, np.cumsum(sizes)[:-1])
                 self.pool = np.zeros(POOL, np.uint32)
+                self.raw = np.zeros(RAW, np.uint8)
                 self.forget()
             else:
                 places = self.used + np.append(0, np.cumsum(sizes)[:-1])
                 pool[self.used : self.used + len(flat)] = flat
                 self.used += len(flat)
-                where = (new >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
-                self.keys[where], self.at[where], self.size[where] = new, places, sizes
+                held = self.raw_used + np.append(0, np.cumsum(bytes_of)[:-1])
+                for a, b, p in zip(start[first].tolist(), end[first].tolist(), held.tolist(), strict=True):
+                    self.raw[p : p + b - a] = low[a:b]
+                self.raw_used += int(bytes_of.sum())
+                keep = np.flatnonzero(new)
+                where = (new[keep] >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+                self.keys[where], self.at[where], self.size[where] = new[keep], places[keep], sizes[keep]
+                self.raw_at[where], self.raw_size[where] = held[keep], bytes_of[keep]
             at[missing], size[missing] = places[same], sizes[same]
         stops = np.cumsum(size, dtype=np.int64)
         ids = pool[np.repeat(at - (stops - size), size) + np.arange(stops[-1])]
@@ -294,7 +332,7 @@ def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, segments: int
         known = piece_ids(path)
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 36
-        held, names = [], []
+        held, names, waiting = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held, names
@@ -314,8 +352,10 @@ def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, segments: int
         for b in slices(batches):
             held += known.texts(*flat_bytes(b["text"]), end_id)
             names += b["doc_id"].to_pylist()
-            if len(held) >= WINDOW:
+            waiting += sum(len(x) for x in held[len(held) - b.num_rows :])
+            if len(held) >= WINDOW or waiting >= WINDOW_TOKENS:
                 yield flush()
+                waiting = 0
         if held:
             yield flush()
 
