@@ -101,16 +101,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Ranges above this length are hashed by their bytes: running sums modulo 2^64 give some long texts of two letters the same value.
+SUMMED = 96
+
+
 class Prefix:
-    """64-bit hash of any byte range of one array, from running sums."""
+    """64-bit hash of any byte range of one array, from running sums; of long ranges, from their bytes."""
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         up, self.down = _powers(max(len(data) + 1, SLICE_BYTES))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        out = mix((self.sums[end] - self.sums[start]) * self.down[start])
+        for i in np.flatnonzero(end - start > SUMMED).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
 
     def grams(self, q: int) -> np.ndarray:
         """Hash of the q bytes that start at each offset."""
@@ -163,6 +171,10 @@ def distinct(values: np.ndarray) -> np.ndarray:
 BITMAP_BITS = 27
 #: Bits of a key that choose its bucket.
 BUCKET_BITS = 12
+#: Bits of a key that choose the slot in which its frequency class is kept: 16 MB of two-bit classes.
+CLASS_BITS = 26
+#: Least counts of the classes above the first.
+CLASSES = (8, 64, 512)
 PACKED = "bucket int, keys binary"
 
 
@@ -186,7 +198,7 @@ class KeyPacker:
     More than ``most_alike`` equal keys are not worth sending, as nobody counts further.
     """
 
-    def __init__(self, most_alike: int, most: int = 2_000_000):
+    def __init__(self, most_alike: int, most: int = 1_000_000):
         self.parts: list[np.ndarray] = []
         self.held, self.most, self.most_alike = 0, most, most_alike
 
@@ -214,17 +226,23 @@ class KeyBitmap:
     bucket and is named by the bits behind them.
     """
 
-    def __init__(self, bits: np.ndarray, second: np.ndarray | None = None, total: int = 0, different: int = 0):
-        self.bits, self.second, self.total, self.different = bits, second, total, different
+    def __init__(self, bits: np.ndarray, second: np.ndarray | None = None, total: int = 0, different: int = 0,
+                 classes: np.ndarray | None = None):
+        self.bits, self.second, self.total, self.different, self.classes = bits, second, total, different, classes
 
     def __getstate__(self) -> dict:
         """Packed, as most bits are mostly unset and every executor keeps a copy on disk."""
         pack = zstandard.ZstdCompressor(level=1).compress
-        return self.__dict__ | {k: None if v is None else pack(v.tobytes()) for k, v in (("bits", self.bits), ("second", self.second))}
+        return self.__dict__ | {k: None if getattr(self, k) is None else pack(getattr(self, k).tobytes()) for k in ("bits", "second", "classes")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state | {k: None if state[k] is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(state[k]), np.uint8)
-                                 for k in ("bits", "second")}
+                                 for k in ("bits", "second", "classes")}
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Frequency class of each key, 0 to 3; that of a more frequent key of the same slot at times, and always the same."""
+        at = (keys >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+        return (self.classes[at >> 2] >> ((at & 3) * 2).astype(np.uint8)) & 3
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
@@ -237,13 +255,22 @@ class KeyBitmap:
         return found
 
 
-def key_bitmap(packed: DataFrame, least: int = 2) -> KeyBitmap:
-    """Bitmap of the keys that come ``least`` times or more.
+def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyBitmap:
+    """Bitmap of the keys that come ``least`` times or more; with ``classes``, also how often, by ``CLASSES``.
 
-    ``packed`` has the rows of ``KeyPacker``.  The result has a fixed size (twice 16 MB);
-    bits may also be set for another key, so it serves as a filter or as a rank in an
-    order, never as a decision.
+    ``packed`` has the rows of ``KeyPacker``.  The result has a fixed size (twice 16 MB, and
+    16 MB for classes); bits may also be set for another key, so it serves as a filter or
+    as a rank in an order, never as a decision.
     """
+    slots = 1 << (CLASS_BITS - BUCKET_BITS)
+
+    def class_bytes(keys: np.ndarray, counts: np.ndarray) -> bytes:
+        level = np.searchsorted(CLASSES, counts, "right").astype(np.uint8)
+        held = np.zeros(slots, np.uint8)
+        np.maximum.at(held, keys >> np.uint32(32 - (CLASS_BITS - BUCKET_BITS)), level)
+        held = held.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+        return (held[:, 0] | held[:, 1] | held[:, 2] | held[:, 3]).tobytes()
+
     low, part = BITMAP_BITS - BUCKET_BITS, 1 << (BITMAP_BITS - BUCKET_BITS - 3)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,22 +282,27 @@ def key_bitmap(packed: DataFrame, least: int = 2) -> KeyBitmap:
         for b in sorted(held):
             keys = np.sort(np.concatenate(held.pop(b)))
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            often = keys[first[np.diff(np.append(first, len(keys))) >= least]]
+            counts = np.diff(np.append(first, len(keys)))
+            often = keys[first[counts >= least]]
             bits = np.zeros((2, part * 8), bool)
             bits[0, often >> np.uint32(32 - low)] = True
             bits[1, (often >> np.uint32(32 - 2 * low)) & np.uint32((1 << low) - 1)] = True
-            rows.append((b, np.packbits(bits, axis=1, bitorder="little").tobytes(), len(keys), len(first)))
+            rows.append((b, np.packbits(bits, axis=1, bitorder="little").tobytes(), len(keys), len(first),
+                         class_bytes(keys[first], counts) if classes else None))
         if rows:
-            b, bits, total, different = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(bits), pa.array(total), pa.array(different)],
-                                             ["bucket", "keys", "total", "different"])
+            b, bits, total, different, level = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(bits), pa.array(total), pa.array(different), pa.array(level, pa.binary())],
+                                             ["bucket", "keys", "total", "different", "level"])
 
-    counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, PACKED + ", total long, different long")
+    counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, PACKED + ", total long, different long, level binary")
     bits, total, different = np.zeros((2, part << BUCKET_BITS), np.uint8), 0, 0
-    for row in counted.collect():  # 8 KB for each of 4,096 buckets
+    levels = np.zeros(1 << (CLASS_BITS - 2), np.uint8) if classes else None
+    for row in counted.collect():  # 12 KB for each of 4,096 buckets
+        if classes:
+            levels[row.bucket * slots // 4 : (row.bucket + 1) * slots // 4] = np.frombuffer(row.level, np.uint8)
         bits[:, row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(row["keys"], np.uint8).reshape(2, part)
         total, different = total + row.total, different + row.different
-    return KeyBitmap(bits[0], bits[1], total, different)
+    return KeyBitmap(bits[0], bits[1], total, different, levels)
 
 
 def bucket_tasks(df: DataFrame) -> int:

@@ -13,13 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BITMAP_BITS, BUCKET_BITS, LOWER, KeyBitmap, KeyPacker, Prefix, arrow_map, bucket_tasks, components, distinct, flat_bytes, id_bitmap,
+    BUCKET_BITS, CLASSES, LOWER, KeyBitmap, KeyPacker, Prefix, arrow_map, bucket_tasks, components, distinct, flat_bytes, id_bitmap,
     key_bitmap, mix, shingles, slices, store, union_all, words,
 )
 
-#: A token in so many sets is heavy, or in more on larger inputs, so that heavy ones never outnumber the bitmap's bits.
-#: At 2 a light token is in one set alone and is not even posted.
-LEAST_HEAVY = 2
 #: Cost of fetching and comparing one candidate, in postings.
 CANDIDATE_COST = 50
 LARGEST_SMALL = 20
@@ -112,12 +109,13 @@ def packed_tokens(docs: DataFrame, k: int, most_alike: int) -> DataFrame:
     return arrow_map(docs.select("text"), job, "bucket int, keys binary")
 
 
-def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int, with_light: bool) -> DataFrame:
-    """What distinct sets post: packed light postings, rows of heavy tokens by set, and links found on the way.
+def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int) -> DataFrame:
+    """What distinct sets post: packed subsets, rows of heavy tokens by set, and links found on the way.
 
-    The order of tokens is: light ones by hash, then heavy ones by hash.  A set posts the
-    prefix of which a partner must share a token; ``with_light`` off leaves out its light
-    tokens, which is right when no other set has them.  Sets up to ``small`` instead post the
+    The order of tokens is: light ones, then heavy ones by frequency class, rare before
+    common, then by hash.  A set posts the prefix of which a partner must share a token,
+    without its light tokens, which no other set has.  So lists are those of the rarest
+    shared tokens, and a common passage is met only by sets that are little else.  Sets up to ``small`` instead post the
     subsets of the size that a partner of each size must share; a subset met before in
     the task links its sets at once.  What a smaller partner must share may be too little
     for two sets of the larger size; those are posted apart and never link each other.
@@ -184,11 +182,11 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
                 if 100 * n >= percent * (small + 1):
                     often = bitmap.has(tokens)
                     prefix = n - -(-percent * n // 100) + 1
-                    rare = tokens[~often][:prefix]
-                    if with_light:
-                        post(rare, node, n)
-                    if len(rare) < prefix:
-                        others.append((HEAVY, None, tokens[often][: prefix - len(rare)].tobytes(), node, n - len(rare), n))
+                    light_ones = n - int(often.sum())
+                    if light_ones < prefix:
+                        shared_ones = tokens[often]
+                        shared_ones = shared_ones[np.argsort(bitmap.level(shared_ones), kind="stable")]
+                        others.append((HEAVY, None, shared_ones[: prefix - light_ones].tobytes(), node, n - light_ones, n))
                 if held > 1_000_000 or len(others) > 50_000:
                     yield from flush()
         yield from flush()
@@ -422,19 +420,17 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     Size-aware: sets up to a boundary enumerate the fixed-size subsets that a partner
     must share, larger ones scan the lists of their prefix tokens; the boundary is where
-    the first stops being cheaper.  Light lists give pairs.  Heavy lists never do: their
+    the first stops being cheaper.  Lists never give all their pairs: their
     sets are first compared with one leader of each list, and then only sets that are
     still in different components meet.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
     rows = store(measured(docs, k), "set-sizes")
-    counted = rows.select(F.sum("n")).first()[0] or 0
-    least = max(LEAST_HEAVY, counted >> BITMAP_BITS)
-    heavy = key_bitmap(packed_tokens(docs, k, least), least)
+    heavy = key_bitmap(packed_tokens(docs, k, CLASSES[-1]), 2, classes=True)  # a token of one set alone is not even posted
     small = boundary((heavy.total - heavy.different) / max(heavy.different, 1), percent)
 
-    posted = store(postings(docs, heavy, small, k, percent, with_light=least > 2), "postings")
+    posted = store(postings(docs, heavy, small, k, percent), "postings")
     light = store(light_pairs(posted, small, percent), "light-pairs")
     heavies = posted.where(F.col("kind") == HEAVY).select("keys", "a", "n", F.col("b").alias("rest"))
     links = [posted.where(F.col("kind") == LINK).select("a", "b"), light.where("certain").select("a", "b")]

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from paylattice.llm import byte_bpe, ngram_join, packing, paragraph_dedup, sharding, suffix_dedup
 
@@ -106,13 +107,6 @@ def test_ngram_join_subsets_of_a_smaller_partner_link_no_equal_sizes(spark, task
     assert [least[g] for g in root[:6]] == list(range(6)) and len(set(root[6:10])) == len(set(root[10:])) == 1
 
 
-def test_light_lists_find_the_same_groups(docs, rows, monkeypatch):
-    want = Counter(map(tuple, ngram_join.similar_groups(docs).select("doc_id", "component_id").collect()))
-    monkeypatch.setattr(ngram_join, "LEAST_HEAVY", 5)
-    monkeypatch.setattr(ngram_join, "boundary", lambda *_: 0)
-    assert Counter(map(tuple, ngram_join.similar_groups(docs).select("doc_id", "component_id").collect())) == want
-
-
 def test_subsets_and_sizes():
     for percent in (80, 85, 90):
         for a in range(1, 30):
@@ -317,3 +311,79 @@ def test_empty_tables(empty):
                paragraph_dedup.paragraph_report(empty), packing.pack_documents(empty, path), sharding.shard_documents(empty, [1.0] * 3),
                byte_bpe.round_trip(empty, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)):
         assert df.count() == 0
+
+
+def twin_words(letters: str) -> tuple[str, str]:
+    """Two words whose polynomial hashes modulo 2^64 are equal for any odd base."""
+    word = letters[0]
+    for _ in range(10):
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+@pytest.mark.parametrize("letters", ["ab", "ae"])
+def test_words_of_equal_running_sums_stay_apart(spark, letters):
+    first, second = twin_words(letters)
+    docs = spark.createDataFrame([(1, first), (2, second), (3, first), (4, f"x {second} y")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    ids = {}
+    for r in packing.pack_documents(docs.coalesce(1), path).orderBy("doc_id", "start").collect():
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    for r in docs.collect():
+        assert ids[r.doc_id] == [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1]
+    spans = suffix_dedup.dedup(docs.where("doc_id < 4"), ["doc_id"], with_kept=False).collect()
+    gone = brute_removed([(1, first), (2, second), (3, first)])
+    assert {r.doc_id: r.n_removed for r in spans} == gone
+
+
+def brute_removed(rows: list[tuple[int, str]], length: int = 50) -> dict[int, int]:
+    """Bytes covered by strings that also start in a document with a smaller id."""
+    seen: set[bytes] = set()
+    out = {}
+    for i, text in sorted(rows):
+        raw = text.encode()
+        strings = [raw[k : k + length] for k in range(len(raw) - length + 1)]
+        gone = {k + j for k, x in enumerate(strings) if x in seen for j in range(length)}
+        out[i] = len(gone)
+        seen |= set(strings)
+    return out
+
+
+def test_pieces_are_accepted_by_their_bytes(monkeypatch):
+    """Even if every piece had the same hash."""
+    known = packing.PieceIds(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    monkeypatch.setattr(packing.Prefix, "ranges", lambda self, a, b: np.zeros(len(a), np.uint64))
+    for text in ("one two three six", "six two one", "ten one 7 8 seven"):
+        got = known.texts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 1)[0].tolist()
+        assert got == [*known.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_bpe_of_very_long_runs(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = byte_bpe.encoding(path, pattern)
+    short = ["a" + " " * 30_000 + "b" * 90_000, "\n" * 20_000 + "x y " * 30_000, "\u4e2d\u6587\u3002" * 50_000, "f(x);'s " * 20_000 + "\t" * 15_000,
+             "\u3000" * 12_000 + "\x1c" * 100_000, "don't " * 30_000, None, ""]
+    long = [" " * 1_000_000, "\n" * 1_000_000 + "x", " " * 5_000_000 + "ab"]
+    docs = spark.createDataFrame(list(enumerate(short + long)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in byte_bpe.round_trip(docs, path, pattern).collect()}
+    for i, text in enumerate(short + long):
+        assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+        if i < len(short):
+            ids = enc.encode_ordinary(text or "")
+            assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_frequency_classes(spark):
+    from paylattice.llm import common
+
+    keys = common.mix(np.arange(1, 2001, dtype=np.uint64))
+    times = np.repeat([1, 3, 9, 100, 600], 400)
+    packer = common.KeyPacker(most_alike=600)
+    batches = list(packer.add(np.repeat(keys, times))) + list(packer.flush())
+    rows = [r for b in batches for r in zip(b["bucket"].to_pylist(), b["keys"].to_pylist(), strict=True)]
+    bitmap = common.key_bitmap(spark.createDataFrame(rows, common.PACKED), 2, classes=True)
+    assert (bitmap.level(keys) >= np.repeat([0, 0, 1, 2, 3], 400)).all() and (bitmap.level(keys) == np.repeat([0, 0, 1, 2, 3], 400)).mean() > 0.99
+    assert bitmap.has(keys[400:]).all() and bitmap.has(keys[:400]).mean() < 0.1
