@@ -171,10 +171,10 @@ def distinct(values: np.ndarray) -> np.ndarray:
 BITMAP_BITS = 27
 #: Bits of a key that choose its bucket.
 BUCKET_BITS = 12
-#: Bits of a key that choose the slot in which its frequency class is kept: 16 MB of two-bit classes.
+#: Bits of a key that choose the slot in which its frequency class is kept: 32 MB of four-bit classes.
 CLASS_BITS = 26
 #: Least counts of the classes above the first.
-CLASSES = (8, 64, 512)
+CLASSES = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512)
 PACKED = "bucket int, keys binary"
 
 
@@ -240,9 +240,9 @@ class KeyBitmap:
                                  for k in ("bits", "second", "classes")}
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """Frequency class of each key, 0 to 3; that of a more frequent key of the same slot at times, and always the same."""
+        """Frequency class of each key, 0 to 15; that of a more frequent key of the same slot at times, and always the same."""
         at = (keys >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-        return (self.classes[at >> 2] >> ((at & 3) * 2).astype(np.uint8)) & 3
+        return (self.classes[at >> 1] >> ((at & 1) * 4).astype(np.uint8)) & 15
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
@@ -259,7 +259,7 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
     """Bitmap of the keys that come ``least`` times or more; with ``classes``, also how often, by ``CLASSES``.
 
     ``packed`` has the rows of ``KeyPacker``.  The result has a fixed size (twice 16 MB, and
-    16 MB for classes); bits may also be set for another key, so it serves as a filter or
+    32 MB for classes); bits may also be set for another key, so it serves as a filter or
     as a rank in an order, never as a decision.
     """
     slots = 1 << (CLASS_BITS - BUCKET_BITS)
@@ -268,8 +268,7 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
         level = np.searchsorted(CLASSES, counts, "right").astype(np.uint8)
         held = np.zeros(slots, np.uint8)
         np.maximum.at(held, keys >> np.uint32(32 - (CLASS_BITS - BUCKET_BITS)), level)
-        held = held.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-        return (held[:, 0] | held[:, 1] | held[:, 2] | held[:, 3]).tobytes()
+        return (held[::2] | held[1::2] << np.uint8(4)).tobytes()
 
     low, part = BITMAP_BITS - BUCKET_BITS, 1 << (BITMAP_BITS - BUCKET_BITS - 3)
 
@@ -296,10 +295,10 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
 
     counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, PACKED + ", total long, different long, level binary")
     bits, total, different = np.zeros((2, part << BUCKET_BITS), np.uint8), 0, 0
-    levels = np.zeros(1 << (CLASS_BITS - 2), np.uint8) if classes else None
-    for row in counted.collect():  # 12 KB for each of 4,096 buckets
+    levels = np.zeros(1 << (CLASS_BITS - 1), np.uint8) if classes else None
+    for row in counted.collect():  # 16 KB for each of 4,096 buckets
         if classes:
-            levels[row.bucket * slots // 4 : (row.bucket + 1) * slots // 4] = np.frombuffer(row.level, np.uint8)
+            levels[row.bucket * slots // 2 : (row.bucket + 1) * slots // 2] = np.frombuffer(row.level, np.uint8)
         bits[:, row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(row["keys"], np.uint8).reshape(2, part)
         total, different = total + row.total, different + row.different
     return KeyBitmap(bits[0], bits[1], total, different, levels)

@@ -339,7 +339,7 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
 
     ``heavies`` has a set's list keys in the common order, node, size and how many tokens
     come from the first key on (keys, a, n, rest); ``fetch`` gives the sets of nodes.
-    Round one compares every set with one leader of each of its lists, apart by size.
+    Round one compares every set with one other, the smallest leader of its lists, apart by size.
     Then only lists on which more than one component is left are opened.  As long as it
     merges some, one set of each component meets one leader of the list; at last the sets
     of different components meet.  ``ordered``: the keys are a set's first tokens in the
@@ -354,6 +354,7 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
     leader = (some.groupBy("token", "band").agg(F.min(F.struct("node", "n", "rest")).alias("l"))
               .select("token", "band", F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.rest").alias("rest2")))
     near = (some.join(leader, ["token", "band"]).where((F.col("node") != F.col("node2")) & reach)
+            .groupBy("node").agg(F.min("node2").alias("node2"))
             .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
     near = store(near.unionByName(candidates).distinct() if candidates else near, "candidates")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
