@@ -8,7 +8,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
@@ -16,12 +16,13 @@ from pyspark.ml.regression import (
     RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..sources.published import Conflict, Pointer, Published
 from . import features as FT
+from .boosting import SecondOrderBoosting, SecondOrderModel
 from .bulk import load_bulk
 from .cleaning import clean_jobs
 from .dedup import keep_first
@@ -124,6 +125,43 @@ def feature_importance(spark: SparkSession, model, columns: list[str], n: int =
         F.desc("importance"), "feature").limit(n)
 
 
+def with_donor(df: DataFrame, key: str, value: str, group: int = 1000, seed: int = SEED) -> DataFrame:
+    """Column ``donor``: ``value`` of another row, so that the donors are a permutation of the values.
+
+    Rows fall into groups of about ``group`` by the hash of their key and take the value of the next one in hash order, the
+    last one that of the first.  Pairs depend on keys only, which have to be unique.  A row alone in its group keeps its value.
+    """
+    groups = df.count() // group + 1
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":pair:{seed}")))
+    df = df.withColumn("_digest", digest).withColumn(
+        "_group", F.pmod(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint"), F.lit(groups)))
+    order = Window.partitionBy("_group").orderBy("_digest")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("donor", F.coalesce(F.lead(value).over(order), F.first(value).over(whole))).drop("_digest", "_group")
+
+
+def permutation_importance(rows: DataFrame, model, columns: list[str], key: str = "id", label: str = PAY, features: str = "features",
+                           group: int = 1000, seed: int = SEED) -> DataFrame:
+    """How much the mean squared error rises when one column is shuffled: one row per feature.
+
+    One shuffle pairs every row with a donor for all columns; a row is then scored once unchanged and once per
+    feature, inside the task, and only sums of errors leave it.  Rows without label or features are left out.
+    """
+    known = rows.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(
+        key, F.col(label).alias("_y"), vector_to_array(features).alias("_own"))
+    pairs = with_donor(known, key, "_own", group, seed)
+    trials = pairs.withColumn("_at", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))))
+    trials = trials.withColumn(features, array_to_vector(F.transform(
+        "_own", lambda v, i: F.when(i == F.col("_at"), F.get("donor", i)).otherwise(v))))
+    error = F.greatest(F.lit(0.0), F.col("prediction")) - F.col("_y")
+    sums = model.transform(trials.select("_y", "_at", features)).groupBy("_at").agg(F.avg((error * error).cast("decimal(30,4)")).cast("double").alias("mse"))
+    names = F.array(*[F.lit(c) for c in columns])
+    base = sums.where("_at = -1").select(F.col("mse").alias("base_mse"))
+    return sums.where("_at >= 0").join(base).select(
+        F.get(names, "_at").alias("feature"), "base_mse", F.col("mse").alias("permuted_mse"),
+        (F.col("mse") - F.col("base_mse")).alias("importance"))
+
+
 # --- training run -------------------------------------------------------------
 
 @dataclass
@@ -163,7 +201,10 @@ class SalaryModel:
         """Store a new version; readers see it once all of it is there, and the one before until then."""
         pointer, version = Pointer(spark, path), f"version={uuid.uuid4().hex}"
         number, out = pointer.number(), f"{path}/{version}"
-        self.model.write().overwrite().save(f"{out}/model")
+        if isinstance(self.model, SecondOrderModel):
+            self.model.save(spark, f"{out}/model")
+        else:
+            self.model.write().overwrite().save(f"{out}/model")
         self.encoders.save(spark, f"{out}/encoders")
         row = [(self.name, MODEL_VERSION, float(self.residual_std), self.columns, len(self.columns),
                 {k: float(v) for k, v in self.metrics.items() if v is not None}, *(self.facts.get(k) for k in FACTS))]
@@ -187,8 +228,12 @@ class SalaryModel:
             raise ValueError(f"no model is published below {path}")
         path = f"{path}/{found[0]}"
         meta = spark.read.parquet(f"{path}/metadata").first()
-        kind = RandomForestRegressionModel if meta["name"].startswith("random_forest") else GBTRegressionModel
-        return cls(kind.load(f"{path}/model"), FT.Encoders.load(spark, f"{path}/encoders"), list(meta["columns"]),
+        if meta["name"].startswith("second_order"):
+            model = SecondOrderModel.load(spark, f"{path}/model")
+        else:
+            kind = RandomForestRegressionModel if meta["name"].startswith("random_forest") else GBTRegressionModel
+            model = kind.load(f"{path}/model")
+        return cls(model, FT.Encoders.load(spark, f"{path}/encoders"), list(meta["columns"]),
                    meta["name"], meta["residual_std"], dict(meta["metrics"]), spark.read.parquet(f"{path}/train_pay"),
                    {k: meta[k] for k in FACTS})
 
@@ -210,6 +255,7 @@ DEFAULT_CANDIDATES = {
     "random_forest": lambda: random_forest(),
     "boosted_trees": lambda: boosted_trees(),
     "boosted_trees_deep": lambda: boosted_trees(depth=10, step=0.03),
+    "second_order": lambda: SecondOrderBoosting(),
 }
 
 
@@ -233,7 +279,10 @@ def train(spark: SparkSession, jobs: DataFrame, work_dir: str, candidates: dict
 
     fitted, scored = {}, None
     for name, make in (candidates or DEFAULT_CANDIDATES).items():
-        fitted[name] = make().fit(fit_rows)
+        estimator = make()
+        if isinstance(estimator, SecondOrderBoosting):
+            estimator.key = key
+        fitted[name] = estimator.fit(fit_rows)
         part = fitted[name].transform(test_rows).select(F.lit(name).alias("model"), F.col(PAY).alias("y"),
                                                         F.col("prediction").alias("pred"))
         scored = part if scored is None else scored.unionByName(part)

@@ -2,9 +2,11 @@
 
 from functools import lru_cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import schemas, vocab as V
+from ..operators import boosting as BO
 from ..operators import cleaning as C
 from ..operators import dedup as K
 from ..operators import features as FT
@@ -366,6 +368,101 @@ def _(t):
     return checked_fit(t, "boosted_trees")
 
 
+PLAIN_FEATURES = ["company_rating", "has_equity", "has_bonus", "title_length"]
+BOOST_L2 = 1.0
+
+
+def plain_vectors(t):
+    """Four features that need no encoder; a missing value stays NaN."""
+    rows = MD.training_rows(t.jobs).withColumn("title_length", F.length("job_title"))
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in PLAIN_FEATURES]
+    return MD.assemble(rows.select("id", MD.PAY, *values), PLAIN_FEATURES, ["id", MD.PAY])
+
+
+#: Every split of the root by plain SQL: sums per value, running sums, gain.
+ROOT_SPLITS = f"""rows_ AS (SELECT id, salary_usd_numeric AS y, {IS_TRAIN} AS is_train, CAST(company_rating AS DOUBLE) AS company_rating,
+      CAST(has_equity AS DOUBLE) AS has_equity, CAST(has_bonus AS DOUBLE) AS has_bonus, CAST(length(job_title) AS DOUBLE) AS title_length
+    FROM jobs WHERE {TRAINING}),
+  start AS (SELECT CAST(avg(CAST(y AS DECIMAL(18,4))) AS DOUBLE) AS init FROM rows_ WHERE is_train),
+  long AS ({' UNION ALL '.join(f"SELECT id, '{c}' AS feature, {i} AS place, {c} AS v, CAST(init - y AS DECIMAL(18,4)) AS g FROM rows_, start WHERE is_train"
+                               for i, c in enumerate(PLAIN_FEATURES))}),
+  known AS (SELECT feature, place, coalesce(v, min(v) OVER (PARTITION BY feature)) AS v, g FROM long),
+  sums AS (SELECT feature, place, v, sum(g) AS g, count(*) AS h FROM known GROUP BY feature, place, v),
+  upto AS (SELECT feature, place, v AS cut, CAST(sum(g) OVER w AS DOUBLE) AS lg, CAST(sum(h) OVER w AS DOUBLE) AS lh,
+      CAST(sum(g) OVER p AS DOUBLE) AS ag, CAST(sum(h) OVER p AS DOUBLE) AS ah FROM sums
+    WINDOW w AS (PARTITION BY feature ORDER BY v), p AS (PARTITION BY feature)),
+  splits AS (SELECT *, (lg * lg / (lh + {BOOST_L2}) + (ag - lg) * (ag - lg) / (ah - lh + {BOOST_L2}) - ag * ag / (ah + {BOOST_L2})) / 2 AS gain
+    FROM upto WHERE lh >= 1 AND ah - lh >= 1),
+  best AS (SELECT * FROM splits ORDER BY gain DESC, place, cut LIMIT 1)"""
+
+
+@query("boost_root_splits", "jobs", f"""WITH {ROOT_SPLITS} SELECT feature, cut, CAST(lh AS BIGINT) AS left_rows,
+    round(gain / (SELECT gain FROM best), 6) AS gain_share, gain = (SELECT gain FROM best) AS is_best FROM splits""")
+def _(t):
+    """Every split of the first node with its share of the best gain."""
+    rows = plain_vectors(t).where(MD.split_column()).withColumn("values", vector_to_array("features"))
+    start = rows.agg(F.avg(F.col(MD.PAY).cast(BO.GRADIENT)).cast("double").alias("init"))
+    edges = BO.bin_edges(rows, "values", 32)
+    binned = rows.select(MD.PAY, BO.to_bins(F.col("values"), edges).alias("bins")).join(start)
+    loss = BO.Loss()
+    sums = BO.level_sums(binned, F.lit(1), loss.gradient(F.col(MD.PAY), F.col("init")), loss.curvature(F.col(MD.PAY), F.col("init")),
+                         list(range(len(edges))))
+    splits = BO.candidate_splits(sums, BOOST_L2)
+    best = BO.best_splits(splits).select(F.col("gain").alias("best"))
+    return splits.join(best).select(
+        F.get(F.array(*map(F.lit, PLAIN_FEATURES)), "feature").alias("feature"),
+        F.get(F.get(BO.constant(edges, "array<array<double>>"), F.col("feature")), F.col("bin").cast("int")).alias("cut"),
+        F.col("left_h").cast("bigint").alias("left_rows"), F.round(F.col("gain") / F.col("best"), 6).alias("gain_share"),
+        (F.col("gain") == F.col("best")).alias("is_best"))
+
+
+STUMP = f"""WITH {ROOT_SPLITS},
+  leaf AS (SELECT feature, cut, -lg / (lh + {BOOST_L2}) AS low, -(ag - lg) / (ah - lh + {BOOST_L2}) AS high FROM best),
+  test AS (SELECT id, y, CASE (SELECT feature FROM leaf) {' '.join(f"WHEN '{c}' THEN {c}" for c in PLAIN_FEATURES)} END AS v FROM rows_ WHERE NOT is_train),
+  scored AS (SELECT id, y, init + CASE WHEN v > cut THEN high ELSE low END AS pred, md5(id || ':pair:{MD.SEED}') AS digest FROM test, leaf, start),
+  grouped AS (SELECT *, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % ((SELECT count(*) FROM scored) // 1000 + 1) AS grp FROM scored),
+  paired AS (SELECT *, coalesce(lead(pred) OVER (PARTITION BY grp ORDER BY digest), first_value(pred) OVER (PARTITION BY grp ORDER BY digest)) AS donor
+    FROM grouped),
+  errors AS (SELECT avg((pred - y) * (pred - y)) AS base, avg((donor - y) * (donor - y)) AS moved FROM paired)"""
+
+
+@query("permutation_importance", "jobs", f"""{STUMP} SELECT f.feature, round(sqrt(base), 2) AS base_rmse,
+    round(CASE WHEN f.feature = leaf.feature THEN moved / base ELSE 1 END, 6) AS error_ratio
+    FROM errors, leaf, (SELECT unnest({PLAIN_FEATURES}) AS feature) f""")
+def _(t):
+    """Error with one column shuffled against the error as it is, for a model of one split on the held-out rows."""
+    rows = plain_vectors(t)
+    stump = BO.SecondOrderBoosting(rounds=1, depth=1, step=1.0, l2=BOOST_L2, sample=1.0, columns=1.0).fit(rows.where(MD.split_column()))
+    out = MD.permutation_importance(rows.where(~MD.split_column()), stump, PLAIN_FEATURES)
+    return out.select("feature", F.round(F.sqrt("base_mse"), 2).alias("base_rmse"), F.round(F.col("permuted_mse") / F.col("base_mse"), 6).alias("error_ratio"))
+
+
+@query("permutation_report")
+def _(t):
+    """Permutation importances of the trained model over all its features, on the held-out rows."""
+    m = model(t)
+    rows = MD.assemble(FT.transform(MD.training_rows(t.jobs).where(~MD.split_column()), m.encoders, ["id", MD.PAY]), m.columns, ["id", MD.PAY])
+    return MD.permutation_importance(rows, m.model, m.columns)
+
+
+@query("train_second_order", "jobs", TEST_ROWS.replace("NAME", "second_order"))
+def _(t):
+    scores = fit_and_score(t, BO.SecondOrderBoosting(rounds=6, depth=4, step=0.3), "second_order")
+    return scores.select("model", "rows", (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"))
+
+
+@query("compare_candidates", "jobs", " UNION ALL ".join(TEST_ROWS.replace("NAME", n) for n in ("random_forest", "boosted_trees", "second_order")))
+def _(t):
+    """Both families of boosted trees and the forest on the same stored vectors."""
+    rows, _ = vectors(t)
+    fit_rows, test_rows = rows.where(MD.split_column()), rows.where(~MD.split_column())
+    makers = SMALL | {"second_order": lambda: BO.SecondOrderBoosting(rounds=6, depth=4, step=0.3)}
+    parts = [make().fit(fit_rows).transform(test_rows).select(F.lit(n).alias("model"), F.col(MD.PAY).alias("y"), F.col("prediction").alias("pred"))
+             for n, make in makers.items()]
+    scores = MD.regression_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["model"])
+    return scores.select("model", "rows", (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"))
+
+
 @query("grid_search")
 def _(t):
     rows, _ = vectors(t)
