@@ -372,10 +372,10 @@ PLAIN_FEATURES = ["company_rating", "has_equity", "has_bonus", "title_length"]
 BOOST_L2 = 1.0
 
 
-def plain_vectors(t):
-    """Four features that need no encoder; a missing value stays NaN."""
+def plain_vectors(t, missing: float = float("nan")):
+    """Four features that need no encoder."""
     rows = MD.training_rows(t.jobs).withColumn("title_length", F.length("job_title"))
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in PLAIN_FEATURES]
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(missing)).alias(c) for c in PLAIN_FEATURES]
     return MD.assemble(rows.select("id", MD.PAY, *values), PLAIN_FEATURES, ["id", MD.PAY])
 
 
@@ -470,6 +470,15 @@ def _(t):
     return t.spark.createDataFrame(MD.grid_scores(fitted), "params string, mse double")
 
 
+@query("grid_search_halving")
+def _(t):
+    """All sixteen points with few rounds, the best four with more, the best one with all."""
+    path = scratch_path(t.spark, "grid")
+    plain_vectors(t, 0.0).where(MD.split_column()).write.parquet(path)
+    points = MD.grid_points(rounds=(6, 8), depths=(2, 3), steps=(0.1, 0.3))
+    return MD.halving_search(t.spark.read.parquet(path), points).table(t.spark)
+
+
 @query("feature_importance")
 def _(t):
     m = model(t)

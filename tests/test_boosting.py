@@ -144,3 +144,23 @@ def test_permutation_importance_follows_its_definition(spark):
         moved[:, j] = [x[donor[i], j] for i in range(90)]
         assert abs(out[name]["permuted_mse"] - mse(moved)) < 0.01 and abs(out[name]["base_mse"] - mse(x)) < 0.01
     assert out["q"]["importance"] > out["r"]["importance"]
+
+
+def test_halving_gives_the_best_points_more_rounds(spark):
+    x, y = sample_rows(150)
+    path = scratch_path(spark, "grid")
+    table(spark, x, y).write.parquet(path)
+    rows = spark.read.parquet(path)
+    points = MD.grid_points(rounds=(4,), depths=(1, 3), steps=(0.05, 0.6), samples=(1.0,))
+    found = MD.halving_search(rows, points, folds=2, factor=2)
+    by_rung = {r: [s for s in found.scores if s[0] == r] for r in {s[0] for s in found.scores}}
+    assert [len(by_rung[r]) for r in sorted(by_rung)] == [4, 2, 1]
+    assert [{s[2] for s in by_rung[r]} for r in sorted(by_rung)] == [{1}, {2}, {4}]
+    for rung in (1, 2):
+        kept = [s[3] for s in by_rung[rung] if s[4]]
+        assert max(kept) <= min([s[3] for s in by_rung[rung] if not s[4]])
+        assert {s[1] for s in by_rung[rung] if s[4]} == {s[1] for s in by_rung[rung + 1]}
+    assert found.best == points[3] and found.model.getNumTrees <= 4
+    with_one = MD.halving_search(rows, points[:1], folds=2)
+    assert with_one.best == points[0] and len(with_one.scores) == 1
+    assert found.table(spark).count() == 7
