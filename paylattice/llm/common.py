@@ -54,8 +54,8 @@ def discard(*stored: DataFrame) -> None:
 # ---------------------------------------------------------------- text as bytes
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut to about ``SLICE_BYTES`` of text; one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``most`` bytes of text; one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,14 +63,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < batch.num_rows:
             done = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+            end = max(start + 1, int(np.searchsorted(sizes, done + most, "right")))
             yield batch.slice(start, end - start)
             start = end
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and n + 1 offsets; null counts as empty."""
-    column = pa.concat_arrays([pc.fill_null(column, "")]).cast(pa.large_binary())
+    column = pa.concat_arrays([pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")]).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -20,6 +20,8 @@ from .common import (
 #: Cost of fetching and comparing one candidate, in postings.
 CANDIDATE_COST = 50
 LARGEST_SMALL = 20
+#: Tokens turned into rows at once.
+ROW_TOKENS = 100_000
 POSTING = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4")])
 LIGHT, HEAVY, LINK = 0, 1, 2
 #: In place of a size, in postings of subsets: any two sets of the key link, or only one of SURE with one of LARGER.
@@ -268,7 +270,7 @@ def light_pairs(posted: DataFrame, small: int, percent: int) -> DataFrame:
 
 
 def heavy_rows(rows: DataFrame, chosen: KeyBitmap | None = None, with_set: bool = True) -> DataFrame:
-    """(token, component[, node, n, rest]) of heavy tokens, (token, component) once in a task.
+    """(token, component[, node, n, rest]) of heavy tokens, (token, component) once in a piece of ``ROW_TOKENS``.
 
     ``chosen`` takes the tokens of a bitmap only.  ``rest`` is how many tokens of the set
     come at this one or later in the common order.
@@ -278,22 +280,24 @@ def heavy_rows(rows: DataFrame, chosen: KeyBitmap | None = None, with_set: bool
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value if shared else None
-        seen: set = set()
-        for b in batches:
-            out: list[tuple] = []
-            for keys, node, n, rest, c in zip(*[b[x].to_pylist() for x in ("keys", "a", "n", "rest", "component")], strict=True):
-                tokens = np.frombuffer(keys, np.int64)
-                at = np.flatnonzero(bitmap.has(tokens.view(np.uint64))) if bitmap else np.arange(len(tokens))
-                for t, r in zip(tokens[at].tolist(), (rest - at).tolist(), strict=True):
-                    if with_set:
-                        out.append((t, c, node, n, r))
-                    elif (t, c) not in seen:
-                        seen.add((t, c))
-                        out.append((t, c))
-                if len(seen) > 500_000:
-                    seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], columns)
+        for batch in batches:
+            for b in slices(iter([batch]), "keys", ROW_TOKENS * 8):
+                data, offsets = flat_bytes(b["keys"])
+                tokens, counts = data.view(np.int64), np.diff(offsets) // 8
+                owner = np.repeat(np.arange(b.num_rows), counts)
+                at = np.arange(len(tokens)) - np.repeat(offsets[:-1] // 8, counts)
+                if bitmap:
+                    chosen_ones = np.flatnonzero(bitmap.has(tokens.view(np.uint64)))
+                    tokens, owner, at = tokens[chosen_ones], owner[chosen_ones], at[chosen_ones]
+                component, node, n, rest = (b[x].to_numpy()[owner] for x in ("component", "a", "n", "rest"))
+                out = [tokens, component] + ([node, n, rest - at] if with_set else [])
+                if not with_set:
+                    order = np.lexsort(out)
+                    tokens, component = tokens[order], component[order]
+                    first = np.append(True, (tokens[1:] != tokens[:-1]) | (component[1:] != component[:-1]))[: len(tokens)]
+                    out = [tokens[first], component[first]]
+                if len(out[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], columns)
 
     return arrow_map(rows.select("keys", "a", "n", "rest", "component"), job, ", ".join(f"{c} long" for c in columns))
 
