@@ -278,7 +278,7 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
         for batch in batches:
             for b, keys in zip(batch["bucket"].to_pylist(), batch["keys"].to_pylist(), strict=True):
                 held.setdefault(b, []).append(np.frombuffer(keys, "<u4"))
-        rows = []
+        rows, squeeze = [], zstandard.ZstdCompressor(level=1).compress
         for b in sorted(held):
             keys = np.sort(np.concatenate(held.pop(b)))
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -287,8 +287,8 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
             bits = np.zeros((2, part * 8), bool)
             bits[0, often >> np.uint32(32 - low)] = True
             bits[1, (often >> np.uint32(32 - 2 * low)) & np.uint32((1 << low) - 1)] = True
-            rows.append((b, np.packbits(bits, axis=1, bitorder="little").tobytes(), len(keys), len(first),
-                         class_bytes(keys[first], counts) if classes else None))
+            rows.append((b, squeeze(np.packbits(bits, axis=1, bitorder="little").tobytes()), len(keys), len(first),
+                         squeeze(class_bytes(keys[first], counts)) if classes else None))
         if rows:
             b, bits, total, different, level = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(bits), pa.array(total), pa.array(different), pa.array(level, pa.binary())],
@@ -297,10 +297,11 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
     counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, PACKED + ", total long, different long, level binary")
     bits, total, different = np.zeros((2, part << BUCKET_BITS), np.uint8), 0, 0
     levels = np.zeros(1 << (CLASS_BITS - 2), np.uint8) if classes else None
-    for row in counted.collect():  # 12 KB for each of 4,096 buckets
+    unpack = zstandard.ZstdDecompressor().decompress
+    for row in counted.collect():  # at most 12 KB for each of 4,096 buckets, compressed
         if classes:
-            levels[row.bucket * slots // 4 : (row.bucket + 1) * slots // 4] = np.frombuffer(row.level, np.uint8)
-        bits[:, row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(row["keys"], np.uint8).reshape(2, part)
+            levels[row.bucket * slots // 4 : (row.bucket + 1) * slots // 4] = np.frombuffer(unpack(row.level), np.uint8)
+        bits[:, row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(unpack(row["keys"]), np.uint8).reshape(2, part)
         total, different = total + row.total, different + row.different
     return KeyBitmap(bits[0], bits[1], total, different, levels)
 

@@ -435,6 +435,7 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     small = boundary((heavy.total - heavy.different) / max(heavy.different, 1), percent)
 
     posted = store(postings(docs, heavy, small, k, percent), "postings")
+    del heavy  # 48 MB that the driver has no more use for
     light = store(light_pairs(posted, small, percent), "light-pairs")
     heavies = posted.where(F.col("kind") == HEAVY).select("keys", "a", "n", F.col("b").alias("rest"))
     links = [posted.where(F.col("kind") == LINK).select("a", "b"), light.where("certain").select("a", "b")]
