@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import insights as I
 from ..operators import quality as Q
 from ..operators import search as R
+from ..operators.search_index import SearchIndex
+from ..session import scratch_path
 from . import duck as D
 from .registry import query
 
@@ -233,6 +235,35 @@ def _(t):
     return R.search_total(t.jobs, **FILTERS)
 
 
+def indexed(t):
+    """The postings as an index of two segments; the second is offered twice and stored once."""
+    index = SearchIndex(t.spark, scratch_path(t.spark, "search-index"), buckets=8)
+    index.add(t.jobs.where("id % 3 <> 0"), "first")
+    for _ in range(2):
+        index.add(t.jobs.where("id % 3 = 0"), "second")
+    return index
+
+
+@query("search_index_filter", "jobs", f"SELECT id, scraped_at FROM jobs WHERE {WHERE}")
+def _(t):
+    return indexed(t).matches(**FILTERS).select("id", "scraped_at")
+
+
+@query("search_index_page", "jobs", f"""SELECT {LISTED} FROM jobs WHERE contains(lower(job_title), 'data') OR contains(lower(company_name), 'data')
+    ORDER BY CASE WHEN job_link <> '' THEN 0 ELSE 1 END, scraped_at DESC NULLS LAST, id LIMIT 20 OFFSET 40""")
+def _(t):
+    index, last = indexed(t), None
+    for _ in range(2):
+        rows = index.page(20, last, keyword="data").collect()  # one page
+        last = rows[-1] if rows else last
+    return index.page(20, last, keyword="data").select([c for c in R.LISTED if c != "is_faang"])
+
+
+@query("search_index_total", "jobs", f"SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages FROM jobs WHERE {WHERE}")
+def _(t):
+    return indexed(t).total(**FILTERS)
+
+
 @query("job_by_id", "jobs", f"SELECT {LISTED} FROM jobs WHERE id = 7")
 def _(t):
     return R.job_by_id(t.jobs, 7).drop("is_faang")
@@ -303,16 +334,24 @@ def _(t):
 READINESS = """WITH c AS (SELECT count(*) n, count(salary_usd_numeric) p, count(DISTINCT city) ci, count(DISTINCT seniority_level) se FROM jobs),
     s AS (SELECT coalesce(source_website, 'unknown') src, count(*) k FROM jobs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
     r AS (SELECT n AS total_rows, p AS salary_rows, round(p / n * 100, 2) AS salary_coverage_pct, ci AS cities_count,
-      se AS seniority_levels_count, src AS top_source, round(k / n * 100, 2) AS top_source_pct FROM c, s)
-    SELECT *, salary_rows >= {rows} AND salary_coverage_pct >= 30 AND cities_count >= 5 AND seniority_levels_count >= {levels}
-      AND top_source_pct <= {share} AS ready,
-      CASE WHEN salary_rows >= {rows} THEN 0 ELSE 1 END + CASE WHEN seniority_levels_count >= {levels} THEN 0 ELSE 1 END
-      + CASE WHEN top_source_pct <= {share} THEN 0 ELSE 1 END AS open_reasons FROM r"""
+      se AS seniority_levels_count, src AS top_source, round(k / n * 100, 2) AS top_source_pct FROM c, s),
+    k AS (SELECT *, salary_rows >= {rows} AS salary_rows_ok, salary_coverage_pct >= 30 AS salary_coverage_ok, cities_count >= 5 AS cities_ok,
+      seniority_levels_count >= {levels} AS seniority_levels_ok, top_source_pct <= {share} AS source_balance_ok FROM r),
+    w AS (SELECT *, list_filter([
+      CASE WHEN NOT salary_rows_ok THEN 'needs at least ' || format('{{:,}}', {rows}) || ' salary rows; found ' || format('{{:,}}', salary_rows) END,
+      CASE WHEN NOT salary_coverage_ok THEN 'needs salary coverage >= 30%; found ' || printf('%.1f%%', salary_coverage_pct) END,
+      CASE WHEN NOT cities_ok THEN 'needs at least 5 cities; found ' || cities_count END,
+      CASE WHEN NOT seniority_levels_ok THEN 'needs at least {levels} seniority levels; found ' || seniority_levels_count END,
+      CASE WHEN NOT source_balance_ok THEN concat('single source ''', top_source, ''' dominates ', printf('%.1f%%', top_source_pct), ' of rows') END
+      ], lambda x : x IS NOT NULL) AS texts FROM k)
+    SELECT * EXCLUDE (texts), len(texts) = 0 AS ready, len(texts) AS open_reasons, array_to_string(texts, '; ') AS reason_texts FROM w"""
 
 
 def readiness(t, **limits):
     out = Q.training_readiness(t.jobs, **limits)
-    return out.withColumn("open_reasons", F.size("reasons")).drop("reasons", "checks")
+    checks = [F.col(f"checks.{c}").alias(f"{c}_ok") for c in ("salary_rows", "salary_coverage", "cities", "seniority_levels", "source_balance")]
+    return out.select("*", F.array_join("reasons", "; ").alias("reason_texts"), *checks,
+                      F.size("reasons").alias("open_reasons")).drop("reasons", "checks")
 
 
 @query("training_readiness", "jobs", READINESS.format(rows=5000, levels=3, share=75))
