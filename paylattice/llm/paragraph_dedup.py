@@ -10,122 +10,182 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    LOWER, KeyBitmap, KeyPacker, Prefix, arrow_map, flat_bytes, id_bitmap, key_bitmap, mix, shingles, slices, store, words,
+    LOWER, PACKED, KeyBitmap, KeyPacker, Prefix, arrow_map, flat_bytes, key_bitmap, mix, shingles, slices, store, words,
 )
 from .ngram_join import resolve
 
 #: Words of a shingle; a paragraph with fewer is left alone.
 SHINGLE = 5
+#: A passage is cut before a word pair whose hash is the least of so many on either side: cuts depend on near words only.
+REACH = 6
+#: Most hashes of a signature, and the similarity at which pairs should not collide.
+MOST_HASHES, UNLIKE = 100, 0.3
 LINE = np.uint8(10)
-
-
-def bands(threshold: float, recall: float, rows: int = 2) -> int:
-    """Fewest bands of ``rows`` hashes that find a pair of similarity ``threshold`` with probability ``recall``."""
-    number = 1
-    while 1 - (1 - threshold**rows) ** number < recall:
-        number += 1
-    return number
-
-
-def paragraphs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, number of the paragraph in it, distinct shingle hashes) of each paragraph of five words or more.
-
-    A paragraph is a line with a word; they count from 0.
+#: A text is removed by these bytes of it.
+SPAN = "struct<start: long, end: long>"
+
+
+def bands(threshold: float, recall: float) -> tuple[int, int]:
+    """(bands, hashes of one): of those that find a pair of similarity ``threshold`` with probability ``recall``, the one that least often finds ``UNLIKE`` pairs."""
+    best = None
+    for rows in range(1, MOST_HASHES):
+        number = int(np.ceil(np.log1p(-recall) / np.log1p(-(threshold**rows))))
+        if number * rows > MOST_HASHES:
+            break
+        false = 1 - (1 - UNLIKE**rows) ** number
+        best = min(best or (false, number, rows), (false, number, rows))
+    return best[1], best[2]
+
+
+class Units:
+    """Paragraphs of a batch: its lines, and passages that lie anywhere in a text.
+
+    A line is a unit if it has five words.  Passages are cut by content over the whole
+    text, whatever its line breaks, so text that stands inside a longer line of one
+    document and on lines of its own in another is a unit in both.  What lies before the
+    first and behind the last cut of a text is no passage.  For each unit: ``row``, ``number`` (of the line among
+    those with a word, -1 for passages), ``start`` and ``end`` in bytes of the text, and
+    its distinct shingles ``tokens[at[i]:at[i + 1]]``.
     """
-    data, offsets = flat_bytes(batch["text"])
-    low = LOWER[data]
-    start, end, first = words(low, offsets)
-    hashes = Prefix(low).ranges(start, end)
-    breaks = np.append(0, np.cumsum(low == LINE))[start]
-    for row in range(batch.num_rows):
-        own, line = hashes[first[row] : first[row + 1]], breaks[first[row] : first[row + 1]]
-        cut = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(own) else np.zeros(0, int)
-        ends = np.append(cut[1:], len(own)) if len(own) else cut
-        for number, (a, b) in enumerate(zip(cut, ends, strict=True)):
-            yield row, number, np.unique(shingles(own[a:b], SHINGLE)) if b - a >= SHINGLE else own[:0]
-
-
-def signatures(sets: list[np.ndarray], number: int, rows: int) -> np.ndarray:
-    """Band keys (sets x bands) of non-empty sets."""
-    flat = np.concatenate(sets)
-    cut = np.append(0, np.cumsum([len(x) for x in sets])[:-1])
-    keys = np.zeros((len(sets), number), np.uint64)
+
+    def __init__(self, batch: pa.RecordBatch):
+        data, offsets = flat_bytes(batch["text"])
+        low = LOWER[data]
+        start, end, first = (np.asarray(x, np.int64) for x in words(low, offsets))
+        hashes, n = Prefix(low).ranges(start, end), len(start)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        breaks = np.flatnonzero(low == LINE)
+        line = np.searchsorted(breaks, start)
+        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))[:n])
+        tail = np.append(head[1:], n)[: len(head)]
+        self.lines = np.bincount(doc[head], minlength=batch.num_rows)
+        number = np.arange(len(head)) - np.searchsorted(head, first[doc[head]])
+        before = np.append(-1, breaks)[line[head]] + 1
+        behind = np.append(breaks + 1, len(low))[np.searchsorted(breaks, end[tail - 1])]
+        long = tail - head >= SHINGLE
+        lo, hi = self.passages(hashes, doc, first)
+        self.row = np.concatenate([doc[head][long], doc[lo]])
+        self.number = np.concatenate([number[long], np.full(len(lo), -1)])
+        begin = offsets[self.row]
+        self.start = np.concatenate([np.maximum(before, offsets[doc[head]])[long], start[lo]]) - begin
+        self.end = np.concatenate([np.minimum(behind, offsets[doc[head] + 1])[long], start[hi]]) - begin
+        lo, hi = np.concatenate([head[long], lo]), np.concatenate([tail[long], hi])
+        counts = hi - lo - SHINGLE + 1
+        unit = np.repeat(np.arange(len(lo)), counts)
+        at = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts) + lo[unit]
+        tokens = shingles(hashes, SHINGLE)[at] if len(at) else np.zeros(0, np.uint64)
+        order = np.lexsort((tokens, unit))
+        tokens = tokens[order]
+        fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (unit[1:] != unit[:-1]))[: len(tokens)]
+        self.tokens, unit = tokens[fresh], unit[fresh]
+        self.size = np.bincount(unit, minlength=len(lo))
+        self.at = np.append(0, np.cumsum(self.size))
+        self.nodes = nodes_of(self.tokens, self.at)
+
+    @staticmethod
+    def passages(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word of each passage and the word behind its last."""
+        n = len(hashes)
+        if n <= 2 * REACH:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair = mix(hashes + np.roll(mix(hashes), -1))
+        at = np.arange(n)
+        cut = (at - first[doc] >= REACH) & (first[doc + 1] - at > REACH + 1)
+        for far in range(1, REACH + 1):
+            least = pair[far:] < pair[:-far]
+            cut[far:] &= least
+            cut[:-far] &= ~least
+        cut = np.flatnonzero(cut)
+        same = doc[cut[1:]] == doc[cut[:-1]]
+        return cut[:-1][same], cut[1:][same]
+
+
+def signatures(tokens: np.ndarray, at: np.ndarray, number: int, rows: int) -> np.ndarray:
+    """Band keys (sets x bands) of non-empty sets that lie end to end."""
+    flat = tokens ^ (tokens >> np.uint64(29))
+    keys = np.zeros((len(at) - 1, number), np.uint64)
     for band in range(number):
-        total = np.full(len(sets), band + 1, np.uint64)
+        total = np.full(len(at) - 1, band + 1, np.uint64)
         for r in range(rows):
             salt = mix(np.array([band * rows + r + 1], np.uint64))[0] | np.uint64(1)
-            least = np.minimum.reduceat((flat ^ (flat >> np.uint64(29))) * salt, cut)
-            total = mix(total + least)
+            total = mix(total + np.minimum.reduceat(flat * salt, at[:-1]))
         keys[:, band] = total
     return keys
 
 
-def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
-    """64-bit identity of non-empty sets: a hash of the sum of their mixed members."""
-    flat = mix(np.concatenate(sets))
-    sizes = np.array([len(x) for x in sets])
-    return mix(np.add.reduceat(flat, np.append(0, np.cumsum(sizes)[:-1])) + sizes.astype(np.uint64)).view(np.int64)
+def nodes_of(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit identity of non-empty sets that lie end to end: a hash of the sum of their mixed members."""
+    if len(at) < 2:
+        return np.zeros(0, np.int64)
+    return mix(np.add.reduceat(mix(tokens), at[:-1]) + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def measured(docs: DataFrame, number: int, rows: int) -> DataFrame:
-    """Paragraph numbers and nodes of each row as arrays and, apart from them, packed band keys of distinct paragraphs."""
-    names = ["doc_id", "key", "n", "numbers", "nodes", "bucket", "keys"]
+def some_sets(tokens: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those sets of a run of sets, end to end again."""
+    size = np.diff(at)[chosen]
+    to = np.append(0, np.cumsum(size))
+    place = np.arange(to[-1]) - np.repeat(to[:-1] - at[:-1][chosen], size)
+    return tokens[place], to
 
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = KeyPacker(most_alike=2)
 
-        def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in found:
-                none, empty = pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([none, none, none, empty, empty, b["bucket"], b["keys"]], names)
+def band_keys(docs: DataFrame, number: int, rows: int) -> DataFrame:
+    """Packed band keys of all units; a unit that a task meets often sends its keys twice, as more are not counted."""
 
-        seen: set[int] = set()
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = KeyPacker(most_alike=2), {}
         for b in slices(batches):
-            found = list(paragraphs(b))
-            full = [x for x in found if len(x[2])]
-            count = np.bincount([x[0] for x in found], minlength=b.num_rows)
-            nodes = nodes_of([x[2] for x in full]) if full else np.zeros(0, np.int64)
-            own = np.append(0, np.cumsum(np.bincount([x[0] for x in full], minlength=b.num_rows))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(own), pa.array(v, pa.int64())) for v in ([x[1] for x in full], nodes)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(count, pa.int64()), *lists,
-                                              pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
-            fresh = []
-            for k, node in enumerate(nodes.tolist()):
-                if node not in seen:
-                    seen.add(node)
-                    fresh.append(full[k][2])
+            units, fresh = Units(b), []
+            for k, node in enumerate(units.nodes.tolist()):
+                times = seen.get(node, 0)
+                if times < 2:
+                    seen[node] = times + 1
+                    fresh.append(k)
             if len(seen) > 300_000:
                 seen.clear()
             if fresh:
-                yield from packed(packer.add(signatures(fresh, number, rows).ravel()))
-        yield from packed(packer.flush())
+                yield from packer.add(signatures(*some_sets(units.tokens, units.at, np.array(fresh)), number, rows).ravel())
+        yield from packer.flush()
 
-    return arrow_map(docs, job, "doc_id long, key long, n long, numbers array<long>, nodes array<long>, bucket int, keys binary")
+    return arrow_map(docs.select("text"), job, PACKED)
 
 
 def colliding(docs: DataFrame, repeated: KeyBitmap, number: int, rows: int) -> DataFrame:
-    """(keys, a, n): repeated band keys, node and size of each distinct paragraph that has any."""
+    """A row per document with those of its units that have a repeated band key and, apart from them, a row per distinct such unit.
+
+    The first have doc_id, key, n (lines with a word) and the lists numbers, starts, ends and
+    nodes; the second keys (repeated ones), a (node), n (size) and tokens.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    names = ["doc_id", "key", "n", "numbers", "starts", "ends", "nodes", "keys", "a", "tokens"]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value, set()
         for b in slices(batches):
-            sets = [x[2] for x in paragraphs(b) if len(x[2])]
-            if not sets:
-                continue
-            keys, nodes, out = signatures(sets, number, rows), nodes_of(sets).tolist(), []
+            units = Units(b)
+            keys = signatures(units.tokens, units.at, number, rows) if len(units.nodes) else np.zeros((0, number), np.uint64)
             hit = bitmap.has(keys.ravel()).reshape(keys.shape)
-            for k in np.flatnonzero(hit.any(axis=1)).tolist():
-                if nodes[k] not in seen:
-                    seen.add(nodes[k])
-                    out.append((keys[k][hit[k]].tobytes(), nodes[k], len(sets[k])))
+            some = np.flatnonzero(hit.any(axis=1))
+            some = some[np.argsort(units.row[some], kind="stable")]
+            own = pa.array(np.append(0, np.cumsum(np.bincount(units.row[some], minlength=b.num_rows))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(own, pa.array(x[some], pa.int64())) for x in (units.number, units.start, units.end, units.nodes)]
+            nothing = [pa.nulls(b.num_rows, t) for t in (pa.binary(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(units.lines, pa.int64()), *lists, *nothing], names)
+            out = []
+            for k in some.tolist():
+                node = int(units.nodes[k])
+                if node not in seen:
+                    seen.add(node)
+                    out.append((keys[k][hit[k]].tobytes(), node, int(units.size[k]), units.tokens[units.at[k] : units.at[k + 1]].tobytes()))
             if len(seen) > 300_000:
                 seen.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)],
-                                                 ["keys", "a", "n"])
+                k, a, n, t = zip(*out, strict=True)
+                none, empty = pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), *[empty] * 4, pa.array(k, pa.binary()),
+                                                  pa.array(a, pa.int64()), pa.array(t, pa.binary())], names)
 
-    return arrow_map(docs.select("text"), job, "keys binary, a long, n long")
+    return arrow_map(docs, job, "doc_id long, key long, n long, numbers array<long>, starts array<long>, ends array<long>, nodes array<long>, "
+                                "keys binary, a long, tokens binary")
 
 
 def packed_again(rows: DataFrame) -> DataFrame:
@@ -145,98 +205,84 @@ def still_colliding(rows: DataFrame, repeated: KeyBitmap) -> DataFrame:
         for b in batches:
             keys = [np.frombuffer(x, np.uint64) for x in b["keys"].to_pylist()]
             keys = [x[shared.value.has(x)].tobytes() for x in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b["a"], b["n"]], ["keys", "a", "n"]).filter(pa.array([len(x) > 0 for x in keys]))
-
-    return arrow_map(rows, job, "keys binary, a long, n long")
-
-
-def fetch_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    wanted = store(nodes.select(nodes.columns[0]).toDF("node").distinct(), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted.select(F.col("node").alias("key"))))
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in slices(batches):
-            sets = [x[2] for x in paragraphs(b) if len(x[2])]
-            if not sets:
-                continue
-            nodes = nodes_of(sets)
-            out = []
-            for k in np.flatnonzero(shared.value.has(nodes.view(np.uint64))).tolist():
-                if (node := int(nodes[k])) not in seen:
-                    seen.add(node)
-                    out.append((node, sets[k].tobytes()))
-            if len(seen) > 300_000:
-                seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["node", "tokens"])
-
-    found = arrow_map(docs.select("text"), job, "node long, tokens binary").dropDuplicates(["node"])
-    return store(found.join(wanted, "node", "left_semi"), "sets")
-
-
-def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.9999, rows: int = 2) -> DataFrame:
-    """(doc_id, key, n_paragraphs, removed): of each group of similar paragraphs all but the first are listed.
-
-    Paragraphs are lines; two are similar when the Jaccard similarity of their distinct
-    5-word shingles (ASCII white space parts words, A-Z lower-cased) reaches
-    ``percent``; groups are the components of that relation.  First is the paragraph of
-    the smallest doc_id (null last), then the smallest number.  Lines with fewer than
-    five words are never removed, null and empty texts have no paragraph.  Candidates
-    collide in one of the bands, whose number follows from the wanted recall; similarity
-    is then exact on 64-bit shingle hashes.  ``key`` names rows of equal id and text.
+            some = pa.array([len(x) > 0 for x in keys], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b["a"], b["n"], b["tokens"]], ["keys", "a", "n", "tokens"]).filter(some)
+
+    return arrow_map(rows.select("keys", "a", "n", "tokens"), job, "keys binary, a long, n long, tokens binary")
+
+
+def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.9999) -> DataFrame:
+    """(doc_id, key, n_paragraphs, removed, spans): of each group of similar paragraphs all but the first are listed.
+
+    Paragraphs are lines of five words or more, and passages cut by content (``Units``).
+    Two are similar when the Jaccard similarity of their distinct 5-word shingles (ASCII
+    white space parts words, A-Z lower-cased) reaches ``percent``; groups are the
+    components of that relation.  First is the paragraph of the smallest doc_id (null
+    last), then the earliest; one that overlaps the first of its group stays too, as it
+    is the same text.  ``removed`` has the numbers of lines that go (lines with a word
+    count from 0), ``spans`` the bytes of all that goes, which may overlap.  Lines with
+    fewer than five words have no shingle and go only inside a passage; null and empty
+    texts have no paragraph.  Candidates collide in one of the bands, whose number and
+    width follow from the wanted recall; similarity is then exact on 64-bit shingle
+    hashes.  ``key`` names rows of equal id and text, which are one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
-    number = bands(percent / 100, recall, rows)
-    first = store(measured(docs, number, rows), "paragraphs")
-    repeated = key_bitmap(first.where("bucket is not null").select("bucket", "keys"), 2)
-    hits = store(colliding(docs, repeated, number, rows).dropDuplicates(["a"]), "colliding")
-    hits = store(still_colliding(hits, key_bitmap(packed_again(hits), 2)), "colliding")
+    number, rows = bands(percent / 100, recall)
+    repeated = key_bitmap(band_keys(docs, number, rows), 2)
+    found = store(colliding(docs, repeated, number, rows), "paragraphs")
+    # a paragraph that is repeated as it is, but has no other like it, falls out here
+    hits = store(found.where("keys is not null").select("keys", "a", "n", "tokens").dropDuplicates(["a"]), "colliding")
+    hits = store(still_colliding(hits, key_bitmap(packed_again(hits), 2)), "colliding-sets")
     none = docs.sparkSession.createDataFrame([], "a long, b long")
-    known = resolve(hits.withColumn("rest", F.col("n") + number), None, [none], lambda nodes: fetch_sets(docs, nodes), percent, ordered=False)
 
-    own = first.where("bucket is null").select("doc_id", "key", "n", "numbers", "nodes")
-    each = own.select("doc_id", "key", F.explode(F.arrays_zip("numbers", "nodes")).alias("p")).select("doc_id", "key", "p.numbers", "p.nodes")
-    each = each.join(known.withColumnRenamed("node", "nodes"), "nodes", "left").withColumn("root", F.coalesce("component", "nodes"))
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "numbers")
-    least = each.groupBy("root").agg(F.min(place).alias("first"))
-    gone = (each.join(least, "root").where(place != F.col("first"))
-            .groupBy("key").agg(F.array_sort(F.collect_set("numbers")).alias("removed")))
-    return own.join(gone, "key", "left").select(
-        "doc_id", "key", F.col("n").alias("n_paragraphs"), F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    def fetch(nodes: DataFrame) -> DataFrame:
+        return hits.select(F.col("a").alias("node"), "tokens").join(nodes.select("node").distinct(), "node", "left_semi")
 
+    known = resolve(hits.select("keys", "a", "n", (F.col("n") + number).alias("rest")), None, [none], fetch, percent, ordered=False)
 
-def without_paragraphs(text: str | None, removed: list[int]) -> str | None:
-    """A text without the paragraphs of those numbers."""
-    if not text or not removed:
+    own = found.where("keys is null")
+    each = own.select("doc_id", "key", F.explode(F.arrays_zip("numbers", "starts", "ends", "nodes")).alias("p")).select("doc_id", "key", "p.*")
+    each = each.join(known.withColumnRenamed("node", "nodes"), "nodes", "left").withColumn("root", F.coalesce("component", "nodes"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "starts", "ends")
+    least = each.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    overlap = (F.col("key") == F.col("first.key")) & (F.col("starts") < F.col("first.ends")) & (F.col("ends") > F.col("first.starts"))
+    gone = (each.join(least, "root").where(~overlap).groupBy("key")
+            .agg(F.array_sort(F.collect_set(F.when(F.col("numbers") >= 0, F.col("numbers")))).alias("removed"),
+                 F.array_sort(F.collect_set(F.struct(F.col("starts").alias("start"), F.col("ends").alias("end")))).alias("spans")))
+    return own.select("doc_id", "key", "n").join(gone, "key", "left").select(
+        "doc_id", "key", F.col("n").alias("n_paragraphs"), F.coalesce("removed", F.array().cast("array<long>")).alias("removed"),
+        F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+
+
+def without_spans(text: str | None, spans: list[dict]) -> str | None:
+    """A text without those bytes; spans are in order and may overlap."""
+    if not text or not spans:
         return text
-    drop, number, kept = set(removed), -1, []
-    for line in text.split("\n"):
-        has_word = bool(line.strip(" \t\r\x0b\x0c"))
-        number += has_word
-        if not (has_word and number in drop):
-            kept.append(line)
-    return "\n".join(kept)
+    data, kept, at = text.encode(), [], 0
+    for span in spans:
+        kept.append(data[at : max(at, span["start"])])
+        at = max(at, span["end"])
+    return b"".join([*kept, data[at:]]).decode()
 
 
 def clean(docs: DataFrame, percent: int = 80) -> DataFrame:
     """All rows and columns of ``docs``; the text without repeated paragraphs."""
-    found = repeated_paragraphs(docs, percent).where("size(removed) > 0").dropDuplicates(["key"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("removed").alias("__removed")), "__key", "left")
-
+    found = repeated_paragraphs(docs, percent).where("size(spans) > 0").dropDuplicates(["key"])
     names = docs.columns
+    key, spans = (next(n for n in (base + "_" * i for i in range(99)) if n not in names) for base in ("row_key", "row_spans"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), key, "left")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = [without_paragraphs(t, r or []) for t, r in zip(b["text"].to_pylist(), b["__removed"].to_pylist(), strict=True)]
+            texts = [without_spans(t, r or []) for t, r in zip(b["text"].to_pylist(), b[spans].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b[c] for c in names], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(joined.select(*docs.columns, "__removed"), job, fields)
+    return arrow_map(joined.select(*names, spans), job, fields)
 
 
 def paragraph_report(docs: DataFrame) -> DataFrame:
-    """Per row: number of paragraphs, numbers of the removed ones, and how many."""
-    return repeated_paragraphs(docs).select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed")
+    """Per row: number of lines with a word, numbers of the removed lines, removed spans, and how many paragraphs are removed."""
+    return repeated_paragraphs(docs).select("doc_id", "n_paragraphs", F.size("spans").cast("long").alias("n_removed"), "removed", "spans")

@@ -8,7 +8,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paylattice.llm import byte_bpe, ngram_join, packing, paragraph_dedup, sharding, suffix_dedup
@@ -182,39 +184,79 @@ def test_refinement_names_equal_strings_alike():
         assert len(set(seen.values())) == len(seen)
 
 
+def units_of(text):
+    """(number or -1, start, end, shingles) of the paragraphs of a text, word by word."""
+    data = text.encode()
+    out, number, at = [], 0, 0
+    for line in data.split(b"\n"):
+        end = min(at + len(line) + 1, len(data))
+        found = WORD.findall(line)
+        if len(found) >= 5:
+            out.append((number, at, end, shingle_set(line.decode(), 5)))
+        number += bool(found)
+        at = end
+    spans = [m.span() for m in WORD.finditer(data)]
+    units = paragraph_dedup.Units(pa.RecordBatch.from_pydict({"text": pa.array([text])}))
+    for start, end in zip(units.start[units.number < 0].tolist(), units.end[units.number < 0].tolist(), strict=True):
+        assert start in [a for a, _ in spans] and end in [a for a, _ in spans]
+        out.append((-1, start, end, shingle_set(data[start:end].decode(), 5)))
+    return out
+
+
 def test_paragraphs_equal_brute_force(docs, rows):
-    each = []
-    for d, t in {(r[0], r[1] or "") for r in rows}:
-        times = sum((r[0], r[1] or "") == (d, t) for r in rows)
-        lines = [x for x in t.split("\n") if WORD.search(x.encode())]
-        each += [(d, t, k, shingle_set(x, 5)) for k, x in enumerate(lines) if len(WORD.findall(x.encode())) >= 5]
-        assert times
-    root = groups([x[3] for x in each], lambda i, u: 100 * i >= 80 * u)
+    each = [(d, t, *u) for d, t in {(r[0], r[1] or "") for r in rows} for u in units_of(t)]
+    root = groups([x[5] for x in each], lambda i, u: 100 * i >= 80 * u)
     got = paragraph_dedup.repeated_paragraphs(docs).collect()
-    left = Counter()
-    by_row = {(r.doc_id, r.key): set(r.removed) for r in got}
-    assert len(got) == len(rows) and {r.doc_id for r in got if r.n_paragraphs == 0} >= {r[0] for r in rows if not (r[1] or "").strip()}
-    removed = Counter()
-    for (d, _), gone in by_row.items():
-        removed[d] += len(gone)
-    for g in set(root):
-        own = [x for x, k in zip(each, root, strict=True) if k == g]
-        ids = sorted(((x[0] is None, x[0] or 0) for x in own))
-        left[None if ids[0][0] else ids[0][1]] += 1
-    total = Counter(x[0] for x in each)
-    assert {d: total[d] - removed[d] for d in total if total[d] - removed[d]} == dict(left)
-    cleaned = paragraph_dedup.clean(docs)
-    assert cleaned.columns == docs.columns and cleaned.count() == len(rows)
+    assert len(got) == len(rows)
+    keys = {(r[0], r[1] or ""): r[2] for r in docs.selectExpr("cast(doc_id as long)", "text", "xxhash64(doc_id, coalesce(text, ''))").collect()}
+    first = {}
+    for x, g in zip(each, root, strict=True):
+        place = (x[0] is None, x[0] or 0, keys[x[0], x[1]], x[3], x[4])
+        first[g] = min(first.get(g, place), place)
+    want = {k: (set(), set()) for k in keys.values()}
+    for x, g in zip(each, root, strict=True):
+        key, (_, _, own, start, end) = keys[x[0], x[1]], first[g]
+        if key != own or x[3] >= end or x[4] <= start:
+            want[key][1].add((x[3], x[4]))
+            if x[2] >= 0:
+                want[key][0].add(x[2])
+    assert any(w[1] for w in want.values())
+    for r in got:
+        assert (set(r.removed), {tuple(s) for s in r.spans}) == want[r.key]
+    cleaned = paragraph_dedup.clean(docs.withColumn("row_key", F.lit("mine")))
+    assert cleaned.columns == [*docs.columns, "row_key"] and cleaned.count() == len(rows)
+
+
+def test_a_passage_inside_other_lines_is_caught(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    many = lambda n: " ".join(word() for _ in range(n))
+    rows, caught = [], 0
+    for i in range(0, 120, 2):
+        passage = many(55)
+        rows.append((i, many(40) + " " + passage + " " + many(40) + "\n" + many(12)))
+        rows.append((i + 1, many(3) + " " + passage.replace(" ", "\n", 40) + " " + many(90)))
+    docs = spark.createDataFrame([*rows, (900, many(300)), (901, None), (902, "")], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in paragraph_dedup.paragraph_report(docs).collect()}
+    cleaned = {r.doc_id: r.text for r in paragraph_dedup.clean(docs).collect()}
+    for i in range(0, 120, 2):
+        assert got[i].n_removed == 0 and cleaned[i] == rows[i][1]
+        caught += got[i + 1].n_removed > 0
+        assert len(cleaned[i + 1].split()) >= 93
+    assert caught >= 57
+    assert [got[i].n_removed for i in (900, 901, 902)] == [0, 0, 0]
 
 
 def test_bands_reach_the_recall():
-    n = paragraph_dedup.bands(0.8, 0.9999)
-    assert 1 - (1 - 0.8**2) ** n >= 0.9999 > 1 - (1 - 0.8**2) ** (n - 1)
+    n, rows = paragraph_dedup.bands(0.8, 0.9999)
+    assert 1 - (1 - 0.8**rows) ** n >= 0.9999 > 1 - (1 - 0.8**rows) ** (n - 1)
+    assert n * rows <= paragraph_dedup.MOST_HASHES and 1 - (1 - 0.3**rows) ** n < 0.2
 
 
-def test_without_paragraphs_counts_lines_with_words():
-    assert paragraph_dedup.without_paragraphs("a\n\nb\n \nc", [1]) == "a\n\n \nc"
-    assert paragraph_dedup.without_paragraphs(None, [0]) is None
+def test_spans_are_cut_once():
+    cut = [{"start": 1, "end": 4}, {"start": 2, "end": 3}, {"start": 6, "end": 8}]
+    assert paragraph_dedup.without_spans("abcdefgh", cut) == "aef"
+    assert paragraph_dedup.without_spans(None, cut) is None and paragraph_dedup.without_spans("ab", []) == "ab"
 
 
 def test_packing_holds_every_token_once(docs, rows):
