@@ -41,10 +41,11 @@ class Units:
     """Paragraphs of a batch: its lines, and passages that lie anywhere in a text.
 
     A line is a unit if it has five words.  Passages are cut by content over the whole
-    text, whatever its line breaks, so text that stands inside a longer line of one
-    document and on lines of its own in another is a unit in both.  What lies before the
-    first and behind the last cut of a text is no passage.  For each unit: ``row``, ``number`` (of the line among
-    those with a word, -1 for passages), ``start`` and ``end`` in bytes of the text, and
+    text, whatever its line breaks: text that stands inside a longer line of one document
+    and on lines of its own in another has the same passages in both.  What lies before
+    the first and behind the last cut of a text is no passage.  Lines share tokens with
+    lines only, passages with passages.  For each unit: ``row``, ``number`` (of the line
+    among those with a word, -1 for passages), ``start`` and ``end`` in bytes of the text, and
     its distinct shingles ``tokens[at[i]:at[i + 1]]``.
     """
 
@@ -74,6 +75,7 @@ class Units:
         unit = np.repeat(np.arange(len(lo)), counts)
         at = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts) + lo[unit]
         tokens = shingles(hashes, SHINGLE)[at] if len(at) else np.zeros(0, np.uint64)
+        tokens = np.where(self.number[unit] < 0, mix(tokens + np.uint64(1)), tokens)  # a passage never meets the line it stands in
         order = np.lexsort((tokens, unit))
         tokens = tokens[order]
         fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (unit[1:] != unit[:-1]))[: len(tokens)]
@@ -217,7 +219,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99
     Paragraphs are lines of five words or more, and passages cut by content (``Units``).
     Two are similar when the Jaccard similarity of their distinct 5-word shingles (ASCII
     white space parts words, A-Z lower-cased) reaches ``percent``; groups are the
-    components of that relation.  First is the paragraph of the smallest doc_id (null
+    components of that relation, lines and passages apart.  First is the paragraph of the smallest doc_id (null
     last), then the earliest; one that overlaps the first of its group stays too, as it
     is the same text.  ``removed`` has the numbers of lines that go (lines with a word
     count from 0), ``spans`` the bytes of all that goes, which may overlap.  Lines with

@@ -199,7 +199,7 @@ def units_of(text):
     units = paragraph_dedup.Units(pa.RecordBatch.from_pydict({"text": pa.array([text])}))
     for start, end in zip(units.start[units.number < 0].tolist(), units.end[units.number < 0].tolist(), strict=True):
         assert start in [a for a, _ in spans] and end in [a for a, _ in spans]
-        out.append((-1, start, end, shingle_set(data[start:end].decode(), 5)))
+        out.append((-1, start, end, {("passage", x) for x in shingle_set(data[start:end].decode(), 5)}))
     return out
 
 
