@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    LOWER, PACKED, KeyBitmap, KeyPacker, Prefix, arrow_map, flat_bytes, key_bitmap, mix, shingles, slices, store, words,
+    LOWER, PACKED, KeyBitmap, KeyPacker, Prefix, arrow_map, discard, flat_bytes, key_bitmap, mix, shingles, slices, store, words,
 )
 from .ngram_join import resolve
 
@@ -155,10 +155,10 @@ def colliding(docs: DataFrame, repeated: KeyBitmap, number: int, rows: int) -> D
     """A row per document with those of its units that have a repeated band key and, apart from them, a row per distinct such unit.
 
     The first have doc_id, key, n (lines with a word) and the lists numbers, starts, ends and
-    nodes; the second keys (repeated ones), a (node), n (size) and tokens.
+    nodes; the second a (node), n (size) and tokens.
     """
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
-    names = ["doc_id", "key", "n", "numbers", "starts", "ends", "nodes", "keys", "a", "tokens"]
+    names = ["doc_id", "key", "n", "numbers", "starts", "ends", "nodes", "a", "tokens"]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value, set()
@@ -170,47 +170,56 @@ def colliding(docs: DataFrame, repeated: KeyBitmap, number: int, rows: int) -> D
             some = some[np.argsort(units.row[some], kind="stable")]
             own = pa.array(np.append(0, np.cumsum(np.bincount(units.row[some], minlength=b.num_rows))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(own, pa.array(x[some], pa.int64())) for x in (units.number, units.start, units.end, units.nodes)]
-            nothing = [pa.nulls(b.num_rows, t) for t in (pa.binary(), pa.int64(), pa.binary())]
+            nothing = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(units.lines, pa.int64()), *lists, *nothing], names)
             out = []
             for k in some.tolist():
                 node = int(units.nodes[k])
                 if node not in seen:
                     seen.add(node)
-                    out.append((keys[k][hit[k]].tobytes(), node, int(units.size[k]), units.tokens[units.at[k] : units.at[k + 1]].tobytes()))
+                    out.append((node, int(units.size[k]), units.tokens[units.at[k] : units.at[k + 1]].tobytes()))
             if len(seen) > 300_000:
                 seen.clear()
             if out:
-                k, a, n, t = zip(*out, strict=True)
+                a, n, t = zip(*out, strict=True)
                 none, empty = pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), *[empty] * 4, pa.array(k, pa.binary()),
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), *[empty] * 4,
                                                   pa.array(a, pa.int64()), pa.array(t, pa.binary())], names)
 
     return arrow_map(docs, job, "doc_id long, key long, n long, numbers array<long>, starts array<long>, ends array<long>, nodes array<long>, "
-                                "keys binary, a long, tokens binary")
+                                "a long, tokens binary")
 
 
-def packed_again(rows: DataFrame) -> DataFrame:
+def keys_of(batch: pa.RecordBatch, number: int, rows: int) -> np.ndarray:
+    """Band keys of stored sets."""
+    data, offsets = flat_bytes(batch["tokens"])
+    return signatures(data.view(np.uint64), offsets // 8, number, rows)
+
+
+def packed_again(sets: DataFrame, number: int, rows: int) -> DataFrame:
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = KeyPacker(most_alike=2)
-        for b in batches:
-            yield from packer.add(np.frombuffer(b"".join(b["keys"].to_pylist()), np.uint64))
+        for batch in batches:
+            for b in slices(iter([batch]), "tokens"):
+                yield from packer.add(keys_of(b, number, rows).ravel())
         yield from packer.flush()
 
-    return arrow_map(rows.select("keys"), job, "bucket int, keys binary")
+    return arrow_map(sets.select("tokens"), job, PACKED)
 
 
-def still_colliding(rows: DataFrame, repeated: KeyBitmap) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(repeated)
+def still_colliding(sets: DataFrame, repeated: KeyBitmap, number: int, rows: int) -> DataFrame:
+    """(keys, a, n, tokens) of the sets that have repeated band keys, with these."""
+    shared = sets.sparkSession.sparkContext.broadcast(repeated)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [np.frombuffer(x, np.uint64) for x in b["keys"].to_pylist()]
-            keys = [x[shared.value.has(x)].tobytes() for x in keys]
-            some = pa.array([len(x) > 0 for x in keys], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b["a"], b["n"], b["tokens"]], ["keys", "a", "n", "tokens"]).filter(some)
+        for batch in batches:
+            for b in slices(iter([batch]), "tokens"):
+                keys = keys_of(b, number, rows)
+                hit = shared.value.has(keys.ravel()).reshape(keys.shape)
+                own = pa.array([k[h].tobytes() for k, h in zip(keys, hit, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own, b["a"], b["n"], b["tokens"]], ["keys", "a", "n", "tokens"]).filter(pa.array(hit.any(axis=1)))
 
-    return arrow_map(rows.select("keys", "a", "n", "tokens"), job, "keys binary, a long, n long, tokens binary")
+    return arrow_map(sets.select("a", "n", "tokens"), job, "keys binary, a long, n long, tokens binary")
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.9999) -> DataFrame:
@@ -234,8 +243,9 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99
     repeated = key_bitmap(band_keys(docs, number, rows), 2)
     found = store(colliding(docs, repeated, number, rows), "paragraphs")
     # a paragraph that is repeated as it is, but has no other like it, falls out here
-    hits = store(found.where("keys is not null").select("keys", "a", "n", "tokens").dropDuplicates(["a"]), "colliding")
-    hits = store(still_colliding(hits, key_bitmap(packed_again(hits), 2)), "colliding-sets")
+    sets = store(found.where("a is not null").select("a", "n", "tokens").dropDuplicates(["a"]), "colliding")
+    hits = store(still_colliding(sets, key_bitmap(packed_again(sets, number, rows), 2), number, rows), "colliding-sets")
+    discard(sets)
     none = docs.sparkSession.createDataFrame([], "a long, b long")
 
     def fetch(nodes: DataFrame) -> DataFrame:
@@ -243,7 +253,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99
 
     known = resolve(hits.select("keys", "a", "n", (F.col("n") + number).alias("rest")), None, [none], fetch, percent, ordered=False)
 
-    own = found.where("keys is null")
+    own = found.where("a is null")
     each = own.select("doc_id", "key", F.explode(F.arrays_zip("numbers", "starts", "ends", "nodes")).alias("p")).select("doc_id", "key", "p.*")
     each = each.join(known.withColumnRenamed("node", "nodes"), "nodes", "left").withColumn("root", F.coalesce("component", "nodes"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "starts", "ends")
