@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -201,6 +202,34 @@ def test_training_without_labels(spark, trained):
     assert toxicity.toxic_documents(docs.where("false"), labels).count() == 0
 
 
+def test_training_counts_every_labelled_row(spark, trained, monkeypatch):
+    docs, labels, _ = trained
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 20_000)
+    seen, learnt = [], toxicity.leaning
+    monkeypatch.setattr(toxicity, "leaning", lambda shards: seen.append((shards.count(), learnt(shards))) or seen[-1][1])
+    model, cuts = toxicity.train(docs, labels)
+    again, _ = toxicity.train(docs.repartition(5), labels)
+    assert np.array_equal(model.emb, again.emb) and (model.scale, model.offset) == (again.scale, again.offset)
+    bucket = toxicity.features(*toxicity.flat_bytes(pa.array(["gremlin"])))[0][0, 0]
+    known = {i: y for i, y in labels.where("toxic is not null").collect()}
+    fitted = [(d, t) for d, t, *_ in {tuple(r) for r in docs.collect()} if d in known and zlib.crc32(str(d).encode()) % 4 in (0, 3)]
+    has = [known[d] for d, t in fitted if "Gremlin" in (t or "")]
+    assert seen[0][0] > 5 and (seen[0][1][0][bucket], seen[0][1][1][bucket]) == (len(has), sum(has))
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model, cuts).collect()}
+    assert sum(score[i] >= 0.3 for i in range(0, 900, 5)) >= 0.9 * 180
+    assert sum(score[i] >= 0.3 for i in range(900) if i % 5) <= 0.05 * 720
+
+
+def test_long_documents_teach(spark):
+    rng = random.Random(1)
+    text = lambda i: " ".join(f"w{rng.randrange(300)}" for _ in range(12_000)) + (" zorbl" * 3 if i % 2 else "")
+    docs = spark.createDataFrame([(i, text(i), "xy") for i in range(80)], "doc_id long, text string, lang string").cache()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert docs.where("length(text) <= 50000").count() == 0
+    rows = toxicity.toxic_documents(docs, labels).where("held_out").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows) and len(rows) > 10
+
+
 def test_pipeline_stages_take_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
