@@ -22,6 +22,9 @@ CANDIDATE_COST = 50
 LARGEST_SMALL = 20
 #: Tokens turned into rows at once.
 ROW_TOKENS = 100_000
+#: Bits of a set's sketch, in numbers of 64 bits.
+SKETCH = 8
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 POSTING = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4")])
 LIGHT, HEAVY, LINK = 0, 1, 2
 #: In place of a size, in postings of subsets: any two sets of the key link, or only one of SURE with one of LARGER.
@@ -72,6 +75,15 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """For each of 64 * SKETCH slots whether an odd number of the tokens fall into it.
+
+    Two sets differ in as many tokens as their sketches differ in bits, at least.
+    """
+    odd = np.bincount((tokens % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 class Seen(set):
     """Nodes a task has met lately."""
 
@@ -123,7 +135,7 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
     for two sets of the larger size; those are posted apart and never link each other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    names = ["kind", "bucket", "keys", "a", "b", "n"]
+    names = ["kind", "bucket", "keys", "a", "b", "n", "sketch"]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value, Seen()
@@ -139,9 +151,9 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
                 rows, bucket = rows[order], bucket[order]
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 parts = [rows[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(rows)), strict=True)]
-                others += [(LIGHT, int(b), p, None, None, None) for b, p in zip(bucket[cut], parts, strict=True)]
+                others += [(LIGHT, int(b), p, None, None, None, None) for b, p in zip(bucket[cut], parts, strict=True)]
             if others:
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*others, strict=True), kinds, strict=True)], names)
             light, held, others = [], 0, []
 
@@ -172,7 +184,7 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
                         fresh = []
                         for key in keys.tolist():
                             if key in subsets:
-                                others.append((LINK, None, None, node, subsets[key], None))
+                                others.append((LINK, None, None, node, subsets[key], None, None))
                             else:
                                 if sure:
                                     subsets[key] = node
@@ -188,12 +200,12 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
                     if light_ones < prefix:
                         shared_ones = tokens[often]
                         shared_ones = shared_ones[np.argsort(bitmap.level(shared_ones), kind="stable")]
-                        others.append((HEAVY, None, shared_ones[: prefix - light_ones].tobytes(), node, n - light_ones, n))
+                        others.append((HEAVY, None, shared_ones[: prefix - light_ones].tobytes(), node, n - light_ones, n, sketch_of(tokens)))
                 if held > 1_000_000 or len(others) > 50_000:
                     yield from flush()
         yield from flush()
 
-    return arrow_map(docs.select("text"), job, "kind int, bucket int, keys binary, a long, b long, n long")
+    return arrow_map(docs.select("text"), job, "kind int, bucket int, keys binary, a long, b long, n long, sketch binary")
 
 
 def shingle_sum(groups: np.ndarray) -> np.ndarray:
@@ -270,13 +282,14 @@ def light_pairs(posted: DataFrame, small: int, percent: int) -> DataFrame:
 
 
 def heavy_rows(rows: DataFrame, chosen: KeyBitmap | None = None, with_set: bool = True) -> DataFrame:
-    """(token, component[, node, n, rest]) of heavy tokens, (token, component) once in a piece of ``ROW_TOKENS``.
+    """(token, component[, node, n, rest[, sketch]]) of heavy tokens, (token, component) once in a piece of ``ROW_TOKENS``.
 
     ``chosen`` takes the tokens of a bitmap only.  ``rest`` is how many tokens of the set
     come at this one or later in the common order.
     """
     shared = rows.sparkSession.sparkContext.broadcast(chosen) if chosen else None
-    columns = ["token", "component"] + (["node", "n", "rest"] if with_set else [])
+    sketched = with_set and "sketch" in rows.columns
+    columns = ["token", "component"] + (["node", "n", "rest"] if with_set else []) + (SKETCHES if sketched else [])
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value if shared else None
@@ -291,15 +304,17 @@ def heavy_rows(rows: DataFrame, chosen: KeyBitmap | None = None, with_set: bool
                     tokens, owner, at = tokens[chosen_ones], owner[chosen_ones], at[chosen_ones]
                 component, node, n, rest = (b[x].to_numpy()[owner] for x in ("component", "a", "n", "rest"))
                 out = [tokens, component] + ([node, n, rest - at] if with_set else [])
+                if sketched:
+                    out += list(flat_bytes(b["sketch"])[0].view(np.int64).reshape(-1, SKETCH)[owner].T)
                 if not with_set:
                     order = np.lexsort(out)
                     tokens, component = tokens[order], component[order]
                     first = np.append(True, (tokens[1:] != tokens[:-1]) | (component[1:] != component[:-1]))[: len(tokens)]
                     out = [tokens[first], component[first]]
                 if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], columns)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in out], columns)
 
-    return arrow_map(rows.select("keys", "a", "n", "rest", "component"), job, ", ".join(f"{c} long" for c in columns))
+    return arrow_map(rows.select("keys", "a", "n", "rest", "component", *(["sketch"] if sketched else [])), job, ", ".join(f"{c} long" for c in columns))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -342,19 +357,25 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
     """(node, component) from links known before, candidate pairs and lists too long for pairs.
 
     ``heavies`` has a set's list keys in the common order, node, size and how many tokens
-    come from the first key on (keys, a, n, rest); ``fetch`` gives the sets of nodes.
+    come from the first key on (keys, a, n, rest), and may have its sketch; ``fetch`` gives the sets of nodes.
     Round one compares every set with one leader of each of its lists, apart by size.
     Then only lists on which more than one component is left are opened.  As long as it
     merges some, one set of each component meets one leader of the list; at last the sets
     of different components meet.  ``ordered``: the keys are a set's first tokens in the
     common order.  Then two sets whose first common token comes so late that too few are
     left cannot be similar, and neither can two that share too few of those first tokens:
-    what the set that ends first shares beyond them is at most the rest of it.
+    what the set that ends first shares beyond them is at most the rest of it.  Nor can
+    two whose sketches differ in more bits than similar sets of their sizes have different tokens.
     """
     needed = F.ceil((F.col("n") + F.col("n2")) * F.lit(percent) / F.lit(100 + percent))
     reach = (F.least("rest", "rest2") >= needed) & (F.greatest("n", "n2") > small)
     band = F.floor(F.log("n") / F.lit(-np.log(percent / 100)))
-    some = heavy_rows(heavies.withColumn("component", F.col("a"))).withColumn("band", band)
+    sketches = SKETCHES if "sketch" in heavies.columns else []
+    alike = F.lit(True)
+    if sketches:
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in sketches[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("s02"))))
+        alike = bits <= F.col("n") + F.col("n2") - 2 * needed
+    some = heavy_rows(heavies.drop("sketch").withColumn("component", F.col("a"))).withColumn("band", band)
     leader = (some.groupBy("token", "band").agg(F.min(F.struct("node", "n", "rest")).alias("l"))
               .select("token", "band", F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.rest").alias("rest2")))
     near = (some.join(leader, ["token", "band"]).where((F.col("node") != F.col("node2")) & reach)
@@ -367,7 +388,7 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
     def opened(known: DataFrame) -> DataFrame | None:
         """Postings of the lists with several components."""
         placed = (heavies.join(known.withColumnRenamed("node", "a"), "a", "left")
-                  .select("keys", "a", "n", "rest", F.coalesce("component", "a").alias("component")))
+                  .select("keys", "a", "n", "rest", F.coalesce("component", "a").alias("component"), *(["sketch"] if sketches else [])))
         placed = store(placed, "heavy-sets")
         several = (heavy_rows(placed, with_set=False).distinct().groupBy("token").agg(F.count("*").alias("c"))
                    .where("c > 1").select(F.col("token").alias("key")))
@@ -377,11 +398,11 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
     tested = near
     met = opened(known)
     while met:
-        one = met.groupBy("token", "component").agg(F.min(F.struct("node", "n", "rest")).alias("r"))
-        one = store(one.select("token", "component", "r.node", "r.n", "r.rest"), "representatives")
-        head = one.groupBy("token").agg(F.min(F.struct("component", "node", "n", "rest")).alias("l")).select(
-            "token", F.col("l.component").alias("c2"), F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.rest").alias("rest2"))
-        some = (one.join(head, "token").where((F.col("component") != F.col("c2")) & reach)
+        one = met.groupBy("token", "component").agg(F.min(F.struct("node", "n", "rest", *sketches)).alias("r"))
+        one = store(one.select("token", "component", "r.*"), "representatives")
+        head = one.groupBy("token").agg(F.min(F.struct("component", "node", "n", "rest", *sketches)).alias("l")).select(
+            "token", F.col("l.component").alias("c2"), *[F.col(f"l.{c}").alias(c + "2") for c in ("node", "n", "rest", *sketches)])
+        some = (one.join(head, "token").where((F.col("component") != F.col("c2")) & reach & alike)
                 .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
                 .join(tested, ["a", "b"], "left_anti"))
         some = store(some, "candidates")
@@ -396,9 +417,9 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
         met = opened(known)
     if not met:
         return known
-    other = met.select("token", F.col("component").alias("c2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
+    other = met.select("token", F.col("component").alias("c2"), *[F.col(c).alias(c + "2") for c in ("node", "n", *sketches)])
     sized = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.greatest("n", "n2") > small)
-    across = (met.join(other, "token").where((F.col("component") < F.col("c2")) & sized)
+    across = (met.join(other, "token").where((F.col("component") < F.col("c2")) & sized & alike)
               .groupBy("node", "n", "node2", "n2").agg(F.count("*").alias("shared")))
     if ordered:
         across = across.where(F.col("shared") + F.ceil(F.greatest("n", "n2") * F.lit(percent) / F.lit(100)) - 1 >= needed)
@@ -437,7 +458,7 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     posted = store(postings(docs, heavy, small, k, percent), "postings")
     del heavy  # 48 MB that the driver has no more use for
     light = store(light_pairs(posted, small, percent), "light-pairs")
-    heavies = posted.where(F.col("kind") == HEAVY).select("keys", "a", "n", F.col("b").alias("rest"))
+    heavies = posted.where(F.col("kind") == HEAVY).select("keys", "a", "n", F.col("b").alias("rest"), "sketch")
     links = [posted.where(F.col("kind") == LINK).select("a", "b"), light.where("certain").select("a", "b")]
 
     known = resolve(heavies, light.where("not certain").select("a", "b"), links, lambda nodes: fetch_sets(docs, rows, nodes, k),

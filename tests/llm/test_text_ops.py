@@ -109,6 +109,15 @@ def test_ngram_join_subsets_of_a_smaller_partner_link_no_equal_sizes(spark, task
     assert [least[g] for g in root[:6]] == list(range(6)) and len(set(root[6:10])) == len(set(root[10:])) == 1
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (rng.choice(500, rng.integers(1, 300), replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        x, y = (np.frombuffer(ngram_join.sketch_of(t), np.uint8) for t in (a, b))
+        assert np.unpackbits(x ^ y).sum() <= len(np.setxor1d(a, b))
+    assert ngram_join.sketch_of(a) == ngram_join.sketch_of(a[::-1])
+
+
 def test_subsets_and_sizes():
     for percent in (80, 85, 90):
         for a in range(1, 30):
