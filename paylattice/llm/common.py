@@ -208,13 +208,16 @@ class KeyPacker:
         if self.held >= self.most:
             yield from self.flush()
 
+    def pack(self, keys: np.ndarray, rows: dict[int, list[bytes]]) -> None:
+        pack_keys(keys, rows)
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             rows: dict[int, list[bytes]] = {}
             keys = np.sort(np.concatenate(self.parts))
             if len(keys) > self.most_alike:
                 keys = keys[np.append(np.ones(self.most_alike, bool), keys[self.most_alike :] != keys[: -self.most_alike])]
-            pack_keys(keys, rows)
+            self.pack(keys, rows)
             yield packed_batches(rows)
         self.parts, self.held = [], 0
 
@@ -255,6 +258,19 @@ class KeyBitmap:
         return found
 
 
+#: Bytes of a bucket in either half of a key bitmap.
+PART = 1 << (BITMAP_BITS - BUCKET_BITS - 3)
+
+
+def bits_of(keys: np.ndarray) -> bytes:
+    """A bucket's part of both halves of a key bitmap, from its packed keys."""
+    low = BITMAP_BITS - BUCKET_BITS
+    bits = np.zeros((2, PART * 8), bool)
+    bits[0, keys >> np.uint32(32 - low)] = True
+    bits[1, (keys >> np.uint32(32 - 2 * low)) & np.uint32((1 << low) - 1)] = True
+    return np.packbits(bits, axis=1, bitorder="little").tobytes()
+
+
 def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyBitmap:
     """Bitmap of the keys that come ``least`` times or more; with ``classes``, also how often, by ``CLASSES``.
 
@@ -271,8 +287,6 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
         held = held.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
         return (held[:, 0] | held[:, 1] | held[:, 2] | held[:, 3]).tobytes()
 
-    low, part = BITMAP_BITS - BUCKET_BITS, 1 << (BITMAP_BITS - BUCKET_BITS - 3)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
@@ -284,10 +298,7 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             counts = np.diff(np.append(first, len(keys)))
             often = keys[first[counts >= least]]
-            bits = np.zeros((2, part * 8), bool)
-            bits[0, often >> np.uint32(32 - low)] = True
-            bits[1, (often >> np.uint32(32 - 2 * low)) & np.uint32((1 << low) - 1)] = True
-            rows.append((b, squeeze(np.packbits(bits, axis=1, bitorder="little").tobytes()), len(keys), len(first),
+            rows.append((b, squeeze(bits_of(often)), len(keys), len(first),
                          squeeze(class_bytes(keys[first], counts)) if classes else None))
         if rows:
             b, bits, total, different, level = zip(*rows, strict=True)
@@ -295,17 +306,66 @@ def key_bitmap(packed: DataFrame, least: int = 2, classes: bool = False) -> KeyB
                                              ["bucket", "keys", "total", "different", "level"])
 
     counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, PACKED + ", total long, different long, level binary")
-    bits, total, different = np.zeros((2, part << BUCKET_BITS), np.uint8), 0, 0
+    bits, total, different = np.zeros((2, PART << BUCKET_BITS), np.uint8), 0, 0
     levels = np.zeros(1 << (CLASS_BITS - 2), np.uint8) if classes else None
     unpack = zstandard.ZstdDecompressor().decompress
     for row in counted.collect():  # at most 12 KB for each of 4,096 buckets, compressed
         if classes:
             levels[row.bucket * slots // 4 : (row.bucket + 1) * slots // 4] = np.frombuffer(unpack(row.level), np.uint8)
-        bits[:, row.bucket * part : (row.bucket + 1) * part] = np.frombuffer(unpack(row["keys"]), np.uint8).reshape(2, part)
+        bits[:, row.bucket * PART : (row.bucket + 1) * PART] = np.frombuffer(unpack(row["keys"]), np.uint8).reshape(2, PART)
         total, different = total + row.total, different + row.different
     return KeyBitmap(bits[0], bits[1], total, different, levels)
 
 
+class MarkPacker(KeyPacker):
+    """Packs keys with a byte for each that says whose key it is; four bytes of every key of a row come first, then these bytes.
+
+    ``add`` takes the leading 56 bits of the keys above the mark.  Two equal ones are enough to count.
+    """
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__(2, most)
+
+    @staticmethod
+    def marked(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Another mark for each key of an owner, so that two owners with several keys in common differ in some."""
+        return (keys & ~np.uint64(255)) | (mix(keys + mix(owners)) >> np.uint64(56))
+
+    def pack(self, keys: np.ndarray, rows: dict[int, list[bytes]]) -> None:
+        bounds = np.searchsorted(keys >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
+        own, marks = ((keys << np.uint64(BUCKET_BITS)) >> np.uint64(32)).astype("<u4"), keys.astype(np.uint8)
+        for b in np.flatnonzero(np.diff(bounds)):
+            lo, hi = bounds[b], bounds[b + 1]
+            rows.setdefault(int(b), []).append(own[lo:hi].tobytes() + marks[lo:hi].tobytes())
+
+
+def mark_bitmaps(packed: DataFrame) -> tuple[KeyBitmap, KeyBitmap]:
+    """From the rows of ``MarkPacker``: keys that come twice or more, and keys of more than one owner.  Filters, as in ``key_bitmap``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for b, keys in zip(batch["bucket"].to_pylist(), batch["keys"].to_pylist(), strict=True):
+                n = len(keys) // 5
+                held.setdefault(b, []).append(np.frombuffer(keys, "<u4", n).astype(np.uint64) << np.uint64(8) | np.frombuffer(keys, np.uint8, n, 4 * n))
+        rows, squeeze = [], zstandard.ZstdCompressor(level=1).compress
+        for b in sorted(held):
+            marked = np.sort(np.concatenate(held.pop(b)))
+            keys = (marked >> np.uint64(8)).astype(np.uint32)
+            same = keys[1:] == keys[:-1]
+            rows.append((b, squeeze(bits_of(keys[1:][same])), squeeze(bits_of(keys[1:][same & (marked[1:] != marked[:-1])]))))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                                             ["bucket", "often", "shared"])
+
+    counted = arrow_map(packed.repartition(bucket_tasks(packed), "bucket"), count, "bucket int, often binary, shared binary")
+    bits, unpack = np.zeros((2, 2, PART << BUCKET_BITS), np.uint8), zstandard.ZstdDecompressor().decompress
+    for row in counted.collect():  # at most 16 KB for each of 4,096 buckets, compressed
+        for one, held in zip(bits, (row.often, row.shared), strict=True):
+            one[:, row.bucket * PART : (row.bucket + 1) * PART] = np.frombuffer(unpack(held), np.uint8).reshape(2, PART)
+    return KeyBitmap(*bits[0]), KeyBitmap(*bits[1])
+
+
 def bucket_tasks(df: DataFrame) -> int:
     return min(1 << BUCKET_BITS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32))
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    LOWER, PACKED, KeyBitmap, KeyPacker, Prefix, arrow_map, discard, flat_bytes, key_bitmap, mix, shingles, slices, store, words,
+    LOWER, PACKED, KeyBitmap, KeyPacker, MarkPacker, Prefix, arrow_map, discard, flat_bytes, key_bitmap, mark_bitmaps, mix, shingles, slices,
+    store, words,
 )
 from .ngram_join import resolve
 
@@ -130,11 +131,16 @@ def some_sets(tokens: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[n
     return tokens[place], to
 
 
-def band_keys(docs: DataFrame, number: int, rows: int) -> DataFrame:
-    """Packed band keys of all units; a unit that a task meets often sends its keys twice, as more are not counted."""
+def first_hashes(threshold: float, missed: float) -> int:
+    """How many least hashes pairs of similarity ``threshold`` share none of, or none with unlike marks, with probability ``missed`` at most."""
+    return int(np.ceil(np.log(missed) / np.log1p(-threshold * 255 / 256)))
+
+
+def first_keys(docs: DataFrame, number: int) -> DataFrame:
+    """Packed least hashes of all units, marked by set; a set that a task meets often sends its keys twice, as more are not counted."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = KeyPacker(most_alike=2), {}
+        packer, seen = MarkPacker(), {}
         for b in slices(batches):
             units, fresh = Units(b), []
             for k, node in enumerate(units.nodes.tolist()):
@@ -145,35 +151,39 @@ def band_keys(docs: DataFrame, number: int, rows: int) -> DataFrame:
             if len(seen) > 300_000:
                 seen.clear()
             if fresh:
-                yield from packer.add(signatures(*some_sets(units.tokens, units.at, np.array(fresh)), number, rows).ravel())
+                fresh = np.array(fresh)
+                keys = signatures(*some_sets(units.tokens, units.at, fresh), number, 1)
+                yield from packer.add(packer.marked(keys, units.nodes[fresh].view(np.uint64)[:, None]).ravel())
         yield from packer.flush()
 
     return arrow_map(docs.select("text"), job, PACKED)
 
 
-def colliding(docs: DataFrame, repeated: KeyBitmap, number: int, rows: int) -> DataFrame:
-    """A row per document with those of its units that have a repeated band key and, apart from them, a row per distinct such unit.
+def colliding(docs: DataFrame, often: KeyBitmap, shared: KeyBitmap, number: int) -> DataFrame:
+    """A row per document with those of its units that may have a copy or a near one and, apart from them, a row per distinct unit that may have a near one.
 
-    The first have doc_id, key, n (lines with a word) and the lists numbers, starts, ends and
+    A unit with copies has all its least hashes ``often``, one that is near another has
+    one ``shared`` with another set.  Copies need no set: only the second ones send theirs.
+    The first rows have doc_id, key, n (lines with a word) and the lists numbers, starts, ends and
     nodes; the second a (node), n (size) and tokens.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    both = docs.sparkSession.sparkContext.broadcast((often, shared))
     names = ["doc_id", "key", "n", "numbers", "starts", "ends", "nodes", "a", "tokens"]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = shared.value, set()
+        (often, shared), seen = both.value, set()
         for b in slices(batches):
             units = Units(b)
-            keys = signatures(units.tokens, units.at, number, rows) if len(units.nodes) else np.zeros((0, number), np.uint64)
-            hit = bitmap.has(keys.ravel()).reshape(keys.shape)
-            some = np.flatnonzero(hit.any(axis=1))
+            keys = signatures(units.tokens, units.at, number, 1) if len(units.nodes) else np.zeros((0, number), np.uint64)
+            near = shared.has(keys.ravel()).reshape(keys.shape).any(axis=1)
+            some = np.flatnonzero(near | often.has(keys.ravel()).reshape(keys.shape).all(axis=1))
             some = some[np.argsort(units.row[some], kind="stable")]
             own = pa.array(np.append(0, np.cumsum(np.bincount(units.row[some], minlength=b.num_rows))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(own, pa.array(x[some], pa.int64())) for x in (units.number, units.start, units.end, units.nodes)]
             nothing = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(units.lines, pa.int64()), *lists, *nothing], names)
             out = []
-            for k in some.tolist():
+            for k in np.flatnonzero(near).tolist():
                 node = int(units.nodes[k])
                 if node not in seen:
                     seen.add(node)
@@ -233,16 +243,17 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, recall: float = 0.99
     is the same text.  ``removed`` has the numbers of lines that go (lines with a word
     count from 0), ``spans`` the bytes of all that goes, which may overlap.  Lines with
     fewer than five words have no shingle and go only inside a passage; null and empty
-    texts have no paragraph.  Candidates collide in one of the bands, whose number and
-    width follow from the wanted recall; similarity is then exact on 64-bit shingle
+    texts have no paragraph.  Only sets that share one of a few least hashes with another set are fetched at all; of
+    these, candidates collide in one of the bands.  Numbers of hashes and bands follow from the wanted recall, of whose
+    misses the hashes take a fifth; similarity is then exact on 64-bit shingle
     hashes.  ``key`` names rows of equal id and text, which are one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
-    number, rows = bands(percent / 100, recall)
-    repeated = key_bitmap(band_keys(docs, number, rows), 2)
-    found = store(colliding(docs, repeated, number, rows), "paragraphs")
-    # a paragraph that is repeated as it is, but has no other like it, falls out here
+    number, rows = bands(percent / 100, 1 - (1 - recall) * 0.8)
+    first = first_hashes(percent / 100, (1 - recall) * 0.2)
+    found = store(colliding(docs, *mark_bitmaps(first_keys(docs, first)), first), "paragraphs")
+    # sets that share least hashes with others, but no band, fall out here
     sets = store(found.where("a is not null").select("a", "n", "tokens").dropDuplicates(["a"]), "colliding")
     hits = store(still_colliding(sets, key_bitmap(packed_again(sets, number, rows), 2), number, rows), "colliding-sets")
     discard(sets)

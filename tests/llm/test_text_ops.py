@@ -438,3 +438,19 @@ def test_frequency_classes(spark):
     bitmap = common.key_bitmap(spark.createDataFrame(rows, common.PACKED), 2, classes=True)
     assert (bitmap.level(keys) >= np.repeat([0, 0, 1, 2, 3], 400)).all() and (bitmap.level(keys) == np.repeat([0, 0, 1, 2, 3], 400)).mean() > 0.99
     assert bitmap.has(keys[400:]).all() and bitmap.has(keys[:400]).mean() < 0.1
+
+
+def test_copies_of_paragraphs_send_no_sets(spark):
+    from paylattice.llm import common
+
+    words = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    near = words[5].split()
+    docs = spark.createDataFrame([(i, words[i % 5] + "\n") for i in range(10)] + [(10, words[5]), (11, " ".join([*near[:-1], "other"]))],
+                                 "doc_id long, text string").withColumn("key", F.col("doc_id")).repartition(6)
+    first = paragraph_dedup.first_hashes(0.8, 2e-5)
+    found = paragraph_dedup.colliding(docs, *common.mark_bitmaps(paragraph_dedup.first_keys(docs, first)), first)
+    rows = found.collect()
+    assert len({r.a for r in rows if r.a is not None}) == 2 and len([r for r in rows if r.a is not None]) == 2
+    listed = {r.doc_id: len([x for x in r.numbers if x == 0]) for r in rows if r.a is None}
+    assert listed == dict.fromkeys(range(12), 1)
+    assert first == 7
