@@ -26,6 +26,8 @@ ROW_TOKENS = 100_000
 SKETCH = 8
 SKETCHES = [f"s{i}" for i in range(SKETCH)]
 POSTING = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4")])
+#: Sets of an open list that all others meet in a turn, and turns before all pairs are left to meet; a turn with fewer links than one for FEW postings is the last.
+LEADERS, TURNS, FEW = 4, 6, 200
 LIGHT, HEAVY, LINK = 0, 1, 2
 #: In place of a size, in postings of subsets: any two sets of the key link, or only one of SURE with one of LARGER.
 SURE, LARGER = 1 << 31, (1 << 31) + 1
@@ -201,7 +203,7 @@ def postings(docs: DataFrame, heavy: KeyBitmap, small: int, k: int, percent: int
                         shared_ones = tokens[often]
                         shared_ones = shared_ones[np.argsort(bitmap.level(shared_ones), kind="stable")]
                         others.append((HEAVY, None, shared_ones[: prefix - light_ones].tobytes(), node, n - light_ones, n, sketch_of(tokens)))
-                if held > 1_000_000 or len(others) > 50_000:
+                if held > 250_000 or len(others) > 20_000:
                     yield from flush()
         yield from flush()
 
@@ -360,7 +362,8 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
     come from the first key on (keys, a, n, rest), and may have its sketch; ``fetch`` gives the sets of nodes.
     Round one compares every set with one leader of each of its lists, apart by size.
     Then only lists on which more than one component is left are opened.  As long as it
-    merges some, one set of each component meets one leader of the list; at last the sets
+    merges some, for ``TURNS`` turns at most, their sets meet ``LEADERS`` others of the list that are drawn anew
+    in each turn (a fixed one may be the only one that is like no other); at last the sets
     of different components meet.  ``ordered``: the keys are a set's first tokens in the
     common order.  Then two sets whose first common token comes so late that too few are
     left cannot be similar, and neither can two that share too few of those first tokens:
@@ -382,6 +385,7 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
             .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
     near = store(near.unionByName(candidates).distinct() if candidates else near, "candidates")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    edges = lambda known: known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = store(union_all([*links, verified(near, fetch(ends(near)), percent)]), "found-links")
     known = store(components(links), "components")
 
@@ -395,26 +399,27 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
         several = store(several, "open-lists")
         return None if several.isEmpty() else store(heavy_rows(placed, chosen=id_bitmap(several)), "open-postings")
 
-    tested = near
-    met = opened(known)
-    while met:
-        one = met.groupBy("token", "component").agg(F.min(F.struct("node", "n", "rest", *sketches)).alias("r"))
-        one = store(one.select("token", "component", "r.*"), "representatives")
-        head = one.groupBy("token").agg(F.min(F.struct("component", "node", "n", "rest", *sketches)).alias("l")).select(
+    tested, met, turn = near, opened(known), 0
+    while met and turn < TURNS:
+        by_chance = [F.min(F.struct(F.xxhash64("token", "node", F.lit(turn * LEADERS + i)), "component", "node", "n", "rest", *sketches))
+                     for i in range(LEADERS)]
+        head = met.groupBy("token").agg(F.array(*by_chance).alias("l")).select("token", F.explode("l").alias("l")).select(
             "token", F.col("l.component").alias("c2"), *[F.col(f"l.{c}").alias(c + "2") for c in ("node", "n", "rest", *sketches)])
-        some = (one.join(head, "token").where((F.col("component") != F.col("c2")) & reach & alike)
+        some = (met.join(head, "token").where((F.col("component") != F.col("c2")) & reach & alike)
                 .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
                 .join(tested, ["a", "b"], "left_anti"))
-        some = store(some, "candidates")
+        some, turn = store(some, "candidates"), turn + 1
         if some.isEmpty():
             break
         tested = tested.unionByName(some)
         more = store(verified(some, fetch(ends(some)), percent), "more-links")
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        known = store(components(links), "components")
+        few = more.count() * FEW < met.count()
+        known = store(components(edges(known).unionByName(more)), "components")
         met = opened(known)
+        if few:
+            break
     if not met:
         return known
     other = met.select("token", F.col("component").alias("c2"), *[F.col(c).alias(c + "2") for c in ("node", "n", *sketches)])
@@ -429,7 +434,7 @@ def resolve(heavies: DataFrame, candidates: DataFrame | None, links: list[DataFr
     if across.isEmpty():
         return known
     more = store(verified(across, fetch(ends(across)), percent), "more-links")
-    return known if more.isEmpty() else store(components(links.unionByName(more)), "components")
+    return known if more.isEmpty() else store(components(edges(known).unionByName(more)), "components")
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

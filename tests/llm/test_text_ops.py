@@ -440,6 +440,24 @@ def test_frequency_classes(spark):
     assert bitmap.has(keys[400:]).all() and bitmap.has(keys[:400]).mean() < 0.1
 
 
+def test_a_list_whose_first_set_is_like_no_other_leaves_few_pairs(spark, monkeypatch):
+    sets = {1: np.arange(1000, 1101), 2: np.arange(2000, 2101)} | {node: np.append(np.arange(100), node + 5000) for node in range(100, 200)}
+    heavies = spark.createDataFrame([(np.array([7], np.int64).tobytes(), node, 101, 101) for node in sets], "keys binary, a long, n long, rest long")
+    tokens = spark.createDataFrame([(node, x.astype(np.uint64).tobytes()) for node, x in sets.items()], "node long, tokens binary")
+    asked, keep = [], ngram_join.store
+
+    def watched(df, name):
+        out = keep(df, name)
+        asked.extend([out.count()] * (name == "candidates"))
+        return out
+
+    monkeypatch.setattr(ngram_join, "store", watched)
+    none = spark.createDataFrame([], "a long, b long")
+    known = ngram_join.resolve(heavies, None, [none], lambda nodes: tokens.join(nodes.distinct(), "node"), 80, ordered=False)
+    assert {r.node: r.component for r in known.collect()} == dict.fromkeys(range(100, 200), 100)
+    assert sum(asked) < 1000  # all pairs of the hundred are 4,950
+
+
 def test_copies_of_paragraphs_send_no_sets(spark):
     from paylattice.llm import common
 
