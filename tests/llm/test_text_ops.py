@@ -472,3 +472,12 @@ def test_copies_of_paragraphs_send_no_sets(spark):
     listed = {r.doc_id: len([x for x in r.numbers if x == 0]) for r in rows if r.a is None}
     assert listed == dict.fromkeys(range(12), 1)
     assert first == 7
+
+
+def test_tasks_hold_half_a_megabyte_of_text_and_give_back():
+    from paylattice.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x" * 50_000] * 40)})
+    sizes = [sum(len(t) for t in b["text"].to_pylist()) for b in common.slices(iter([batch]))]
+    assert sum(sizes) == 2_000_000 and max(sizes) <= 500_000
+    common.give_back()
