@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,15 @@ from .common import (
 LENGTH, GRAM = 50, 24
 #: A run of strings filed under one gram is cut after so many.
 LONGEST_RUN = 64
+#: So many runs of different content under one file key are compared in one task; under keys with more, single strings are
+#: dealt by their own hashes.
+HEAVY = 10_000
+#: Bytes of runs that are refined at once.
+REFINED = 500_000
+#: Runs a task gathers before it sends them, without and with their bytes.
+SENT, SENT_WITH_BYTES = 300_000, 40_000
+#: Buckets of rows that no bucket holds: settled spans, and heavy keys or the runs under them.
+SETTLED, APART = -1, -2
 LATE = np.iinfo(np.int64).max
 RUN = np.dtype([("file", "<u4"), ("content", "<u8"), ("rank", "<i8"), ("key", "<i8"), ("start", "<i4"), ("count", "u1")])
 SPAN = np.dtype([("start", "<i4"), ("stop", "<i4")])
@@ -95,7 +105,7 @@ def packed_spans(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterat
     own = key[first]
     cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     blobs = [spans[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(spans)), strict=True)]
-    yield batch_of(np.zeros(len(cut), int) - 1, own[cut], blobs)
+    yield batch_of(np.full(len(cut), SETTLED), own[cut], blobs)
 
 
 def batch_of(bucket, key, keys: list[bytes], data: list[bytes] | None = None) -> pa.RecordBatch:
@@ -104,6 +114,11 @@ def batch_of(bucket, key, keys: list[bytes], data: list[bytes] | None = None) ->
          pa.array(keys, pa.binary()), pa.array(data, pa.binary()) if data else pa.nulls(len(keys), pa.binary())], NAMES)
 
 
+def joined(data: np.ndarray) -> bytes:
+    """Bytes of texts one after another, from bytes objects or from rows of equal length."""
+    return b"".join(data) if data.dtype == object else data.tobytes()
+
+
 def by_bucket(file: np.ndarray, rows: np.ndarray, data: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Packed rows for the buckets of the file keys; ``data`` adds the bytes of each run, one after another."""
     bucket = (file >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -112,7 +127,7 @@ def by_bucket(file: np.ndarray, rows: np.ndarray, data: np.ndarray | None = None
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, int)
     ends = np.append(cut[1:], len(rows))
     blobs = [rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
-    texts = [b"".join(data[order[a:b]]) for a, b in zip(cut, ends, strict=True)] if data is not None else None
+    texts = [joined(data[order[a:b]]) for a, b in zip(cut, ends, strict=True)] if data is not None else None
     if blobs:
         yield batch_of(bucket[cut], None, blobs, texts)
 
@@ -122,28 +137,58 @@ def place_of(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(key.view(np.uint64) + (start.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sent_runs(docs: DataFrame, wanted: KeyBitmap, places: KeyBitmap | None = None) -> DataFrame:
+def beaten(file: np.ndarray, content: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which rows have the file key and the content of a row of smaller rank."""
+    if not len(file):
+        return np.zeros(0, bool)
+    order = np.lexsort((rank, content, file))
+    file, content, sorted_rank = file[order], content[order], rank[order]
+    fresh = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (content[1:] != content[:-1])))
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(sorted_rank[fresh], np.diff(np.append(fresh, len(order)))) < sorted_rank
+    return out
+
+
+def run_rows(file: np.ndarray, content: np.ndarray, rank: np.ndarray, key: np.ndarray, start: np.ndarray, count) -> np.ndarray:
+    rows = np.zeros(len(file), RUN)
+    rows["file"] = (file << np.uint64(BUCKET_BITS)) >> np.uint64(32)  # the bits behind those of the bucket
+    for name, values in (("content", content), ("rank", rank), ("key", key), ("start", start), ("count", count)):
+        rows[name] = values
+    return rows
+
+
+def sent_runs(docs: DataFrame, wanted: KeyBitmap, places: KeyBitmap | None = None, heavy: np.ndarray | None = None) -> DataFrame:
     """Packed runs whose file key is wanted, and spans that the task could already settle.
 
-    With ``places`` only runs at those places, together with their bytes.
+    With ``places`` only runs at those places, together with their bytes; those under ``heavy`` file keys go apart,
+    anywhere.
 
-    Of equal runs in a task only those of the smallest document go on; the others hold
-    nothing that this document doesn't, so they are removed.  A run of many documents
-    thus reaches the next task once per task.
+    Of equal runs that a task holds at once only those of the smallest document go on; the others hold
+    nothing that this document doesn't, so they are removed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, places))
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, places, np.zeros(0, np.int64) if heavy is None else heavy))
     with_bytes = places is not None
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files_wanted, places_wanted = shared.value
-        best: dict[tuple[int, int], int] = {}
+        files_wanted, places_wanted, apart = shared.value
         held, files, texts, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, files, texts, size
             if held:
-                yield from by_bucket(np.concatenate(files), np.concatenate(held), np.array(texts, object) if with_bytes else None)
-            held, files, texts, size = [], [], [], 0
+                file, rows = np.concatenate(files), np.concatenate(held)
+                data = np.array(texts, object) if with_bytes else None
+                held, files, texts, size = [], [], [], 0
+                gone = beaten(file, rows["content"], rows["rank"])
+                yield from packed_spans(rows["key"][gone], rows["start"][gone], rows["start"][gone] + rows["count"][gone].astype(np.int64) - 1 + LENGTH)
+                rest = ~gone
+                if with_bytes and len(apart):
+                    away = np.flatnonzero(rest & np.isin((file >> np.uint64(32 - BUCKET_BITS)).view(np.int64), apart))
+                    rest[away] = False
+                    for a in range(0, len(away), 4_000):
+                        part = away[a : a + 4_000]
+                        yield batch_of([APART], rows["key"][part[:1]], [rows[part].tobytes()], [joined(data[part])])
+                yield from by_bucket(file[rest], rows[rest], data[rest] if with_bytes else None)
 
         for b in slices(batches):
             data, offsets = flat_bytes(b["text"])
@@ -156,46 +201,81 @@ def sent_runs(docs: DataFrame, wanted: KeyBitmap, places: KeyBitmap | None = Non
                 continue
             rank = pc.fill_null(b["doc_id"], LATE).to_numpy()[doc]
             content = Prefix(data).ranges(start, start + count - 1 + LENGTH) + count.astype(np.uint64)
-            order = np.lexsort((rank, content, file))
-            fresh = np.append(True, (file[order][1:] != file[order][:-1]) | (content[order][1:] != content[order][:-1]))
-            lowest = np.empty(len(file), np.int64)
-            lowest[order] = np.repeat(rank[order][fresh], np.diff(np.append(np.flatnonzero(fresh), len(file))))
-            if len(best) > 300_000:
-                best.clear()
-            for k in order[fresh].tolist():
-                name = int(file[k]), int(content[k])
-                r = int(rank[k])
-                if best.setdefault(name, r) < r:
-                    lowest[k] = best[name]
-                else:
-                    best[name] = r
-            lowest[order] = np.repeat(lowest[order][fresh], np.diff(np.append(np.flatnonzero(fresh), len(file))))
-            gone = lowest < rank
-            key, at = b["key"].to_numpy()[doc], start - offsets[doc]
-            yield from packed_spans(key[gone], at[gone], at[gone] + count[gone] - 1 + LENGTH)
-            rest = np.flatnonzero(~gone)
-            rows = np.zeros(len(rest), RUN)
-            files.append(file[rest])
-            rows["file"] = (files[-1] << np.uint64(BUCKET_BITS)) >> np.uint64(32)  # the bits behind those of the bucket
-            for name, values in (("content", content), ("rank", rank), ("key", key), ("start", at), ("count", count)):
-                rows[name] = values[rest]
-            held.append(rows)
-            size += len(rows)
+            files.append(file)
+            held.append(run_rows(file, content, rank, b["key"].to_numpy()[doc], start - offsets[doc], count))
+            size += len(file)
             if with_bytes:
                 raw = data.tobytes()
-                texts += [raw[a : a + n - 1 + LENGTH] for a, n in zip(start[rest].tolist(), count[rest].tolist(), strict=True)]
-            if size > (60_000 if with_bytes else 600_000):
+                texts += [raw[a : a + n - 1 + LENGTH] for a, n in zip(start.tolist(), count.tolist(), strict=True)]
+            if size > (SENT_WITH_BYTES if with_bytes else SENT):
                 yield from flush()
         yield from flush()
 
     return arrow_map(docs.select("doc_id", "key", "text"), job, PARTS)
 
 
+def strings_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the rows of runs sent apart: the runs, their bytes, and for each string its run, its first byte and its hash."""
+    for batch in batches:
+        for keys, data in zip(batch["keys"], batch["data"], strict=True):
+            rows, raw = np.frombuffer(keys.as_py(), RUN), np.frombuffer(data.as_py(), np.uint8)
+            count = rows["count"].astype(np.int64)
+            run = np.repeat(np.arange(len(rows)), count)
+            at = np.arange(len(run)) + run * (LENGTH - 1)  # a run of n strings has n + LENGTH - 1 bytes
+            yield rows, raw, run, at, Prefix(raw).grams(LENGTH)[at]
+
+
+def string_keys(apart: DataFrame) -> DataFrame:
+    """Packed hashes of the strings of runs that were sent apart."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = KeyPacker(most_alike=2)
+        for *_, name in strings_apart(batches):
+            yield from packer.add(name)
+        yield from packer.flush()
+
+    return arrow_map(apart.select("keys", "data"), job, "bucket int, keys binary")
+
+
+def sent_strings(apart: DataFrame, wanted: KeyBitmap) -> DataFrame:
+    """Strings of runs that were sent apart whose hash is wanted, as packed runs of one string filed under that hash.
+
+    Of equal strings that a task holds at once those of the smallest document go on; the others are settled.
+    """
+    shared = apart.sparkSession.sparkContext.broadcast(wanted)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, texts, size = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal names, held, texts, size
+            if held:
+                name, rows, data = np.concatenate(names), np.concatenate(held), np.concatenate(texts)
+                names, held, texts, size = [], [], [], 0
+                gone = beaten(name, name, rows["rank"])
+                yield from packed_spans(rows["key"][gone], rows["start"][gone], rows["start"][gone] + LENGTH)
+                yield from by_bucket(name[~gone], rows[~gone], data[~gone])
+
+        for runs_, raw, run, at, name in strings_apart(batches):
+            keep = shared.value.has(name)
+            run, at, name = run[keep], at[keep], name[keep]
+            step = at - (np.cumsum(runs_["count"].astype(np.int64) + LENGTH - 1) - runs_["count"] - LENGTH + 1)[run]
+            names.append(name)
+            held.append(run_rows(name, name, runs_["rank"][run], runs_["key"][run], runs_["start"][run] + step, 1))
+            texts.append(raw[at[:, None] + np.arange(LENGTH)])
+            size += len(name)
+            if size > 2 * SENT_WITH_BYTES:
+                yield from flush()
+        yield from flush()
+
+    return arrow_map(apart.select("keys", "data"), job, PARTS)
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray] | pa.RecordBatch]:
-    """Rows of settled spans as they are; then the runs and bytes of each bucket."""
+    """Rows of settled spans and of runs that are sent apart as they are; then the runs and bytes of each bucket."""
     held: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
-        settled = pc.equal(batch["bucket"], -1)
+        settled = pc.less(batch["bucket"], 0)
         if settled.true_count:
             yield batch.filter(settled)
         rest = batch.filter(pc.invert(settled))
@@ -207,7 +287,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
 
 
 def dealt(parts: DataFrame) -> DataFrame:
-    """Buckets to their tasks; settled spans anywhere."""
+    """Buckets to their tasks; the other rows anywhere."""
     where = F.when(F.col("bucket") < 0, F.pmod("key", F.lit(1 << BUCKET_BITS))).otherwise(F.col("bucket"))
     return parts.repartition(bucket_tasks(parts), where)
 
@@ -216,7 +296,8 @@ def settle_equal_runs(sent: DataFrame) -> DataFrame:
     """Spans of runs that equal a whole run of a smaller document, and packed places of runs that are left to compare.
 
     Those are the runs of the smallest document of each content, under file keys with
-    several contents.  Under a key with one content nothing else is to be found.
+    several contents.  Under a key with one content nothing else is to be found.  File keys
+    with more than ``HEAVY`` contents are named in rows of their own.
     """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +306,7 @@ def settle_equal_runs(sent: DataFrame) -> DataFrame:
             if isinstance(got, pa.RecordBatch):
                 yield got
                 continue
-            _, rows, _ = got
+            b, rows, _ = got
             rows = rows[np.lexsort((rows["rank"], rows["content"], rows["file"]))]
             file = np.append(True, rows["file"][1:] != rows["file"][:-1])
             fresh = file | np.append(True, rows["content"][1:] != rows["content"][:-1])
@@ -234,6 +315,9 @@ def settle_equal_runs(sent: DataFrame) -> DataFrame:
             lowest = rows["rank"] == np.repeat(rows["rank"][fresh], sizes)
             contents = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(file))
             several = np.repeat(contents > 1, np.diff(np.append(np.flatnonzero(file), len(rows))))
+            heavy = rows["file"][file][contents > HEAVY].astype(np.int64)
+            if len(heavy):
+                yield batch_of(np.full(len(heavy), APART), (b << 32) | heavy, [b""] * len(heavy))
             for packed in asked.add(place_of(rows["key"], rows["start"])[lowest & several]):
                 yield batch_of(packed["bucket"], None, packed["keys"])
         for packed in asked.flush():
@@ -266,35 +350,51 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
     return bucket
 
 
+def refined(rows: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs sorted by file key with first bytes and bucket numbers of the strings, in parts of whole keys of about ``REFINED`` bytes."""
+    sizes = rows["count"].astype(np.int64) + LENGTH - 1
+    begins = np.cumsum(sizes) - sizes
+    order = np.argsort(rows["file"], kind="stable")
+    rows, begins, sizes = rows[order], begins[order], sizes[order]
+    head = np.flatnonzero(np.append(True, rows["file"][1:] != rows["file"][:-1]))
+    part = (np.cumsum(sizes) - sizes)[head] // REFINED
+    cut = head[np.append(True, part[1:] != part[:-1])]
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+        own = np.cumsum(sizes[a:b]) - sizes[a:b]
+        at = np.repeat(begins[a:b] - own, sizes[a:b]) + np.arange(int(sizes[a:b].sum()))
+        yield rows[a:b], own, refine(data[at], LENGTH)
+
+
 def settle_by_refinement(sent: DataFrame) -> DataFrame:
     """Spans of single strings that start in a smaller document, by the bytes of the runs."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
+
+        def spans() -> Iterator[pa.RecordBatch]:
+            if found:
+                every = np.concatenate(found)
+                found.clear()
+                yield from packed_spans(every["key"], every["start"], every["start"] + LENGTH)
+
         for got in gathered(batches):
             if isinstance(got, pa.RecordBatch):
                 yield got
                 continue
-            _, rows, data = got
-            # equal runs of several tasks: those of the smallest document stand for all
-            order = np.lexsort((rows["rank"], rows["content"], rows["file"]))
-            sizes = rows["count"].astype(np.int64) + LENGTH - 1
-            begins = np.append(0, np.cumsum(sizes)[:-1])
-            bucket = refine(data, LENGTH)
-            rows, begins = rows[order], begins[order]
-            count = rows["count"].astype(np.int64)
-            run = np.repeat(np.arange(len(rows)), count)
-            step = np.arange(len(run)) - np.repeat(np.append(0, np.cumsum(count)[:-1]), count)
-            name, rank = bucket[begins[run] + step], rows["rank"][run]
-            least = np.full(int(name.max()) + 1, LATE)
-            np.minimum.at(least, name.astype(np.int64), rank)
-            gone = least[name.astype(np.int64)] < rank
-            spans = np.zeros(int(gone.sum()), np.dtype([("key", "<i8"), ("start", "<i8")]))
-            spans["key"], spans["start"] = rows["key"][run[gone]], rows["start"][run[gone]] + step[gone]
-            found.append(spans)
-        if found:
-            spans = np.concatenate(found)
-            yield from packed_spans(spans["key"], spans["start"], spans["start"] + LENGTH)
+            for rows, begins, bucket in refined(got[1], got[2]):
+                count = rows["count"].astype(np.int64)
+                run = np.repeat(np.arange(len(rows)), count)
+                step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+                name, rank = bucket[begins[run] + step].astype(np.int64), rows["rank"][run]
+                least = np.full(int(name.max()) + 1, LATE)
+                np.minimum.at(least, name, rank)
+                gone = least[name] < rank
+                own = np.zeros(int(gone.sum()), np.dtype([("key", "<i8"), ("start", "<i8")]))
+                own["key"], own["start"] = rows["key"][run[gone]], rows["start"][run[gone]] + step[gone]
+                found.append(own)
+                if sum(map(len, found)) > SENT:
+                    yield from spans()
+        yield from spans()
 
     return arrow_map(dealt(sent), job, PARTS)
 
@@ -309,9 +409,13 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     plain = with_key(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("key"), "text")
     repeated = key_bitmap(file_keys(plain), 2)
     first = store(settle_equal_runs(sent_runs(plain, repeated)), "equal-runs")
+    heavy = np.array([r.key for r in first.where(F.col("bucket") == APART).select("key").collect()], np.int64)  # one for each HEAVY runs at most
     places = key_bitmap(first.where("bucket >= 0").select("bucket", "keys"), 1)
-    second = store(settle_by_refinement(sent_runs(plain, repeated, places)), "refined")
-    spans = first.where("bucket = -1").select("key", "keys").union(second.where("bucket = -1").select("key", "keys"))
+    found = [first, store(settle_by_refinement(sent_runs(plain, repeated, places, heavy)), "refined")]
+    if len(heavy):
+        apart = found[1].where(F.col("bucket") == APART)
+        found.append(store(settle_by_refinement(sent_strings(apart, key_bitmap(string_keys(apart), 2))), "strings"))
+    spans = reduce(DataFrame.union, [x.where(F.col("bucket") == SETTLED).select("key", "keys") for x in found])
     return store(spans.groupBy("key").agg(F.collect_list("keys").alias("spans")), "spans")
 
 

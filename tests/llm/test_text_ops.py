@@ -181,6 +181,58 @@ def test_suffix_dedup_equals_brute_force(docs, rows):
     assert Counter((r.doc_id, r.text) for r in cut.collect()) == texts
 
 
+def test_strings_under_a_crowded_file_key_are_dealt_by_their_own_hashes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 20)
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(n))
+    passage = prose(12)
+    rows = [(i, f"{prose(rng.randint(0, 9))} {passage} {rng.choice('ab')} {prose(6)}") for i in range(150)] + [(None, f"{passage} a"), (7, f"{passage} b"), (200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = suffix_dedup.with_key(docs).select("doc_id", F.col("__key").alias("key"), "text")
+    repeated = suffix_dedup.key_bitmap(suffix_dedup.file_keys(plain), 2)
+    first = suffix_dedup.store(suffix_dedup.settle_equal_runs(suffix_dedup.sent_runs(plain, repeated)), "equal-runs")
+    heavy = np.array([r.key for r in first.where(F.col("bucket") == suffix_dedup.APART).collect()], np.int64)
+    places = suffix_dedup.key_bitmap(first.where("bucket >= 0").select("bucket", "keys"), 1)
+    sent = suffix_dedup.sent_runs(plain, repeated, places, heavy).collect()
+    assert len(heavy) and any(r.bucket == suffix_dedup.APART for r in sent)
+    met = Counter()
+    for r in sent:
+        if r.bucket >= 0:
+            met.update((r.bucket << 32) | x for x in np.frombuffer(r["keys"], suffix_dedup.RUN)["file"].tolist())
+    assert not set(met) & set(heavy.tolist()) and max(met.values(), default=0) <= 20
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(docs, ["doc_id"], with_kept=False).collect())
+    removed = Counter()
+    order = lambda d: 10**9 if d is None else d
+    seen: dict[bytes, int] = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            seen[b[i : i + 50]] = min(seen.get(b[i : i + 50], 10**9), order(d))
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = {j for i in range(len(b) - 49) if seen[b[i : i + 50]] < order(d) for j in range(i, i + 50)}
+        removed[d, len(b), len(gone)] += 1
+    assert got == removed and sum(k[2] > 0 for k in removed) > 100
+
+
+def test_parts_of_a_bucket_are_refined_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "REFINED", 600)
+    rng = np.random.default_rng(2)
+    rows = np.zeros(60, suffix_dedup.RUN)
+    rows["file"], rows["count"] = rng.integers(0, 12, 60), rng.integers(1, 5, 60)
+    texts = [rng.integers(0, 2, n + 49).astype(np.uint8).tobytes() if i % 3 else bytes(n + 49) for i, n in enumerate(rows["count"].tolist())]
+    rows["key"] = np.arange(60)
+    met, sizes = {}, []
+    for part, begins, name in suffix_dedup.refined(rows, np.frombuffer(b"".join(texts), np.uint8)):
+        sizes.append(len(name))
+        for r, a in zip(part, begins.tolist(), strict=True):
+            for i in range(int(r["count"])):
+                met.setdefault(int(r["file"]), set()).add((texts[r["key"]][i : i + 50], len(sizes), int(name[a + i])))
+    assert len(sizes) > 3 and max(sizes) < 2 * 600 and len(met) == len(set(rows["file"].tolist()))
+    for same in met.values():  # equal names, equal strings, and a key in one part
+        assert len({x[0] for x in same}) == len({x[2] for x in same}) == len(same) and len({x[1] for x in same}) == 1
+
+
 def test_refinement_names_equal_strings_alike():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 3000).astype(np.uint8)
