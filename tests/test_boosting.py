@@ -89,6 +89,30 @@ def test_missing_values_labels_and_single_values(spark):
     assert least[0]["prediction"] == least[1]["prediction"]  # missing counts as the least value
 
 
+def test_level_sums_are_exact_and_rows_are_not_multiplied_by_their_features(spark):
+    from decimal import Decimal
+
+    rows = [(i, 2 + i % 3, (-1) ** i * (9.9e13 + i) if i % 2 else i / 7, 1 / (1 + i), [i % 4, 300, 2][: 3 - (i == 5)]) for i in range(900)]
+    df = spark.createDataFrame(rows + [(900, 2, 1.0, 1.0, None)], "id int, node int, g double, h double, bins array<smallint>").repartition(5)
+    sums = BO.level_sums(df, F.col("node"), F.col("g"), F.col("h"), [0, 2])
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    cut = {r["id"]: (r["g"], r["h"]) for r in df.select("id", F.col("g").cast(BO.GRADIENT), F.col("h").cast(BO.CURVATURE)).collect()}
+    want = {}
+    for i, node, _, _, bins in rows:
+        for f in (0, 2):
+            if f < len(bins):
+                g, h = want.get((node, f, bins[f]), (Decimal(0), Decimal(0)))
+                want[node, f, bins[f]] = g + cut[i][0], h + cut[i][1]
+    assert {(r["node"], r["feature"], r["bin"]): (r["g"], r["h"]) for r in sums.collect()} == want
+
+
+def test_edges_of_missing_values_and_short_rows(spark):
+    rows = [([1.0, math.nan, 5.0],), ([2.0, None, 4.0],), ([3.0],), (None,), ([3.0, math.nan, 5.0],)]
+    assert BO.bin_edges(spark.createDataFrame(rows, "v array<double>").repartition(3), "v", 8) == [[1.0, 2.0], [], [4.0]]
+    assert BO.bin_edges(spark.createDataFrame([], "v array<double>"), "v", 8) == []
+
+
 def test_no_rows_is_an_error_and_equal_rows_give_their_mean(spark):
     empty = spark.createDataFrame([], SCHEMA).withColumn("features", array_to_vector("a"))
     with pytest.raises(ValueError):
