@@ -170,6 +170,24 @@ def test_permutation_importance_follows_its_definition(spark):
     assert out["q"]["importance"] > out["r"]["importance"]
 
 
+def test_equal_fits_of_a_rung_are_made_once(spark, monkeypatch):
+    x, y = sample_rows(150)
+    path = scratch_path(spark, "grid")
+    table(spark, x, y).write.parquet(path)
+    made, maker = [], MD.boosted_trees
+    monkeypatch.setattr(MD, "boosted_trees", lambda *p: made.append(p) or maker(*p))
+    points = MD.grid_points(rounds=(3, 4), depths=(1, 2), steps=(0.1, 0.6), samples=(1.0,))
+    found = MD.halving_search(spark.read.parquet(path), points, folds=2, factor=4)
+    assert [s[:3] for s in found.scores if s[0] == 1] == [(1, p, 1) for p in points]
+    first = {p: s[3] for s in found.scores if s[0] == 1 for p in [s[1]]}
+    rows = spark.read.parquet(path).withColumns({"_fold": MD.key_share("id", "fold", 2), "_stop": MD.key_share("id", "stop", 10) == 0})
+    for p in points[:2]:  # the step has no say in a single tree
+        errors = [maker(1, p.depth, p.step, p.sample).setValidationIndicatorCol("_stop").fit(rows.where(F.col("_fold") != f)).transform(rows.where(F.col("_fold") == f))
+                  .agg(F.avg(F.pow(F.col(PAY) - F.col("prediction"), 2))).first()[0] for f in range(2)]
+        assert abs(first[p] - np.mean(errors)) < 1e-6 * first[p]
+    assert len([p for p in made if p[0] == 1]) == 2 * 2  # two depths, two folds, where 16 fits were made
+
+
 def test_halving_gives_the_best_points_more_rounds(spark):
     x, y = sample_rows(150)
     path = scratch_path(spark, "grid")
