@@ -82,6 +82,17 @@ def test_percentile_of_counts_smaller_values(spark):
         assert r["percentile"] == min(99, max(1, expected))
 
 
+def test_snapshot_copies_are_compressed_and_complete(spark, tmp_path):
+    rows = [(i, f"title {i}", 'a "b", c\nnext  ' if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, job_title string, extra string").repartition(3)
+    paths = io.snapshot_export(df, str(tmp_path / "out"), "t1")
+    schema = io.ordered_columns(df).schema
+    for back in (io.scan_csv(spark, paths["csv"], schema), spark.read.schema(schema).json(paths["json"])):
+        assert sorted((r["id"], r["job_title"], r["extra"]) for r in back.collect()) == rows
+    files = [f for f in (tmp_path / "out").rglob("part-*")]
+    assert len(files) >= 2 and all(f.name.endswith(".gz") for f in files)
+
+
 def test_insert_if_absent(spark):
     stored = spark.createDataFrame([("a",), (None,)], "dedup_key string")
     batch = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "b", "y"), (4, None, "z"), (5, None, "z")],
