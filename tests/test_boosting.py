@@ -170,6 +170,26 @@ def test_permutation_importance_follows_its_definition(spark):
     assert out["q"]["importance"] > out["r"]["importance"]
 
 
+def test_permuted_rows_are_scored_where_a_used_feature_changes(spark):
+    x, y = sample_rows(90)
+    x = np.column_stack([x, np.full(len(x), 4.0), np.arange(len(x))])  # never changes; changes, but is not used
+    df = table(spark, x, y)
+    model = BO.SecondOrderBoosting(rounds=2, depth=2, step=0.5, sample=1.0, columns=1.0).fit(table(spark, np.column_stack([x[:, :4], np.zeros(len(x))]), y))
+    scored = []
+
+    class Counted:
+        featureImportances = model.featureImportances  # noqa: N815
+
+        def transform(self, rows):
+            scored.append(rows.count())
+            return model.transform(rows)
+
+    out = {r["feature"]: r for r in MD.permutation_importance(df, Counted(), list("pqrst")).collect()}
+    assert out["s"]["importance"] == out["t"]["importance"] == 0 and out["q"]["importance"] > 0
+    used = sum(v > 0 for v in model.featureImportances.toArray())
+    assert scored[0] == 90 and 90 < scored[1] <= 90 * (1 + used) and len(out) == 5
+
+
 def test_equal_fits_of_a_rung_are_made_once(spark, monkeypatch):
     x, y = sample_rows(150)
     path = scratch_path(spark, "grid")
